@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from lumenframe.llm.decontamination import OP4_SQL, op4_decontamination
 from lumenframe.llm.packing import op1_packing
 from lumenframe.llm.sharding import op8_sharding
 from lumenframe.llm.topk import OP5_SQL, op5_topk
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_decontamination": op4_decontamination,
     "op5_topk": op5_topk,
     "op8_sharding": op8_sharding,
 }
 
 ORACLE = {
+    "op4_decontamination": OP4_SQL,
     "op5_topk": OP5_SQL,
 }
