@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lumenframe.llm.decontamination import OP4_SQL, op4_decontamination
+from lumenframe.llm.licenses import OP9_SQL, op9_licenses
 from lumenframe.llm.packing import op1_packing
 from lumenframe.llm.sharding import op8_sharding
 from lumenframe.llm.topk import OP5_SQL, op5_topk
@@ -12,9 +13,11 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_topk": op5_topk,
     "op8_sharding": op8_sharding,
+    "op9_licenses": op9_licenses,
 }
 
 ORACLE = {
     "op4_decontamination": OP4_SQL,
     "op5_topk": OP5_SQL,
+    "op9_licenses": OP9_SQL,
 }
