@@ -5,15 +5,19 @@ from __future__ import annotations
 from lumenframe.llm.decontamination import OP4_SQL, op4_decontamination
 from lumenframe.llm.licenses import OP9_SQL, op9_licenses
 from lumenframe.llm.packing import op1_packing
+from lumenframe.llm.quality import op6_quality
 from lumenframe.llm.sharding import op8_sharding
 from lumenframe.llm.topk import OP5_SQL, op5_topk
+from lumenframe.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_decontamination": op4_decontamination,
     "op5_topk": op5_topk,
+    "op6_quality": op6_quality,
     "op8_sharding": op8_sharding,
     "op9_licenses": op9_licenses,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
