@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lumenframe.llm.decontamination import OP4_SQL, op4_decontamination
 from lumenframe.llm.licenses import OP9_SQL, op9_licenses
+from lumenframe.llm.neardup import OP2_SQL, op2_neardup
 from lumenframe.llm.packing import op1_packing
 from lumenframe.llm.quality import op6_quality
 from lumenframe.llm.sharding import op8_sharding
@@ -12,6 +13,7 @@ from lumenframe.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_neardup": op2_neardup,
     "op4_decontamination": op4_decontamination,
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_neardup": OP2_SQL,
     "op4_decontamination": OP4_SQL,
     "op5_topk": OP5_SQL,
     "op9_licenses": OP9_SQL,
