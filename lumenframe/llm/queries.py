@@ -6,6 +6,7 @@ from lumenframe.llm.decontamination import OP4_SQL, op4_decontamination
 from lumenframe.llm.licenses import OP9_SQL, op9_licenses
 from lumenframe.llm.neardup import OP2_SQL, op2_neardup
 from lumenframe.llm.packing import op1_packing
+from lumenframe.llm.pii import op7_pii
 from lumenframe.llm.quality import op6_quality
 from lumenframe.llm.sharding import op8_sharding
 from lumenframe.llm.topk import OP5_SQL, op5_topk
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
+    "op7_pii": op7_pii,
     "op8_sharding": op8_sharding,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
