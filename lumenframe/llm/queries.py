@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lumenframe.llm.decontamination import OP4_SQL, op4_decontamination
 from lumenframe.llm.licenses import OP9_SQL, op9_licenses
+from lumenframe.llm.lm import op3_lm
 from lumenframe.llm.neardup import OP2_SQL, op2_neardup
 from lumenframe.llm.packing import op1_packing
 from lumenframe.llm.pii import op7_pii
@@ -15,6 +16,7 @@ from lumenframe.llm.toxicity import op10_toxicity
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_neardup": op2_neardup,
+    "op3_lm": op3_lm,
     "op4_decontamination": op4_decontamination,
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
