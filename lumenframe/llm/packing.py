@@ -79,19 +79,22 @@ def best_cuts(positions: np.ndarray, penalties: np.ndarray, window: int) -> list
     n = len(at)
     came, best = [0] * n, [0] * n
     queue: deque = deque([(at[0], 0)])
-    last = n - 1
     for j in range(1, n):
         low = at[j] - window
         while at[queue[0][1]] < low:
             queue.popleft()
-        value, i = queue[0]
-        came[j] = i
-        f = value - at[j] + window + cost[j] if j != last else value - at[i]
-        best[j] = f
-        value = f + at[j]
+        value, came[j] = queue[0]
+        best[j] = value - at[j] + window + cost[j]
+        value = best[j] + at[j]
         while queue and queue[-1][0] > value:
             queue.pop()
         queue.append((value, j))
+    last = n - 1
+    i = last - 1
+    while i >= 0 and at[i] >= at[last] - window:  # the last window costs nothing of its own
+        if i == last - 1 or best[i] <= best[came[last]]:
+            came[last] = i
+        i -= 1
     cuts, j = [], last
     while j:
         cuts.append(j)
