@@ -5,9 +5,10 @@ of the least of its shingles' hashes under one function. Two signatures whose
 distance (symbols that differ) is at most CHUNKS x (ERRORS + 1) - 1 = 23 agree,
 by pigeonhole, but for ERRORS = 1 symbol on one chunk at least. Every chunk is
 therefore indexed under each of its CHUNK keys with one symbol left out, and all
-pairs under that distance share a key. Pairs that share a key are confirmed on
-the full shingle sets; pairs of similarity 0.8 whose distance is larger (it
-varies about 19.2) still share a key but for one in 4,000.
+pairs under that distance share a key. Pairs that share a key, and whose parity
+sketches don't rule a link out, are confirmed on the full shingle sets. Pairs of
+similarity 0.8 whose distance is larger (it varies about 19.2) still share a key
+but for one in 4,000.
 
 Not all pairs of a key are made. Equal sets are one node. The members of a key
 are first compared with its smallest; only members that are then not connected
@@ -27,9 +28,6 @@ from lumenframe.llm.components import connected_components
 from lumenframe.session import materialize, table
 
 CHUNKS, CHUNK = 12, 8
-#: A pair farther apart in signature than this isn't confirmed: at similarity 0.8
-#: distances spread by 3.9 about 19.2, so one in millions is.
-FARTHEST = 40
 PERCENT = 80
 #: Up to so many ids are broadcast (some 16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -40,6 +38,8 @@ _SEEDS = np.random.default_rng(20_240_229)
 MULTIPLIERS = _SEEDS.integers(0, 1 << 31, CHUNKS * CHUNK, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADDENDS = _SEEDS.integers(0, 1 << 32, CHUNKS * CHUNK, dtype=np.uint32)
 SIGNATURE = [f"s{c}" for c in range(CHUNKS)]
+#: A set's parity sketch has 64 bits in each of these: the parity of its shingles that hash there.
+PARITY = [f"o{c}" for c in range(16)]
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -75,6 +75,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint32(3)).astype(np.uint8).view("<i8")
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bits by which the sketches of two sets differ are no more than the shingles by which the sets do."""
+    bits = 64 * len(PARITY)
+    held = np.bincount((shingles * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
+    return np.packbits(held.astype(np.uint8)).view("<i8")
+
+
 def _signatures(width: int):
     def signatures(batches):
         import xxhash
@@ -85,9 +92,9 @@ def _signatures(width: int):
                 own = shingle_set(text.as_py(), width)
                 sizes.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-                rows.append(signature(own) if len(own) else np.zeros(CHUNKS, np.int64))
-            columns = np.stack(rows).T if rows else np.empty((CHUNKS, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *[pa.array(c) for c in columns]], ["doc_id", "n", "digest", *SIGNATURE])
+                rows.append(np.concatenate([signature(own) if len(own) else np.zeros(CHUNKS, np.int64), parity_sketch(own)]))
+            columns = np.stack(rows).T if rows else np.empty((CHUNKS + len(PARITY), 0), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *[pa.array(c) for c in columns]], ["doc_id", "n", "digest", *SIGNATURE, *PARITY])
 
     return signatures
 
@@ -105,7 +112,7 @@ def _sets(width: int):
 
 def signatures_of(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, digest of the set, signature), without the texts."""
-    schema = "doc_id long, n long, digest binary, " + ", ".join(f"{s} long" for s in SIGNATURE)
+    schema = "doc_id long, n long, digest binary, " + ", ".join(f"{s} long" for s in SIGNATURE + PARITY)
     return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures(width), schema)
 
 
@@ -119,28 +126,26 @@ def _keys() -> Column:
     return F.array(*keys)
 
 
-def signature_distance(a: str, b: str) -> Column:
-    """Symbols that differ; a, b: prefixes of the signatures' columns."""
-    total = F.lit(0)
-    for name in SIGNATURE:
-        x = F.col(f"{a}{name}").bitwiseXOR(F.col(f"{b}{name}"))
-        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0F0F0F0F0F0F0F0F), (1, 0x0101010101010101)):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
-        total = total + F.bit_count(x)
-    return total
-
-
 def _broadcast_if_small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def _near(nodes: DataFrame, prefix: str) -> DataFrame:
-    return nodes.select(F.col("node").alias(prefix), F.col("n").alias(f"{prefix}_n"), *[F.col(s).alias(f"{prefix}_{s}") for s in SIGNATURE])
+    return nodes.select(F.col("node").alias(prefix), F.col("n").alias(f"{prefix}_n"), *[F.col(s).alias(f"{prefix}_{s}") for s in PARITY])
 
 
 def _may_link() -> Column:
+    """False only for pairs that can't link.
+
+    Sets of a and b shingles that link differ by at most
+    (a + b) (100 - PERCENT) / (100 + PERCENT) of them, and so do their sketches.
+    """
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    return (small * 100 >= large * PERCENT) & (signature_distance("a_", "b_") <= FARTHEST)
+    differ = F.lit(0)
+    for name in PARITY:
+        differ = differ + F.bit_count(F.col(f"a_{name}").bitwiseXOR(F.col(f"b_{name}")))
+    may_differ = differ * (100 + PERCENT) <= (F.col("a_n") + F.col("b_n")) * (100 - PERCENT)
+    return (small * 100 >= large * PERCENT) & may_differ
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -166,8 +171,8 @@ def near_duplicates(docs: DataFrame, width: int) -> DataFrame:
     signed = materialize(signatures_of(docs, width), "signatures")
     linked = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     # Equal sets: one node, the smallest id, and a link from each copy.
-    grouped = linked.groupBy("digest").agg(F.min(F.struct("doc_id", "n", *SIGNATURE)).alias("first"), F.count("*").alias("copies"))
-    grouped = materialize(grouped.select("digest", "copies", F.col("first.doc_id").alias("node"), "first.n", *[f"first.{s}" for s in SIGNATURE]), "nodes")
+    grouped = linked.groupBy("digest").agg(F.min(F.struct("doc_id", "n", *SIGNATURE, *PARITY)).alias("first"), F.count("*").alias("copies"))
+    grouped = materialize(grouped.select("digest", "copies", F.col("first.doc_id").alias("node"), "first.n", *[f"first.{s}" for s in SIGNATURE + PARITY]), "nodes")
     nodes = grouped.drop("digest", "copies")
     several = grouped.where(F.col("copies") > 1).select("digest", "node")
     copies = linked.select("doc_id", "digest").join(several, "digest").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where(F.col("a") != F.col("b"))
@@ -183,9 +188,9 @@ def near_duplicates(docs: DataFrame, width: int) -> DataFrame:
     labelled = members.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = materialize(labelled, "labelled")
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high")).select("key")
-    rest = labelled.join(materialize(open_keys, "open-keys"), "key").join(nodes.dropDuplicates(["node"]), "node")
+    rest = labelled.join(materialize(open_keys, "open-keys"), "key").join(nodes.drop(*SIGNATURE), "node")
     rest = materialize(rest, "rest")
-    side = lambda p: rest.select("key", F.col("node").alias(p), F.col("pivot").alias(f"{p}_pivot"), F.col("component").alias(f"{p}_c"), F.col("n").alias(f"{p}_n"), *[F.col(s).alias(f"{p}_{s}") for s in SIGNATURE])
+    side = lambda p: rest.select("key", F.col("node").alias(p), F.col("pivot").alias(f"{p}_pivot"), F.col("component").alias(f"{p}_c"), F.col("n").alias(f"{p}_n"), *[F.col(s).alias(f"{p}_{s}") for s in PARITY])
     apart = (F.col("a") < F.col("b")) & (F.col("a") != F.col("a_pivot")) & (F.col("a_c") != F.col("b_c"))
     pairs = materialize(side("a").join(side("b"), "key").where(apart & _may_link()).select("a", "b").dropDuplicates(), "pairs")
     more = materialize(confirmed(pairs, docs, width), "more-links")

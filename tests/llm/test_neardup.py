@@ -88,15 +88,6 @@ def test_parity_bounds_difference():
         assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
-def test_signature_distance(spark):
-    rng = np.random.default_rng(5)
-    a, b = rng.integers(0, 3, (2, 96)).astype(np.uint8)
-    columns = [f"{p}{c}" for p in ("a_s", "b_s") for c in range(12)]
-    row = [int(x) for x in np.concatenate([a.view("<i8"), b.view("<i8")])]
-    df = spark.createDataFrame([row], ", ".join(f"{c} long" for c in columns))
-    assert df.select(neardup.signature_distance("a_", "b_")).collect()[0][0] == int((a != b).sum())
-
-
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (None, 3)]
     found = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
