@@ -97,13 +97,13 @@ def zero_crossings(samples: Column) -> Column:
 
 def flip_rows(pixels: Column, width: int) -> Column:
     """Each row of a flat picture reversed."""
-    rows = F.transform(F.sequence(F.lit(0), F.size(pixels) / width - 1), lambda r: F.reverse(F.slice(pixels, (r * width + 1).cast("int"), width)))
+    rows = F.transform(F.sequence(F.lit(0), (F.size(pixels) / width).cast("int") - 1), lambda r: F.reverse(F.slice(pixels, (r * width + 1).cast("int"), width)))
     return F.flatten(rows)
 
 
 def flip_columns(pixels: Column, width: int) -> Column:
     """The rows of a flat picture in reverse order."""
-    rows = F.transform(F.sequence(F.lit(0), F.size(pixels) / width - 1), lambda r: F.slice(pixels, (r * width + 1).cast("int"), width))
+    rows = F.transform(F.sequence(F.lit(0), (F.size(pixels) / width).cast("int") - 1), lambda r: F.slice(pixels, (r * width + 1).cast("int"), width))
     return F.flatten(F.reverse(rows))
 
 

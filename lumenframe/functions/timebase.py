@@ -12,6 +12,11 @@ NO_TIMESTAMP = -(2**63)
 DROP_FRAME = {"29.97": (30, 2), "59.94": (60, 4)}
 
 
+def micros(ts: Column | str) -> Column:
+    """Microseconds since 1970 of a timestamp with or without a zone (in the session's, UTC here)."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def _wide(c: Column) -> Column:
     return c.cast("decimal(38,0)")
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenframe.functions.timebase import micros
+
 
 def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, value: str, tie: str) -> DataFrame:
     """left with the latest right row at or before it: right_ts and right_value.
@@ -28,7 +30,7 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, value:
 def synchronized(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, value: str, tie: str, max_drift_us: int) -> DataFrame:
     """Rows whose latest master row is at most max_drift_us away; others are dropped."""
     matched = as_of(left, right, by, ts, value, tie)
-    drift = F.unix_micros(ts) - F.unix_micros("right_ts")
+    drift = micros(ts) - micros("right_ts")
     return matched.withColumn("drift_us", drift).where(F.abs("drift_us") <= max_drift_us)
 
 

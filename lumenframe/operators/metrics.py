@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenframe.functions.timebase import micros
+
 INF = float("inf")
 
 
@@ -29,7 +31,7 @@ def realtime_stats(df: DataFrame, by: Sequence[str], ts: str, size: str, encode_
     1000; quality: mean PSNR, at most 100, and 100 where there is none. A stream
     of no duration has rates 0.
     """
-    span = (F.max(ts).cast("double") - F.min(ts).cast("double")).alias("elapsed")
+    span = ((F.max(micros(ts)) - F.min(micros(ts))) / 1_000_000).alias("elapsed")
     own = df.groupBy(*by).agg(F.count("*").alias("frames"), F.sum(size).alias("bytes"), F.avg(encode_time).alias("avg_encode_time"), F.avg(psnr).alias("avg_psnr"), span)
     per_second = lambda x: F.when(F.col("elapsed") > 0, x / F.col("elapsed")).otherwise(0.0)
     return own.select(

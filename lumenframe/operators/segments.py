@@ -53,7 +53,7 @@ def telecine(df: DataFrame, by: Sequence[str], order: Sequence[str], pattern: Se
     """Each row as many fields as its place in the pulldown pattern says."""
     place = F.pmod(F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1, F.lit(len(pattern)))
     fields = F.element_at(F.array(*[F.lit(p) for p in pattern]), place + 1)
-    return df.withColumn("field", F.explode(F.sequence(F.lit(0), fields - 1)))
+    return df.withColumn("__n", fields).withColumn("field", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
 
 
 def concatenated(parts: Sequence[DataFrame], pts: str, duration: str) -> DataFrame:

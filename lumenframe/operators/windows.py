@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenframe.functions.timebase import micros
+
 
 def moving_average(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, size: int, name: str = "moving_average") -> DataFrame:
     """Mean of the row and up to size - 1 before it; size below 1 counts as 1."""
@@ -17,9 +19,8 @@ def moving_average(df: DataFrame, by: Sequence[str], order: Sequence[str], value
 
 def retained(df: DataFrame, by: Sequence[str], ts: str, tie: str, seconds: float, points: int) -> DataFrame:
     """For each row, how many rows a buffer holds after it: those not older than `seconds`, at most `points`."""
-    micros = F.unix_micros(ts)
     order = W.partitionBy(*by).orderBy("__us")
-    own = df.withColumn("__us", micros)
+    own = df.withColumn("__us", micros(ts))
     held = F.count("*").over(order.rangeBetween(-int(seconds * 1_000_000), 0))
     return own.withColumn("retained", F.least(held, F.lit(points).cast("long"))).drop("__us")
 
@@ -32,7 +33,7 @@ def series_stats(df: DataFrame, by: Sequence[str], ts: str, value: str, tie: str
     """
     first, last = F.min(F.struct(ts, tie, value)), F.max(F.struct(ts, tie, value))
     own = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("average"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_samp(value).alias("__s"), first.alias("__f"), last.alias("__l"))
-    span = F.col(f"__l.{ts}").cast("double") - F.col(f"__f.{ts}").cast("double")
+    span = (micros(F.col(f"__l.{ts}")) - micros(F.col(f"__f.{ts}"))) / 1_000_000
     return own.select(
         *by,
         "n",

@@ -1,17 +1,883 @@
-"""Queries over the driver's tables and the SQL that checks them."""
+"""Queries over the driver's tables and the SQL that checks them.
+
+The tables stand in for media data: events are frames of streams (user_id), parts
+are quality points, orders and line items are jobs and tasks, suppliers workers,
+embeddings flat pictures, conversations captions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.functions import arrays, options, scores, timebase
+from lumenframe.operators import filters, kernels, loudness, matching, metrics, ranks, recurrences, regression, rules, segments, selection, windows
 from lumenframe.session import table
+from lumenframe.sources import render, subtitles
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with its SQL if it has one."""
+
+    def own(run: Query) -> Query:
+        QUERIES[run.__name__] = run
+        if sql:
+            ORACLE[run.__name__] = sql
+        return run
+
+    return own
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: r6(c) for c in columns})
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+ORDER = ["ts", "event_id"]
+U = ["user_id"]
+#: Window of a user's events in time, in SQL.
+W = "PARTITION BY user_id ORDER BY ts, event_id"
+
+
+# Aggregation
+
+
+@query("""
+SELECT event_type, count(*) AS frames, sum(event_id)::BIGINT AS bytes,
+  round(count(*) / (epoch(max(ts)) - epoch(min(ts))), 6) AS fps,
+  round(sum(event_id) * 8 / 1000.0 / (epoch(max(ts)) - epoch(min(ts))), 6) AS kbps,
+  round(avg(value), 6) AS avg_encode_time, round(least(avg(value), 100.0), 6) AS quality
+FROM events GROUP BY event_type""")
+def analytics_report(spark, sf_dir):
+    own = events(spark, sf_dir).withColumn("encode_time", F.col("value"))
+    return rounded(metrics.realtime_stats(own, ["event_type"], "ts", "event_id", "encode_time", "value"), "fps", "kbps", "avg_encode_time", "quality")
+
+
+flagship = analytics_report
+
+
+@query(f"""
+WITH last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS p FROM events)
+SELECT user_id, event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 6) AS ratio
+FROM last WHERE p <= 100 GROUP BY user_id, event_type""")
+def frame_distribution(spark, sf_dir):
+    ring = metrics.latest(events(spark, sf_dir), U, ORDER, 100)
+    return rounded(metrics.type_distribution(ring, U, "event_type"), "ratio")
+
+
+TYPES = ("click", "error", "purchase", "signup", "view")
+_WIDE = "SELECT user_id, " + ", ".join(f"arg_max(value, event_id) FILTER (event_type = '{t}') AS {t}" for t in TYPES) + " FROM events GROUP BY user_id"
+
+
+@query(_WIDE)
+def long_to_wide_lastwrite(spark, sf_dir):
+    return metrics.wide_by_metric(events(spark, sf_dir), U, "event_type", "value", "event_id", TYPES)
+
+
+@query(f"SELECT user_id, metric, value FROM (UNPIVOT ({_WIDE}) ON {', '.join(TYPES)} INTO NAME metric VALUE value)")
+def wide_to_long(spark, sf_dir):
+    return metrics.long_by_metric(long_to_wide_lastwrite(spark, sf_dir), U, TYPES)
+
+
+@query("""
+SELECT user_id, round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value
+FROM events GROUP BY user_id""")
+def quality_summary(spark, sf_dir):
+    return rounded(metrics.summary(events(spark, sf_dir), U, ["value"]), "avg_value")
+
+
+@query("""
+SELECT user_id, count(*) AS frames, round(sum(value), 6) AS total_time, min(value) AS min_time, max(value) AS max_time,
+  sum(event_id)::BIGINT AS total_bytes, round(sum(event_id) * 8 / (count(*) / 30.0::DOUBLE) / 1000, 6) AS avg_kbps
+FROM events GROUP BY user_id""")
+def encoding_metrics(spark, sf_dir):
+    return rounded(metrics.encoding_metrics(events(spark, sf_dir), U, "value", "event_id", 30.0), "total_time", "avg_kbps")
+
+
+@query("""
+WITH q AS (SELECT user_id, CASE WHEN event_type <> 'error' THEN value END AS psnr, CASE WHEN event_type <> 'view' THEN value / 500 END AS ssim FROM events)
+SELECT user_id, count(psnr) AS samples, round(avg(psnr), 6) AS avg_psnr, min(psnr) AS min_psnr, max(psnr) AS max_psnr,
+  round(avg(ssim), 6) AS avg_ssim, min(ssim) AS min_ssim, max(ssim) AS max_ssim
+FROM q GROUP BY user_id""")
+def quality_metrics(spark, sf_dir):
+    own = events(spark, sf_dir).select("user_id", F.when(F.col("event_type") != "error", F.col("value")).alias("psnr"), F.when(F.col("event_type") != "view", F.col("value") / 500).alias("ssim"))
+    return rounded(metrics.quality_metrics(own, U, "psnr", "ssim"), "avg_psnr", "avg_ssim")
+
+
+@query("""
+SELECT user_id, min(CASE WHEN value <> 0 THEN value END) AS min_kbps, max(value) AS max_kbps, round(avg(value), 6) AS avg_kbps,
+  round(var_pop(value), 4) AS var_kbps, abs(avg(value) - 50) / 50.0 <= 0.1 AS on_target
+FROM events GROUP BY user_id""")
+def bitrate_stats(spark, sf_dir):
+    own = metrics.bitrate_stats(events(spark, sf_dir), U, "value", 50.0, 0.1)
+    return rounded(own, "avg_kbps").withColumn("var_kbps", F.round("var_kbps", 4))
+
+
+@query("""
+WITH q AS (SELECT user_id, CASE WHEN event_type = 'error' THEN 'inf'::DOUBLE ELSE value END AS psnr FROM events)
+SELECT user_id, round(avg(psnr) FILTER (isfinite(psnr)), 6) AS avg_psnr, min(psnr) FILTER (isfinite(psnr)) AS min_psnr
+FROM q GROUP BY user_id""")
+def finite_quality(spark, sf_dir):
+    own = events(spark, sf_dir).select("user_id", F.when(F.col("event_type") == "error", float("inf")).otherwise(F.col("value")).alias("psnr"))
+    return own.groupBy("user_id").agg(r6(metrics.finite_mean("psnr")).alias("avg_psnr"), metrics.finite_min("psnr").alias("min_psnr"))
+
+
+@query("""
+WITH b AS (SELECT * FROM (VALUES (1.0::DOUBLE), (5.0), (20.0), (50.0), (100.0), (NULL)) AS t(le))
+SELECT event_type, le, count(*) FILTER (le IS NULL OR value <= le) AS cumulative, round(sum(value), 6) AS sum, count(*) AS count, round(avg(value), 6) AS mean
+FROM events CROSS JOIN b GROUP BY event_type, le""")
+def histogram_cumulative(spark, sf_dir):
+    return rounded(metrics.histogram(events(spark, sf_dir), ["event_type"], "value", [1, 5, 20, 50, 100]), "sum", "mean")
+
+
+@query("""
+WITH s AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n, sum(value) AS s, avg(value) AS m FROM events GROUP BY event_type)
+SELECT event_type, n AS count, round(s, 6) AS sum, round(m, 6) AS mean, v[1] AS min, v[n] AS max,
+  v[least(floor(n * 0.5), n - 1)::BIGINT + 1] AS p50, v[least(floor(n * 0.95), n - 1)::BIGINT + 1] AS p95, v[least(floor(n * 0.99), n - 1)::BIGINT + 1] AS p99
+FROM s""")
+def percentile_nearest(spark, sf_dir):
+    return rounded(metrics.nearest_rank(events(spark, sf_dir), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}), "sum", "mean")
+
+
+@query("""
+SELECT user_id, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, round(stddev_pop(value), 5) AS std_pop,
+  round(coalesce(stddev_samp(value), 0), 5) AS std_samp, round(100.0::DOUBLE / avg(value), 6) AS throughput
+FROM events GROUP BY user_id""")
+def bench_stats(spark, sf_dir):
+    own = rounded(metrics.bench_stats(events(spark, sf_dir), U, "value", 100), "mean", "throughput")
+    return own.withColumns({c: F.round(c, 5) for c in ("std_pop", "std_samp")})
+
+
+@query("SELECT event_type, count(*) AS n, max(ts) AS last_ts FROM events GROUP BY event_type")
+def error_counts(spark, sf_dir):
+    return metrics.error_counts(events(spark, sf_dir), "event_type", "ts")
+
+
+@query("SELECT user_id, event_type, arg_max(value, ts) AS value FROM events GROUP BY user_id, event_type")
+def gauge_latest(spark, sf_dir):
+    return metrics.gauge(events(spark, sf_dir), ["user_id", "event_type"], "value", "ts")
+
+
+@query("""
+SELECT user_id, round(avg(CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS success_rate,
+  round(avg(CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE ELSE 0.0 END) * 100, 6) AS availability,
+  sum(event_id)::BIGINT // count(event_id) AS avg_latency
+FROM events GROUP BY user_id""")
+def success_rates(spark, sf_dir):
+    kind = F.col("event_type")
+    return events(spark, sf_dir).groupBy("user_id").agg(r6(metrics.share(kind == "purchase")).alias("success_rate"), r6(metrics.share(kind != "error", 100.0, 100.0)).alias("availability"), metrics.integer_mean("event_id").alias("avg_latency"))
+
+
+@query("SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS \"{t}\"" for t in TYPES) + ", count(*) AS total FROM events GROUP BY user_id")
+def state_counts(spark, sf_dir):
+    return metrics.state_counts(events(spark, sf_dir), U, "event_type", TYPES)
+
+
+@query("""
+SELECT user_id, CASE max(CASE event_type WHEN 'error' THEN 2 WHEN 'view' THEN 0 ELSE 1 END) WHEN 2 THEN 'unhealthy' WHEN 1 THEN 'degraded' ELSE 'healthy' END AS status, count(*) AS checks
+FROM events GROUP BY user_id""")
+def health_rollup(spark, sf_dir):
+    status = F.when(F.col("event_type") == "error", "unhealthy").when(F.col("event_type") == "view", "healthy").otherwise("degraded")
+    return metrics.worst_status(events(spark, sf_dir).withColumn("status", status), U, "status")
+
+
+@query("""
+SELECT user_id, count(*) AS entries, count(*) FILTER (event_type = 'view') AS checks, count(*) FILTER (event_type = 'error') AS violations,
+  round(CASE WHEN count(*) FILTER (event_type = 'view') > 0 THEN 1 - count(*) FILTER (event_type = 'error') / count(*) FILTER (event_type = 'view') ELSE 1.0 END, 6) AS compliance_rate
+FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-25' GROUP BY user_id""")
+def audit_report(spark, sf_dir):
+    own = events(spark, sf_dir).where(F.col("ts").between(F.lit("2024-01-03").cast("timestamp_ntz"), F.lit("2024-01-25").cast("timestamp_ntz")))
+    return rounded(metrics.audit_report(own, U, "event_type", "view", "error"), "compliance_rate")
+
+
+@query("""
+WITH k AS (SELECT user_id, CASE WHEN event_type IN ('view', 'signup') THEN 'progressive' WHEN event_type = 'click' THEN 'top' ELSE 'bottom' END AS kind FROM events)
+SELECT user_id, round(count(*) FILTER (kind <> 'progressive') / count(*), 6) AS ratio,
+  CASE WHEN count(*) FILTER (kind <> 'progressive') / count(*) > 0.7 THEN 'interlaced' WHEN count(*) FILTER (kind <> 'progressive') / count(*) < 0.3 THEN 'progressive' ELSE 'mixed' END AS content,
+  CASE WHEN count(*) FILTER (kind = 'top') >= count(*) FILTER (kind = 'bottom') THEN 'top_first' ELSE 'bottom_first' END AS field_order
+FROM k GROUP BY user_id""")
+def interlace_type(spark, sf_dir):
+    kind = F.when(F.col("event_type").isin("view", "signup"), "progressive").when(F.col("event_type") == "click", "top").otherwise("bottom")
+    return rounded(metrics.interlace_type(events(spark, sf_dir).withColumn("kind", kind), U, "kind"), "ratio")
+
+
+@query(f"""
+WITH s AS (SELECT user_id, value, abs(value - lag(value) OVER ({W})) AS step FROM events)
+SELECT user_id, round(least(greatest(avg(value) / 500.0, 0), 1), 6) AS level, round(least(greatest(stddev_pop(value) / 500.0, 0), 1), 6) AS spread,
+  round(least(greatest(coalesce(avg(step) / 500.0, 0), 0), 1), 6) AS motion,
+  round(avg(CASE WHEN coalesce(step, 0) > 60 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS scene_rate, round(avg(CASE WHEN value < 10 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS dark_ratio
+FROM s GROUP BY user_id""")
+def feature_vector(spark, sf_dir):
+    own = metrics.content_features(events(spark, sf_dir), U, ORDER, "value", 60.0, 10.0, 500.0)
+    return rounded(own, "level", "spread", "motion", "scene_rate", "dark_ratio")
+
+
+@query("""
+SELECT l_returnflag, round(avg(abs(l_quantity * 1500 - l_extendedprice)), 4) AS mae, count(*) AS n FROM lineitem GROUP BY l_returnflag""")
+def prediction_error(spark, sf_dir):
+    own = table(spark, sf_dir, "lineitem").withColumn("predicted", F.col("l_quantity") * 1500)
+    return metrics.mean_absolute_error(own, ["l_returnflag"], "predicted", "l_extendedprice").withColumn("mae", F.round("mae", 4))
+
+
+@query("""
+WITH t AS (SELECT l_orderkey, l_discount * 10 AS progress, CASE WHEN l_linestatus = 'F' AND l_returnflag = 'A' THEN 'completed' WHEN l_linestatus = 'F' THEN 'failed' WHEN l_returnflag = 'N' THEN 'running' ELSE 'cancelled' END AS state FROM lineitem)
+SELECT l_orderkey, round(avg(progress), 6) AS progress,
+  CASE WHEN bool_and(state = 'completed') THEN 'completed' WHEN bool_and(state = 'cancelled') THEN 'cancelled' WHEN bool_or(state = 'failed') AND NOT bool_or(state = 'running') THEN 'failed' WHEN bool_or(state = 'running') THEN 'running' ELSE 'pending' END AS state,
+  count(*) AS tasks
+FROM t GROUP BY l_orderkey""")
+def job_rollup(spark, sf_dir):
+    state = F.when((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A"), "completed").when(F.col("l_linestatus") == "F", "failed").when(F.col("l_returnflag") == "N", "running").otherwise("cancelled")
+    tasks = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_discount") * 10).alias("progress"), state.alias("state"), F.lit("pending").alias("previous"))
+    return rounded(metrics.job_progress(tasks, "l_orderkey", "state", "progress", "previous"), "progress")
+
+
+@query("SELECT p_brand, sum(p_size::BIGINT * 1000 * trunc(p_retailprice)::BIGINT // 8)::BIGINT AS bytes FROM part GROUP BY p_brand")
+def estimated_storage(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(metrics.estimated_storage("cast(p_size as bigint)", "p_retailprice").alias("bytes"))
+
+
+_RATES = "SELECT n_name AS provider, (n_nationkey % 7 + 1) * 0.01::DOUBLE AS per_minute, (n_nationkey % 5 + 1) * 0.02::DOUBLE AS per_gb_storage, (n_regionkey + 1) * 0.05::DOUBLE AS per_gb_transfer FROM nation"
+_COSTS = f"SELECT provider, per_minute * 90 AS compute_cost, per_gb_storage * 12 AS storage_cost, per_gb_transfer * 4 AS transfer_cost, per_minute * 90 + per_gb_storage * 12 + per_gb_transfer * 4 AS total_cost FROM ({_RATES})"
+
+
+def _costs(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    rates = n.select(F.col("n_name").alias("provider"), ((F.col("n_nationkey") % 7 + 1) * 0.01).alias("per_minute"), ((F.col("n_nationkey") % 5 + 1) * 0.02).alias("per_gb_storage"), ((F.col("n_regionkey") + 1) * 0.05).alias("per_gb_transfer"))
+    return metrics.cost(rates, 90.0, 12.0, 4.0)
+
+
+@query(f"SELECT provider, round(compute_cost, 6) AS compute_cost, round(storage_cost, 6) AS storage_cost, round(transfer_cost, 6) AS transfer_cost, round(total_cost, 6) AS total_cost FROM ({_COSTS})")
+def cost_compare(spark, sf_dir):
+    return rounded(_costs(spark, sf_dir), "compute_cost", "storage_cost", "transfer_cost", "total_cost")
+
+
+@query(f"SELECT provider, round(total_cost, 6) AS total_cost FROM ({_COSTS}) ORDER BY round(total_cost, 9), provider LIMIT 1")
+def cheapest_provider(spark, sf_dir):
+    return rounded(metrics.cheapest(_costs(spark, sf_dir).withColumn("total_cost", F.round("total_cost", 9))), "total_cost")
+
+
+@query("""
+WITH b AS (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding) > 0 AS bit FROM embeddings)
+SELECT label, pos::INTEGER AS pos, count(*) FILTER (bit) > count(*) FILTER (NOT bit) AS bit, round(greatest(count(*) FILTER (bit), count(*) FILTER (NOT bit)) / count(bit), 6) AS confidence
+FROM b GROUP BY label, pos""")
+def consensus_vote(spark, sf_dir):
+    own = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: x > 0).alias("bits"))
+    return rounded(metrics.majority_bits(own, ["label"], "bits"), "confidence")
+
+
+# Windows
+
+
+@query(f"SELECT event_id, user_id, round(avg(value) OVER ({W} ROWS 4 PRECEDING), 6) AS moving_average FROM events")
+def moving_average(spark, sf_dir):
+    return rounded(windows.moving_average(events(spark, sf_dir), U, ORDER, "value", 5), "moving_average").select("event_id", "user_id", "moving_average")
+
+
+@query("""
+SELECT event_id, least(count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE 86400000000 PRECEDING), 20) AS retained FROM events""")
+def retained_points(spark, sf_dir):
+    return windows.retained(events(spark, sf_dir), U, "ts", "event_id", 86_400, 20).select("event_id", "retained")
+
+
+@query("""
+WITH a AS (SELECT user_id, count(*) AS n, arg_max(value, ts) AS latest, arg_min(value, ts) AS first, avg(value) AS average, min(value) AS min, max(value) AS max, stddev_samp(value) AS s, epoch(max(ts)) - epoch(min(ts)) AS span FROM events GROUP BY user_id)
+SELECT user_id, n, latest, round(average, 6) AS average, min, max, round(coalesce(s, CASE WHEN n = 1 THEN 0.0::DOUBLE END), 5) AS std_dev,
+  round(CASE WHEN n > 1 AND span > 0 THEN (latest - first) / span END, 6) AS rate_of_change
+FROM a""")
+def timeseries_stats(spark, sf_dir):
+    own = windows.series_stats(events(spark, sf_dir), U, "ts", "value", "event_id")
+    return rounded(own, "average", "rate_of_change").withColumn("std_dev", F.round("std_dev", 5))
+
+
+@query(f"""
+WITH h AS (SELECT event_id, user_id, sum(event_id) OVER ({W} ROWS UNBOUNDED PRECEDING) AS b, sum(value) OVER ({W} ROWS UNBOUNDED PRECEDING) AS t FROM events)
+SELECT event_id, user_id, round(b * 8 / t / 1000, 6) AS kbps FROM h WHERE t > 0""")
+def bitrate_history(spark, sf_dir):
+    return rounded(windows.bitrate_history(events(spark, sf_dir), U, ORDER, "event_id", "value"), "kbps").select("event_id", "user_id", "kbps")
+
+
+def _scores(spark, sf_dir):
+    return events(spark, sf_dir).withColumn("score", F.col("value") / 500)
+
+
+_SCENES = f"""
+t AS (SELECT event_id, user_id, ts, value / 500 AS score, count(*) OVER ({W} ROWS UNBOUNDED PRECEDING) AS seen,
+    avg(value / 500) OVER ({W} ROWS UNBOUNDED PRECEDING) AS m, stddev_pop(value / 500) OVER ({W} ROWS UNBOUNDED PRECEDING) AS s FROM events),
+c AS (SELECT *, CASE WHEN seen >= 10 THEN least(greatest(m + 2 * s, 0.1), 0.8) ELSE 0.3 END AS threshold FROM t)"""
+
+
+@query(f"WITH {_SCENES} SELECT event_id, user_id, seen, round(threshold, 5) AS threshold FROM c")
+def scene_scores(spark, sf_dir):
+    own = windows.adaptive_threshold(_scores(spark, sf_dir), U, ORDER, "score")
+    return own.select("event_id", "user_id", "seen", F.round("threshold", 5).alias("threshold"))
+
+
+def _cuts(spark, sf_dir):
+    own = windows.adaptive_threshold(_scores(spark, sf_dir), U, ORDER, "score")
+    return own.withColumn("cut", F.col("score") > F.col("threshold") + 1e-9)
+
+
+@query(f"""
+WITH {_SCENES},
+k AS (SELECT *, seen > 1 AND score > threshold + 1e-9 AS cut FROM c),
+g AS (SELECT *, sum(cut::INTEGER) OVER ({W} ROWS UNBOUNDED PRECEDING) AS segment, CASE WHEN lead(cut) OVER ({W}) THEN lead(score) OVER ({W}) END AS nxt FROM k)
+SELECT user_id, segment::BIGINT AS segment, min(seen) AS start, max(seen) AS "end", count(*) AS "rows", round(coalesce(max(nxt), 1.0), 6) AS confidence
+FROM g GROUP BY user_id, segment""")
+def scene_segments(spark, sf_dir):
+    return rounded(windows.islands(_cuts(spark, sf_dir), U, ORDER, "cut", "seen", "score"), "confidence")
+
+
+@query()
+def scene_segments_mingap(spark, sf_dir):
+    spaced = recurrences.spaced_cuts(_cuts(spark, sf_dir).select("user_id", "seen", "score", F.col("cut").alias("candidate")), U, "seen", "candidate", 12)
+    return rounded(windows.islands(spaced, U, ["seen"], "cut", "seen", "score"), "confidence")
+
+
+@query(f"""
+WITH p AS (SELECT event_id, user_id, value, (row_number() OVER ({W}) - 1) % 12 AS place, lag(value) OVER ({W}) AS before FROM events)
+SELECT event_id, user_id, CASE WHEN place = 0 OR coalesce(abs(value - before) > 0.5 * before, false) THEN 'I' WHEN place % 3 = 0 THEN 'P' ELSE 'B' END AS frame_type FROM p""")
+def gop_types(spark, sf_dir):
+    return windows.gop_types(events(spark, sf_dir), U, ORDER, "value").select("event_id", "user_id", "frame_type")
+
+
+# Matching
+
+
+def _side(spark, sf_dir, kind):
+    return events(spark, sf_dir).where(F.col("event_type") == kind).select("event_id", "user_id", "ts", "value")
+
+
+_ASOF = "SELECT a.event_id, a.user_id, a.ts, b.ts AS right_ts, b.value AS right_value FROM (SELECT * FROM events WHERE event_type = 'view') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') b ON a.user_id = b.user_id AND a.ts >= b.ts"
+
+
+@query(f"SELECT event_id, right_ts, right_value FROM ({_ASOF})")
+def asof_match(spark, sf_dir):
+    return matching.as_of(_side(spark, sf_dir, "view"), _side(spark, sf_dir, "click"), U, "ts", "value", "event_id").select("event_id", "right_ts", "right_value")
+
+
+@query(f"SELECT event_id, epoch_us(ts) - epoch_us(right_ts) AS drift_us FROM ({_ASOF}) WHERE epoch_us(ts) - epoch_us(right_ts) <= 7200000000")
+def asof_sync(spark, sf_dir):
+    return matching.synchronized(_side(spark, sf_dir, "view"), _side(spark, sf_dir, "click"), U, "ts", "value", "event_id", 7_200_000_000).select("event_id", "drift_us")
+
+
+@query("""
+WITH k AS (SELECT user_id, epoch_us(ts) AS at_us, value FROM events),
+ends AS (SELECT user_id, min(at_us) AS lo, max(at_us) AS hi FROM k GROUP BY user_id),
+g AS (SELECT user_id, unnest(range(lo, hi + 1, 21600000000)) AS at_us FROM ends),
+p AS (SELECT g.user_id, g.at_us, k.at_us AS pa, k.value AS pv FROM g ASOF LEFT JOIN k ON g.user_id = k.user_id AND g.at_us >= k.at_us),
+n AS (SELECT p.*, k.at_us AS na, k.value AS nv FROM p ASOF LEFT JOIN k ON p.user_id = k.user_id AND p.at_us < k.at_us)
+SELECT user_id, at_us, round(CASE WHEN pa IS NULL THEN nv WHEN na IS NULL THEN pv ELSE pv + (nv - pv) * ((at_us - pa) / (na - pa)) END, 6) AS value FROM n""")
+def resample_grid(spark, sf_dir):
+    keys = events(spark, sf_dir).select("user_id", timebase.micros("ts").alias("at_us"), "value")
+    found = matching.surrounding(matching.regular_grid(keys, U, "at_us", 21_600_000_000), keys, U, "at_us", "value")
+    return found.select("user_id", "at_us", r6(matching.interpolated(found, "at_us")).alias("value"))
+
+
+@query("""
+WITH m AS (SELECT n_regionkey AS source_index, arg_min(n_nationkey, n_nationkey) AS dest_index FROM nation GROUP BY n_regionkey)
+SELECT event_id, dest_index FROM events JOIN m ON user_id % 7 = source_index""")
+def stream_mapping(spark, sf_dir):
+    packets = events(spark, sf_dir).select("event_id", (F.col("user_id") % 7).alias("stream_index"))
+    mapping = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("source_index"), F.col("n_nationkey").alias("dest_index"), F.col("n_nationkey").alias("ord"))
+    return matching.mapped_streams(packets, mapping).select("event_id", "dest_index")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, s_suppkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY (s_acctbal > 5000)::INTEGER DESC, s_acctbal, s_suppkey) AS k
+  FROM orders JOIN supplier ON o_custkey % 25 = s_nationkey AND s_acctbal > 0)
+SELECT o_orderkey, s_suppkey FROM r WHERE k = 1""")
+def assign_worker(spark, sf_dir):
+    """Of the workers of a nation the choice is the same for each task, so one is kept before the join."""
+    workers = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0)
+    best = workers.groupBy("s_nationkey").agg(F.min_by(F.struct("s_suppkey", "s_acctbal"), F.struct((F.col("s_acctbal") <= 5000).cast("int"), "s_acctbal", "s_suppkey")).alias("w")).select("s_nationkey", "w.*")
+    tasks = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("codec"))
+    own = matching.best_worker(tasks, best, ["o_orderkey"], F.col("codec") == F.col("s_nationkey"), F.col("s_acctbal") > 5000, "s_acctbal", "s_suppkey")
+    return own.select("o_orderkey", "s_suppkey")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, rule FROM (
+  SELECT l_orderkey, l_linenumber, unnest(list_filter([CASE WHEN l_quantity > 45 THEN 'quantity' END, CASE WHEN l_discount >= 0.1 THEN 'discount' END, CASE WHEN l_tax <= 0 THEN 'no_tax' END], lambda x: x IS NOT NULL)) AS rule FROM lineitem)""")
+def integrity_violations(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("key", F.struct("l_orderkey", "l_linenumber"))
+    found = matching.violations(rows, "key", {"quantity": F.col("l_quantity") > 45, "discount": F.col("l_discount") >= 0.1, "no_tax": F.col("l_tax") <= 0})
+    return found.select("key.l_orderkey", "key.l_linenumber", "rule")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def unreferenced_orders(spark, sf_dir):
+    good = table(spark, sf_dir, "customer").where(F.col("c_acctbal") > 0)
+    return matching.unreferenced(table(spark, sf_dir, "orders"), "o_custkey", good, "c_custkey").select("o_orderkey")
+
+
+@query("SELECT page_id, sha256(html || url || 'v') AS digest, page_id % 3 <> 0 AS ok FROM pages")
+def verify_frames(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("y"), F.col("url").alias("u"), F.lit("v").alias("v"))
+    expected = pages.where(F.col("page_id") % 3 != 0).select("page_id", F.sha2(F.concat("y", "u", "v"), 256).alias("digest"))
+    return matching.verified_frames(pages, expected, ["page_id"])
+
+
+# Selection
+
+
+_SKY = """
+c AS (SELECT *, max(p_retailprice) OVER (ORDER BY p_size, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM part WHERE p_retailprice >= {low}),
+f AS (SELECT * FROM c WHERE m IS NULL OR p_retailprice > m)"""
+_FRONT = f"WITH {_SKY.format(low=905)}, r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY (p_retailprice >= 950)::INTEGER DESC, CASE WHEN p_retailprice >= 950 THEN p_size END, p_retailprice DESC, p_partkey) AS k FROM f)"
+
+
+@query(f"WITH {_SKY.format(low=0)} SELECT p_partkey, p_size, p_retailprice FROM f")
+def skyline(spark, sf_dir):
+    return selection.skyline(table(spark, sf_dir, "part"), "p_size", "p_retailprice", "p_partkey").select("p_partkey", "p_size", "p_retailprice")
+
+
+@query(f"{_FRONT} SELECT p_partkey, p_type, p_size, p_retailprice FROM r WHERE k = 1")
+def pareto_front(spark, sf_dir):
+    return selection.pareto_front(table(spark, sf_dir, "part"), "p_size", "p_retailprice", "p_partkey", 905, 950, ["p_type"]).select("p_partkey", "p_type", "p_size", "p_retailprice")
+
+
+@query("""
+WITH s AS (SELECT p_size, count(*) AS parts, row_number() OVER (ORDER BY p_size) - 1 AS a, count(*) OVER () AS n FROM part GROUP BY p_size),
+w AS (SELECT *, least(greatest(n, 3), 7, n) AS k FROM s)
+SELECT p_size, parts FROM w WHERE floor(ceil(a * k / n) * n / k) = a""")
+def select_rungs(spark, sf_dir):
+    sizes = table(spark, sf_dir, "part").groupBy("p_size").agg(F.count("*").alias("parts"))
+    return selection.evenly_sampled(sizes, ["p_size"], 3, 7)
+
+
+@query("""
+WITH r AS (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY abs(p_size - 25), p_partkey) AS k FROM part)
+SELECT p_type, p_partkey FROM r WHERE k = 1""")
+def closest_rendition(spark, sf_dir):
+    return selection.nearest(table(spark, sf_dir, "part"), F.abs(F.col("p_size") - 25), "p_partkey", ["p_type"]).select("p_type", "p_partkey")
+
+
+@query(f"""
+WITH s AS (SELECT * FROM (VALUES {", ".join(f"({w}, {h}, {s}::DOUBLE)" for w, h, s in selection.LADDER_SIZES)}) AS t(width, height, scale)),
+f AS (SELECT unnest([{", ".join(map(str, selection.LADDER_FACTORS))}]::DOUBLE[]) AS factor),
+k AS (SELECT *, 4000.0::DOUBLE * scale * factor AS kbps FROM s CROSS JOIN f),
+v AS (SELECT *, least(greatest(100 * (1 - exp(-500 * (kbps * 1000 / (width * height * 30.0)))) - 10 * 0.4 - 5 * (1 - scale), 0), 100) AS vmaf FROM k WHERE width * height <= 2560 * 1440 AND kbps BETWEEN 500 AND 6000)
+SELECT width, height, factor, round(kbps, 6) AS kbps, round(vmaf, 6) AS vmaf FROM v WHERE vmaf >= 40""")
+def ladder_candidates(spark, sf_dir):
+    own = selection.ladder_candidates(spark, 4000, 0.4, 30.0, 2560 * 1440, 500, 6000, 40)
+    return rounded(own, "kbps", "vmaf").select("width", "height", "factor", "kbps", "vmaf")
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderpriority DESC, o_orderdate, o_orderkey LIMIT 50")
+def pending_topk(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").withColumn("state", F.when(F.col("o_orderstatus") == "P", "pending").otherwise("done"))
+    return selection.pending_tasks(own, 50, "state", "o_orderpriority", "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderpriority", "o_orderdate")
+
+
+@query("""
+SELECT s_suppkey, s_acctbal FROM supplier WHERE s_nationkey >= 10
+UNION ALL SELECT s_suppkey, s_acctbal + 1 FROM supplier WHERE s_nationkey < 10
+UNION ALL SELECT s_suppkey + 1000000, s_acctbal FROM supplier WHERE s_nationkey = 3""")
+def upsert_workers(spark, sf_dir):
+    old = table(spark, sf_dir, "supplier")
+    changed = old.where(F.col("s_nationkey") < 10).withColumn("s_acctbal", F.col("s_acctbal") + 1)
+    fresh = old.where(F.col("s_nationkey") == 3).withColumn("s_suppkey", F.col("s_suppkey") + 1_000_000)
+    return selection.upsert(old, changed.unionByName(fresh), "s_suppkey").select("s_suppkey", "s_acctbal")
+
+
+@query("SELECT event_id, user_id, (props->>'$.k')::INTEGER AS segment_index FROM events")
+def tasks_by_segment(spark, sf_dir):
+    own = events(spark, sf_dir).withColumn("segment", F.regexp_replace("props", '"k"', '"index"'))
+    return selection.in_job(own, "user_id", "segment").select("event_id", "user_id", "segment_index")
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 2) AND n_nationkey NOT IN (2, 8) AND substr(n_name, 1, 1) <> 'C'")
+def tagged_streams(spark, sf_dir):
+    own = table(spark, sf_dir, "nation").withColumn("tags", F.array(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.substring("n_name", 1, 1)))
+    return selection.tagged(own, "n_nationkey", "tags", exclude_ids=[2, 8], include=["r1", "r2"], exclude=["C"]).select("n_nationkey")
+
+
+# Segments
+
+
+@query("""
+WITH j AS (SELECT o_orderkey, o_totalprice / 10000 AS d FROM orders),
+s AS (SELECT o_orderkey, d, unnest(range(ceil(d / 10)::BIGINT)) AS i FROM j)
+SELECT o_orderkey, i::INTEGER AS segment_index, i * 10.0::DOUBLE AS segment_start, round(least(i * 10.0::DOUBLE + 10, d), 6) AS segment_end FROM s""")
+def job_segments(spark, sf_dir):
+    jobs = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 10000).alias("duration"))
+    return rounded(segments.tumbling(jobs, "duration", 10), "segment_end").select("o_orderkey", "segment_index", "segment_start", "segment_end")
+
+
+@query("""
+SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours' AS window_end, event_type, count(*) AS n, round(sum(value), 6) AS total
+FROM events GROUP BY 1, 2, 3""")
+def tumbling_segments(spark, sf_dir):
+    return rounded(segments.windowed(events(spark, sf_dir), "ts", 21_600, ["event_type"], "value"), "total")
+
+
+@query(f"""
+WITH k AS (SELECT event_id, row_number() OVER ({W}) AS k FROM events),
+c AS (SELECT event_id, (floor(k * 1.3::DOUBLE) - floor((k - 1) * 1.3::DOUBLE))::BIGINT AS n FROM k)
+SELECT event_id, unnest(range(n))::INTEGER AS copy FROM c""")
+def drop_duplicate(spark, sf_dir):
+    return segments.drop_duplicate(events(spark, sf_dir), U, ORDER, 1.3).select("event_id", "copy")
+
+
+@query(f"""
+WITH k AS (SELECT event_id, user_id, value, row_number() OVER ({W}) - 1 AS k, coalesce(lag(value) OVER ({W}), value) AS prev FROM events),
+o AS (SELECT *, unnest(range(greatest(floor((k - 1) * 1.5::DOUBLE) + 1, 0)::BIGINT, floor(k * 1.5::DOUBLE)::BIGINT + 1)) AS output FROM k)
+SELECT user_id, output, round(prev * (1 - least(greatest(output / 1.5::DOUBLE - (k - 1), 0), 1)) + value * least(greatest(output / 1.5::DOUBLE - (k - 1), 0), 1), 6) AS blended FROM o""")
+def blend_rate(spark, sf_dir):
+    return rounded(segments.blended(events(spark, sf_dir), U, ORDER, "value", 1.5), "blended").select("user_id", "output", "blended")
+
+
+@query(f"""
+WITH k AS (SELECT event_id, [2, 3, 2, 3][(row_number() OVER ({W}) - 1) % 4 + 1] AS n FROM events)
+SELECT event_id, unnest(range(n))::INTEGER AS field FROM k""")
+def telecine(spark, sf_dir):
+    return segments.telecine(events(spark, sf_dir), U, ORDER).select("event_id", "field")
+
+
+@query("""
+WITH p AS (SELECT 0 AS f, event_id AS pts FROM events WHERE event_type = 'view' UNION ALL SELECT 1, event_id FROM events WHERE event_type = 'click' UNION ALL SELECT 2, event_id FROM events WHERE event_type = 'error'),
+l AS (SELECT f, max(pts + 1) AS len FROM p GROUP BY f), o AS (SELECT f, coalesce(sum(len) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l)
+SELECT f AS file_index, (pts + off)::BIGINT AS pts FROM p JOIN o USING (f)""")
+def concat_offset(spark, sf_dir):
+    parts = [events(spark, sf_dir).where(F.col("event_type") == k).select(F.col("event_id").alias("pts"), F.lit(1).cast("long").alias("duration")) for k in ("view", "click", "error")]
+    return segments.concatenated(parts, "pts", "duration").select("file_index", "pts")
+
+
+@query("""
+WITH r AS (SELECT event_id, row_number() OVER (ORDER BY value, event_id) - 1 AS rank0, count(*) OVER () AS n FROM events)
+SELECT event_id, rank0, rank0 < floor(n * 0.8) AS is_train FROM r""")
+def train_split(spark, sf_dir):
+    return segments.train_split(events(spark, sf_dir), ["value", "event_id"], 0.8).select("event_id", "rank0", "is_train")
+
+
+# Rules and captions
+
+
+ALERTS = (
+    rules.AlertRule("low", "psnr", "below", lo=2.0, cooldown=3),
+    rules.AlertRule("high", "vmaf", "above", hi=150.0, severity="critical", cooldown=5),
+    rules.AlertRule("odd", "ssim", "out_of_range", lo=1.0, hi=120.0, cooldown=10),
+    rules.AlertRule("off", "psnr", "below", lo=400.0, enabled=False),
+    rules.AlertRule("never", "frame_rate", "below", lo=400.0),
+)
+_METRIC = "CASE event_type WHEN 'view' THEN 'psnr' WHEN 'click' THEN 'ssim' WHEN 'purchase' THEN 'vmaf' ELSE 'frame_rate' END"
+
+
+def _alerts(spark, sf_dir):
+    kind = F.col("event_type")
+    metric = F.when(kind == "view", "psnr").when(kind == "click", "ssim").when(kind == "purchase", "vmaf").otherwise("frame_rate")
+    return rules.fired(events(spark, sf_dir).select("event_id", "user_id", "value", metric.alias("metric")), ALERTS, "metric", "value")
+
+
+@query(f"""
+WITH m AS (SELECT event_id, value, {_METRIC} AS metric FROM events)
+SELECT event_id, 'low' AS rule, 'warning' AS severity FROM m WHERE metric = 'psnr' AND value < 2
+UNION ALL SELECT event_id, 'high', 'critical' FROM m WHERE metric = 'vmaf' AND value > 150
+UNION ALL SELECT event_id, 'odd', 'warning' FROM m WHERE metric = 'ssim' AND (value < 1 OR value > 120)""")
+def alert_predicates(spark, sf_dir):
+    return _alerts(spark, sf_dir).select("event_id", "rule", "severity")
+
+
+@query()
+def alert_cooldown(spark, sf_dir):
+    ranked = _alerts(spark, sf_dir).select("user_id", "event_id", "rule", "cooldown")
+    return recurrences.cooled_down(ranked, ["user_id", "rule"], "event_id", "cooldown")
+
+
+COMPLIANCE = (
+    rules.ComplianceRule("balance", "A", "error", (rules.Condition("c_acctbal", "gt", "0"), rules.Condition("c_nationkey", "lt", "20"))),
+    rules.ComplianceRule("segment", "A", "warning", (rules.Condition("c_mktsegment", "ne", "MACHINERY"), rules.Condition("missing", "gt", "5"))),
+    rules.ComplianceRule("name", "B", "critical", (rules.Condition("c_name", "matches", "0[0-4]$"),)),
+    rules.ComplianceRule("email", "C", "critical", (rules.Condition("email", "exists"),)),
+)
+_BROKEN = """
+SELECT c_custkey, 'balance' AS rule, 'error' AS severity, CASE WHEN NOT c_acctbal > 0 THEN 'c_acctbal' ELSE 'c_nationkey' END AS field FROM customer WHERE NOT (c_acctbal > 0 AND c_nationkey < 20)
+UNION ALL SELECT c_custkey, 'segment', 'warning', 'c_mktsegment' FROM customer WHERE c_mktsegment = 'MACHINERY'
+UNION ALL SELECT c_custkey, 'name', 'critical', 'c_name' FROM customer WHERE NOT regexp_matches(c_name, '0[0-4]$')"""
+
+
+@query(_BROKEN)
+def compliance_rules(spark, sf_dir):
+    return rules.rule_violations(table(spark, sf_dir, "customer"), COMPLIANCE, "c_custkey", ["A", "B"])
+
+
+@query(f"WITH b AS ({_BROKEN}) SELECT c_custkey, count(rule) AS violations, count(*) FILTER (severity IN ('error', 'critical')) = 0 AS passed FROM customer LEFT JOIN b USING (c_custkey) GROUP BY c_custkey")
+def compliance_summary(spark, sf_dir):
+    return rules.compliant(table(spark, sf_dir, "customer"), COMPLIANCE, "c_custkey", ["A", "B"])
+
+
+def _cues(spark, sf_dir):
+    """Captions of two seconds a turn, cut short or prolonged by the text's length."""
+    start = F.col("turn") * 2000
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", start.alias("start_ms"), (start + 200 + F.length("text") * 7).alias("end_ms"), "text", (1.0 / (F.col("turn") + 1)).alias("confidence"))
+
+
+_CUES = "c AS (SELECT conv_id, turn, turn * 2000 AS start_ms, turn * 2000 + 200 + length(text) * 7 AS end_ms, text FROM conversations)"
+_WORDS = r"CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) = 0 THEN 0 ELSE len(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) END"
+
+
+@query(f"""
+WITH {_CUES}
+SELECT conv_id, turn, round({_WORDS} / ((end_ms - start_ms) / 60000), 6) AS wpm, round(length(text) / ((end_ms - start_ms) / 1000), 6) AS cps FROM c""")
+def cue_speed(spark, sf_dir):
+    own = _cues(spark, sf_dir)
+    text, a, b = F.col("text"), F.col("start_ms"), F.col("end_ms")
+    return own.select("conv_id", "turn", r6(rules.words_per_minute(text, a, b)).alias("wpm"), r6(rules.chars_per_second(text, a, b)).alias("cps"))
+
+
+@query(f"""
+WITH {_CUES}, g AS (SELECT *, end_ms - start_ms AS len, lead(start_ms) OVER (PARTITION BY conv_id ORDER BY turn) - end_ms AS gap, {_WORDS} AS words FROM c),
+s AS (SELECT * FROM (VALUES ('strict', 1000, 3000, 20.0, 200.0, 500), ('loose', 300, 9000, 140.0, 1500.0, 5000)) AS t(standard, lo, hi, cps, wpm, maxgap))
+SELECT conv_id, turn, standard, unnest(list_filter([CASE WHEN len < lo THEN 'too_short' END, CASE WHEN len > hi THEN 'too_long' END, CASE WHEN length(text) / (len / 1000) > cps THEN 'too_fast' END,
+  CASE WHEN words / (len / 60000) > wpm THEN 'too_wordy' END, CASE WHEN length(trim(text)) = 0 THEN 'empty' END, CASE WHEN gap > maxgap THEN 'gap' END], lambda x: x IS NOT NULL)) AS issue
+FROM g CROSS JOIN s""")
+def cue_checks(spark, sf_dir):
+    standards = [rules.CaptionStandard("strict", 1000, 3000, 20.0, 200.0, 500), rules.CaptionStandard("loose", 300, 9000, 140.0, 1500.0, 5000)]
+    return rules.caption_issues(_cues(spark, sf_dir), "conv_id", "turn", standards)
+
+
+@query()
+def cue_merge(spark, sf_dir):
+    return recurrences.merged_cues(_cues(spark, sf_dir), "conv_id", "turn", 1500, 400)
+
+
+@query()
+def cue_split(spark, sf_dir):
+    return recurrences.split_cues(_cues(spark, sf_dir), "conv_id", "turn", 4000, 400)
+
+
+@query(rf"WITH {_CUES} SELECT conv_id, start_ms, end_ms, rtrim(text, chr(10)) AS text FROM c")
+def srt_roundtrip(spark, sf_dir):
+    texts = subtitles.srt_text(_cues(spark, sf_dir), "conv_id", "turn")
+    return subtitles.parse_srt_cues(texts, "conv_id", "srt").select("conv_id", "start_ms", "end_ms", "text")
+
+
+@query(rf"WITH {_CUES} SELECT conv_id, greatest(start_ms - 3000, 0) AS start_ms, greatest(end_ms - 3000, 0) AS end_ms, rtrim(text, chr(10)) AS text FROM c")
+def vtt_shifted(spark, sf_dir):
+    moved = subtitles.shift(_cues(spark, sf_dir), -3000)
+    return subtitles.parse_vtt_cues(subtitles.vtt_text(moved, "conv_id", "turn"), "conv_id", "vtt").select("conv_id", "start_ms", "end_ms", "text")
+
+
+@query(f"WITH {_CUES} SELECT conv_id, turn, (start_ms // 33) * 33 AS start_ms, ceil(end_ms / 33)::BIGINT * 33 AS end_ms FROM c")
+def cue_snap(spark, sf_dir):
+    return subtitles.snapped(_cues(spark, sf_dir), 30.0).select("conv_id", "turn", "start_ms", "end_ms")
+
+
+# Scalars
+
+
+@query("""
+SELECT event_id, event_id * 1001 * 90000 // 30000 AS ticks, round(event_id * 1001 / 30000.0::DOUBLE, 6) AS seconds FROM events""")
+def timebase_rescale(spark, sf_dir):
+    own = events(spark, sf_dir)
+    return own.select("event_id", timebase.rescale(F.col("event_id"), 1001, 30000, 1, 90000).alias("ticks"), r6(timebase.to_seconds(F.col("event_id"), 1001, 30000)).alias("seconds"))
+
+
+@query("""
+WITH d AS (SELECT event_id, event_id * 7 AS f, (event_id * 7) // 17982 AS tens, (event_id * 7) % 17982 AS rest FROM events),
+n AS (SELECT event_id, f, f + tens * 18 + CASE WHEN rest >= 1800 THEN (1 + (rest - 1800) // 1798) * 2 ELSE 0 END AS x FROM d)
+SELECT event_id, printf('%02d:%02d:%02d;%02d', (x // 108000) % 24, (x // 1800) % 60, (x // 30) % 60, x % 30) AS timecode, f AS back FROM n WHERE f < 2589408""")
+def dropframe_roundtrip(spark, sf_dir):
+    own = events(spark, sf_dir).select("event_id", (F.col("event_id") * 7).alias("f")).where(F.col("f") < 2_589_408)
+    coded = own.withColumn("timecode", timebase.drop_frame_timecode(F.col("f"), "29.97"))
+    return coded.select("event_id", "timecode", timebase.drop_frame_to_frame(F.col("timecode"), "29.97").alias("back"))
+
+
+@query("SELECT event_id, printf('%02d:%02d:%02d,%03d', e // 3600000, (e // 60000) % 60, (e // 1000) % 60, e % 1000) AS srt, e AS ms FROM (SELECT event_id, event_id * 997 AS e FROM events)")
+def subtitle_times(spark, sf_dir):
+    own = events(spark, sf_dir).select("event_id", timebase.format_srt(F.col("event_id") * 997).alias("srt"))
+    return own.withColumn("ms", timebase.parse_srt(F.col("srt")))
+
+
+@query("""
+SELECT p_partkey, p_size * 1000::BIGINT AS bitrate, p_size * 60.0::DOUBLE + 5.5 AS seconds, p_size * 16 AS width, p_size * 9 AS height, CASE WHEN p_size % 2 = 0 THEN '16:9' ELSE p_size || ':7' END AS ratio
+FROM part""")
+def option_parsing(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    own = table(spark, sf_dir, "part").select("p_partkey", options.bitrate(F.concat(size, F.lit("k"))).alias("bitrate"), options.seconds(F.concat(size, F.lit(":5.5"))).alias("seconds"), options.resolution(F.concat((F.col("p_size") * 16).cast("string"), F.lit("x"), (F.col("p_size") * 9).cast("string"))).alias("r"), options.aspect_ratio(F.when(F.col("p_size") % 2 == 0, "1.78").otherwise(F.concat(size, F.lit(":7")))).alias("ratio"))
+    return own.select("p_partkey", "bitrate", "seconds", "r.width", "r.height", "ratio")
+
+
+@query("""
+WITH p AS (SELECT event_id, value, least(value / 100, 1) * 0.35 + least(value / 200, 1) * 0.30 + least(value / 300, 1) * 0.20 + 0.5 * 0.15 AS c FROM events)
+SELECT event_id, round(20 * log10(value), 6) AS db, round(-0.691 + 10 * log10(value), 6) AS lufs, round(pow(10.0::DOUBLE, value / 500 / 20), 6) AS linear, round(c, 6) AS complexity,
+  CASE WHEN value >= 93 THEN 'excellent' WHEN value >= 80 THEN 'good' WHEN value >= 60 THEN 'fair' ELSE 'poor' END AS rating,
+  round(value / 500 * 0.4 + value / 400 * 0.3 + least(value / 4, 1.0) * 0.3, 9) AS load
+FROM p""")
+def score_functions(spark, sf_dir):
+    v = F.col("value")
+    part = lambda d: F.least(v / d, F.lit(1.0))
+    return events(spark, sf_dir).select("event_id", r6(scores.linear_to_db(v)).alias("db"), r6(scores.power_to_lufs(v)).alias("lufs"), r6(scores.db_to_linear(v / 500)).alias("linear"), r6(scores.profile_complexity(part(100), part(200), part(300), F.lit(0.5))).alias("complexity"), scores.quality_rating(v).alias("rating"), F.round(scores.worker_load(v / 500, v / 400, v), 9).alias("load"))
+
+
+# Arrays
+
+
+def _pairs(spark, sf_dir):
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 256)).alias("data"))
+    return matching.paired(own, own.withColumn("vec_id", F.col("vec_id") - 1), ["vec_id"])
+
+
+_PAIRS = "v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS d FROM embeddings), p AS (SELECT a.vec_id, a.d AS a, b.d AS b FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)"
+
+
+@query(f"""
+WITH {_PAIRS}, m AS (SELECT vec_id, a, b, list_sum(list_transform(range(1, 65), lambda i: (a[i] - b[i]) * (a[i] - b[i]))) / 64 AS mse FROM p)
+SELECT vec_id, round(mse, 6) AS mse, round(10 * log10(65025 / mse), 6) AS psnr,
+  round(list_sum(list_transform(range(1, 65), lambda i: abs(abs(a[i]) - abs(b[i])))) / list_sum(list_transform(range(1, 65), lambda i: abs(a[i]) + abs(b[i]))), 6) AS histogram_diff,
+  round(list_sum(list_transform(range(1, 65), lambda i: a[i] * b[i])) / 64, 6) AS correlation,
+  round(list_sum(list_transform(range(1, 65), lambda i: a[i] * 0.75 + b[i] * 0.25)), 6) AS blend_sum
+FROM m""")
+def psnr_pairs(spark, sf_dir):
+    own = _pairs(spark, sf_dir)
+    a, b = F.col("data"), F.col("data_dist")
+    size = lambda c: F.transform(c, lambda x: F.abs(x))
+    return own.withColumn("mse", arrays.mse(a, b)).select("vec_id", r6("mse").alias("mse"), r6(arrays.psnr(F.col("mse"))).alias("psnr"), r6(arrays.histogram_difference(size(a), size(b))).alias("histogram_diff"), r6(arrays.correlate(a, b)).alias("correlation"), r6(arrays.total(arrays.blend(a, b, 0.25))).alias("blend_sum"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS d FROM embeddings)
+SELECT vec_id, list_transform(range(64), lambda i: d[(i // 8) * 8 + (7 - i % 8) + 1])::BIGINT[] AS flipped, list_transform(range(64), lambda i: d[(i % 8) * 8 + i // 8 + 1])::BIGINT[] AS transposed FROM v""")
+def picture_flips(spark, sf_dir):
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 256)).alias("d"))
+    return own.select("vec_id", arrays.flip_rows(F.col("d"), 8).alias("flipped"), arrays.transpose(F.col("d"), 8).alias("transposed"))
+
+
+@query()
+def picture_quality(spark, sf_dir):
+    """SSIM and the combined score of neighbouring pictures of 8 x 8."""
+    own = _pairs(spark, sf_dir).withColumns({c: F.transform(c, lambda x: F.least(F.greatest(x + 128, F.lit(0)), F.lit(255)).cast("double")) for c in ("data", "data_dist")})
+    width = F.lit(8)
+    return own.select("vec_id", r6(kernels.pair_metric(kernels.ssim)("data", "data_dist", width)).alias("ssim"), r6(kernels.pair_metric(kernels.vmaf_like)("data", "data_dist", width)).alias("vmaf"))
+
+
+# Loudness
+
+
+def _samples(spark, sf_dir):
+    numbered = windows.with_previous(events(spark, sf_dir), U, ORDER, "value")
+    place = F.row_number().over(windows.W.partitionBy("user_id").orderBy(*ORDER)) - 1
+    return numbered.select("user_id", place.alias("sample_no"), (F.col("value") / 500).alias("value"))
+
+
+_BLOCKS = f"""
+s AS (SELECT user_id, (row_number() OVER ({W}) - 1) // 8 AS block, value / 500 AS value FROM events),
+b AS (SELECT user_id, block, avg(value * value) AS power, -0.691 + 10 * log10(avg(value * value)) AS lufs FROM s GROUP BY user_id, block),
+a AS (SELECT *, -0.691 + 10 * log10(avg(power) OVER (PARTITION BY user_id)) AS ungated FROM b WHERE lufs >= -70)"""
+
+
+@query(f"""
+WITH {_BLOCKS}
+SELECT user_id, round(-0.691 + 10 * log10(avg(power)), 6) AS integrated, count(*) AS blocks FROM a WHERE lufs >= ungated - 10 GROUP BY user_id""")
+def gated_loudness(spark, sf_dir):
+    blocks = loudness.block_powers(_samples(spark, sf_dir), U, "sample_no", "value", 8)
+    return rounded(loudness.integrated(blocks, U), "integrated")
+
+
+@query(f"""
+WITH {_BLOCKS}, l AS (SELECT user_id, list_sort(list(lufs)) AS v, count(*) AS n FROM a WHERE lufs >= ungated - 20 GROUP BY user_id)
+SELECT user_id, round(v[least(ceil(n * 0.95::DOUBLE), n - 1)::BIGINT + 1] - v[floor(n * 0.1::DOUBLE)::BIGINT + 1], 6) AS lra FROM l""")
+def loudness_range(spark, sf_dir):
+    blocks = loudness.block_powers(_samples(spark, sf_dir), U, "sample_no", "value", 8)
+    return rounded(loudness.loudness_range(blocks, U), "lra")
+
+
+@query(f"""
+WITH m AS (SELECT event_id, user_id, ts, -0.691 + 10 * log10(avg(value / 500 * (value / 500)) OVER ({W} ROWS 3 PRECEDING)) AS momentary FROM events)
+SELECT event_id, round(momentary, 6) AS momentary, round(max(momentary) OVER ({W} ROWS UNBOUNDED PRECEDING), 6) AS max_momentary FROM m""")
+def momentary_loudness(spark, sf_dir):
+    own = events(spark, sf_dir).withColumn("value", F.col("value") / 500)
+    return rounded(loudness.sliding(own, U, ORDER, "value", 4, "momentary"), "momentary", "max_momentary").select("event_id", "momentary", "max_momentary")
+
+
+# Texts
+
+
+@query("""
+SELECT event_id AS frame, concat_ws(',', event_id, printf('%.2f', value), '', printf('%.2f', value * 2), CASE WHEN event_type = 'view' THEN printf('%.0f', floor(value)) ELSE '' END) AS line FROM events""")
+def csv_export_rows(spark, sf_dir):
+    own = events(spark, sf_dir).select(F.col("event_id").alias("frame"), F.col("value").alias("psnr"), F.lit(None).cast("double").alias("ssim"), (F.col("value") * 2).alias("vmaf"), F.when(F.col("event_type") == "view", F.floor("value").cast("double")).alias("bitrate"))
+    return render.dashboard_csv(own)
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS sequence, l_quantity, l_partkey, l_suppkey, l_shipdate, l_extendedprice FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, sequence, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS start_time, printf('segment_%05d.ts', sequence) AS uri FROM s""")
+def segment_names(spark, sf_dir):
+    own = table(spark, sf_dir, "lineitem").withColumn("at", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"))
+    return render.segments(own, ["l_orderkey"], "at", "l_quantity").select("l_orderkey", "l_linenumber", "l_partkey", F.col("sequence").cast("long").alias("sequence"), "start_time", "uri")
+
+
+@query("""
+WITH s AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS q, (o_orderkey % 7 + 2)::DOUBLE AS d FROM orders)
+SELECT o_custkey, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:6' || chr(10) || '#EXT-X-TARGETDURATION:' || max(d)::BIGINT || chr(10) || '#EXT-X-MEDIA-SEQUENCE:0' || chr(10)
+  || string_agg(printf('#EXTINF:%.3f,', d) || chr(10) || printf('segment_%05d.ts', q), chr(10) ORDER BY q) || chr(10) || '#EXT-X-ENDLIST' || chr(10) AS playlist
+FROM s GROUP BY o_custkey""")
+def media_playlists(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 7 + 2).cast("double").alias("duration"))
+    return render.media_playlist(render.segments(own, ["o_custkey"], "o_orderkey", "duration"), ["o_custkey"])
+
+
+@query("""
+WITH b AS (SELECT * FROM (VALUES (5.0::DOUBLE, '5.0'), (50.0, '50.0'), (NULL, '+Inf')) AS t(le, t)),
+h AS (SELECT event_type, t, le, count(*) FILTER (le IS NULL OR value <= le) AS n, count(*) AS c FROM events CROSS JOIN b GROUP BY event_type, t, le)
+SELECT 'v_bucket{event_type="' || event_type || '",le="' || t || '"} ' || n AS line FROM h
+UNION ALL SELECT 'v_count{event_type="' || event_type || '"} ' || c FROM h WHERE le IS NULL""")
+def exposition_lines(spark, sf_dir):
+    rows = metrics.histogram(events(spark, sf_dir), ["event_type"], "value", [5, 50])
+    return render.histogram_text(rows, "v", ["event_type"]).where(~F.col("line").startswith("v_sum"))
+
+
+# Filters, models, streams in batch
+
+
+@query("""
+WITH f AS (SELECT p_partkey, p_size * 16 AS w, p_size * 9 AS h FROM part), s AS (SELECT p_partkey, 640 AS w, (round(h * 640 / w / 2) * 2)::INTEGER AS h FROM f)
+SELECT p_partkey, least(w, 600) AS height, least(h, 300) AS width FROM s""")
+def filter_chain(spark, sf_dir):
+    own = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 16).alias("width"), (F.col("p_size") * 9).alias("height"))
+    return filters.apply(own, "scale=640:'-1',crop=w=600:h=300,transpose=1").select("p_partkey", "height", "width")
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_regionkey = 1 AND n_nationkey % 5 = 1")
+def stream_selection(spark, sf_dir):
+    own = table(spark, sf_dir, "nation").select("n_nationkey", F.lit(0).alias("file_index"), F.col("n_nationkey").alias("stream_index"), F.when(F.col("n_regionkey") == 1, "audio").otherwise("video").alias("stream_type"), (F.col("n_nationkey") % 5).alias("type_index"))
+    return own.where(rules.stream_selector("0:a:1")).select("n_nationkey")
+
+
+@query()
+def linreg_gd(spark, sf_dir):
+    own = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("q"), F.col("l_discount").alias("d"), (F.col("l_extendedprice") / 100_000).alias("y"))
+    weights = regression.fit(own, ["q", "d"], "y")
+    return spark.createDataFrame([(i, round(float(w), 6)) for i, w in enumerate(weights)], "place int, weight double")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY value, event_id) - 1 AS rank0 FROM events")
+def global_rank(spark, sf_dir):
+    return ranks.with_rank(events(spark, sf_dir), ["value", "event_id"]).select("event_id", "rank0")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value"))
+@query()
+def late_reorder(spark, sf_dir):
+    """Events of a user in order of value arrive as numbers that are only nearly in order."""
+    own = events(spark, sf_dir).select("user_id", F.col("event_id").alias("arrival"), (F.col("event_id") + F.pmod(F.xxhash64("event_id"), F.lit(40))).alias("seq"))
+    return recurrences.reordered(own, U, "arrival", "seq", 5000)
 
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+@query()
+def circuit_breaker(spark, sf_dir):
+    own = events(spark, sf_dir).select("user_id", "event_id", (F.col("event_type") != "error").alias("ok"))
+    return recurrences.circuit_breaker(own, U, "event_id", "ok", 2, 3)
