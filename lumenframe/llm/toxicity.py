@@ -77,15 +77,15 @@ def fit_model(features: list[np.ndarray], y: np.ndarray, totals: dict[int, int])
     prior = np.log((totals.get(1, 0) + 1) / (totals.get(0, 0) + 1))
     if not n1 or not n0:
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), float(prior))
-    lengths = np.array([len(f) for f in features])
-    at = np.concatenate(features).astype(np.int32)
-    row = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
-    held = [np.bincount(at[(y == label)[row]], minlength=size) + 0.5 for label in (0, 1)]
+    held = np.full((2, size), 0.5)
+    for own, label in zip(features, y.astype(int).tolist(), strict=True):
+        held[label, own] += 1  # a text's n-grams are distinct
     ratio = np.log((held[1] / (n1 + 1)) / (held[0] / (n0 + 1)))
     ratio[(np.abs(ratio) < CERTAIN * np.sqrt(1 / held[1] + 1 / held[0])) | (held[0] + held[1] < LEAST_TEXTS + 1)] = 0
     ratio = ratio.astype(np.float32)
-    used = ratio[at] != 0
-    at, row = at[used], row[used]
+    kept = [own[ratio[own] != 0] for own in features]
+    at = np.concatenate(kept).astype(np.int32)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(own) for own in kept])
     value = ratio[at]
     value = (value / np.sqrt(1 + np.bincount(row, weights=value * value, minlength=len(y)))[row]).astype(np.float32)
     weight, bias = np.zeros(size, np.float32), 0.0
