@@ -7,18 +7,42 @@ from pyspark.sql import functions as F
 
 #: Named frame sizes; fixed values.
 SIZES = {
-    "sqcif": (128, 96), "qcif": (176, 144), "cif": (352, 288), "4cif": (704, 576), "16cif": (1408, 1152),
-    "qqvga": (160, 120), "qvga": (320, 240), "vga": (640, 480), "svga": (800, 600), "xga": (1024, 768),
-    "uxga": (1600, 1200), "qxga": (2048, 1536), "sxga": (1280, 1024), "wvga": (852, 480), "wxga": (1366, 768),
-    "hd480": (852, 480), "hd720": (1280, 720), "hd1080": (1920, 1080), "2k": (2048, 1080), "4k": (4096, 2160),
-    "uhd2160": (3840, 2160), "uhd4320": (7680, 4320), "ntsc": (720, 480), "pal": (720, 576),
-}
+    "sqcif": (128, 96),
+    "qcif": (176, 144),
+    "cif": (352, 288),
+    "4cif": (704, 576),
+    "qqvga": (160, 120),
+    "qvga": (320, 240),
+    "vga": (640, 480),
+    "svga": (800, 600),
+    "xga": (1024, 768),
+    "sxga": (1280, 1024),
+    "wxga": (1366, 768),
+    "wsxga": (1600, 1024),
+    "wuxga": (1920, 1200),
+    "wqxga": (2560, 1600),
+    "wqsxga": (3200, 2048),
+    "wquxga": (3840, 2400),
+    "hd480": (852, 480),
+    "hd720": (1280, 720),
+    "720p": (1280, 720),
+    "hd1080": (1920, 1080),
+    "1080p": (1920, 1080),
+    "2k": (2048, 1080),
+    "4k": (3840, 2160),
+    "uhd": (3840, 2160),
+    "2160p": (3840, 2160),
+    "8k": (7680, 4320),
+    "4320p": (7680, 4320),
+    "ntsc": (720, 480),
+    "pal": (720, 576),
+}
 
 #: Container of a file name's extension; fixed values.
 CONTAINERS = {"mp4": "mp4", "m4v": "mp4", "m4a": "mp4", "mkv": "matroska", "webm": "webm", "ts": "mpegts", "mts": "mpegts", "m2ts": "mpegts", "flv": "flv", "mov": "mov"}
 
 #: Aspect ratios to which a decimal within 0.01 is snapped; fixed values.
-RATIOS = ((16, 9), (4, 3), (21, 9), (1, 1), (3, 2), (5, 4))
+RATIOS = ((16, 9), (4, 3), (21, 9), (185, 100), (235, 100), (239, 100))
 
 
 def _lookup(table: dict) -> Column:
@@ -60,14 +84,14 @@ def gcd(a: Column, b: Column) -> Column:
 
 def aspect_ratio(text: Column) -> Column:
     """'num:den' as it is; a decimal snapped to a known ratio, else in thousandths, reduced."""
-    pattern = r"^\s*(\d+)[:/](\d+)\s*$"
+    pattern = r"^\s*(\d+):(\d+)\s*$"
     num, den = (F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast("long") for k in (1, 2))
     value = F.when(text.rlike(r"^\s*\d+(\.\d+)?\s*$"), F.trim(text).cast("double"))
     snapped = F.coalesce(*[F.when(F.abs(value - n / d) < 0.01, F.format_string("%d:%d", F.lit(n), F.lit(d))) for n, d in RATIOS])
     whole = F.round(value * 1000).cast("long")
     divisor = gcd(whole, F.lit(1000))
     reduced = F.format_string("%d:%d", F.call_function("div", whole, divisor), F.call_function("div", F.lit(1000).cast("long"), divisor))
-    return F.when((num > 0) & (den > 0), F.format_string("%d:%d", num, den)).when(value > 0, F.coalesce(snapped, reduced))
+    return F.when(den > 0, F.format_string("%d:%d", num, den)).when(value > 0, F.coalesce(snapped, reduced))
 
 
 def container(extension: Column) -> Column:

@@ -214,24 +214,44 @@ def majority_bits(df: DataFrame, by: Sequence[str], bits: str) -> DataFrame:
     return votes.select(*by, "pos", F.when(total > 0, F.col("ones") > F.col("zeros")).alias("bit"), (F.greatest("ones", "zeros") / F.nullif(total, F.lit(0))).alias("confidence"))
 
 
-def interlace_type(df: DataFrame, by: Sequence[str], kind: str, high: float = 0.7, low: float = 0.3) -> DataFrame:
-    """interlaced above `high` of rows, progressive below `low`, else mixed; field order by majority, top first on ties."""
-    inter, top, bottom = F.count_if(F.col(kind) != "progressive"), F.count_if(F.col(kind) == "top"), F.count_if(F.col(kind) == "bottom")
-    ratio = inter / F.count("*")
-    return df.groupBy(*by).agg(ratio.alias("ratio"), F.when(ratio > high, "interlaced").when(ratio < low, "progressive").otherwise("mixed").alias("content"), F.when(top >= bottom, "top_first").otherwise("bottom_first").alias("field_order"))
-
-
-def content_features(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, cut: float, dark: float, scale: float) -> DataFrame:
-    """Features of a sequence, each within 0 to 1: level, spread, motion (mean step), cut and dark shares."""
-    step = F.abs(F.col(value) - F.lag(value).over(W.partitionBy(*by).orderBy(*order)))
-    unit = lambda c: F.least(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    stepped = df.withColumn("__step", step)
-    return stepped.groupBy(*by).agg(
-        unit(F.avg(value) / scale).alias("level"),
-        unit(F.stddev_pop(value) / scale).alias("spread"),
-        unit(F.avg("__step") / scale).alias("motion"),
-        unit(F.avg((F.coalesce("__step", F.lit(0.0)) > cut).cast("double"))).alias("scene_rate"),
-        unit(F.avg((F.col(value) < dark).cast("double"))).alias("dark_ratio"),
+def interlace_type(df: DataFrame, by: Sequence[str], kind: str, least: int = 10, threshold: float = 0.5) -> DataFrame:
+    """Content type of analysed frames: progressive, top or bottom (field first).
+
+    Unknown below `least` frames, Progressive below a tenth of interlaced ones,
+    Interlaced above the threshold, else Mixed. The field order is the top's if
+    it has more than half of all frames (halves rounded down).
+    """
+    n, inter, top = F.count("*"), F.count_if(F.col(kind) != "progressive"), F.count_if(F.col(kind) == "top")
+    ratio = inter / n
+    return df.groupBy(*by).agg(
+        ratio.alias("ratio"),
+        F.when(n < least, "Unknown").when(ratio < 0.1, "Progressive").when(ratio > threshold, "Interlaced").otherwise("Mixed").alias("content"),
+        F.when((n >= least) & (ratio > threshold), F.when(top > F.floor(n / 2), "TopFieldFirst").otherwise("BottomFieldFirst")).alias("field_order"),
+    )
+
+
+def content_features(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Features of frame rows (variance, mean, motion, scene_change, edge_density, detail), each within 0 to 1.
+
+    Scene changes are counted from the second frame on, a second of 30 frames;
+    color_variance and grain_level are constants until something measures them.
+    """
+    ordered = W.partitionBy(*by).orderBy(*order)
+    before = F.lag("mean").over(ordered)
+    own = df.withColumn("__step", F.abs(F.col("mean") - before)).withColumn("__cut", F.when(before.isNotNull(), F.col("scene_change").cast("int")))
+    unit = lambda c, high: F.least(F.greatest(c / high, F.lit(0.0)), F.lit(1.0))
+    spatial, edges = F.avg("variance"), F.avg("edge_density")
+    return own.groupBy(*by).agg(
+        unit(spatial, 100).alias("spatial_complexity"),
+        unit(F.coalesce(F.avg("__step"), F.lit(0.0)), 50).alias("temporal_complexity"),
+        unit(F.avg("motion"), 1).alias("motion_magnitude"),
+        unit(F.coalesce(F.sum("__cut"), F.lit(0)) / F.greatest(F.count("*") / 30, F.lit(1.0)), 2).alias("scene_change_rate"),
+        F.lit(0.5).alias("color_variance"),
+        unit(edges, 1).alias("edge_density"),
+        unit(spatial * edges, 50).alias("texture_complexity"),
+        F.avg((F.col("mean") < 50).cast("double")).alias("dark_ratio"),
+        unit(F.avg("detail"), 1).alias("detail_ratio"),
+        F.lit(0.1).alias("grain_level"),
     )
 
 

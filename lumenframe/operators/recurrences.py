@@ -54,14 +54,16 @@ def spaced_cuts(df: DataFrame, by: Sequence[str], place: str, candidate: str, ga
 
 
 def merge_short(cues: list[dict], min_ms: int, gap_ms: int) -> list[dict]:
-    """Left fold: a cue shorter than min_ms takes in the next one if that begins within gap_ms of its end.
+    """Left fold: two cues of which one is shorter than min_ms become one if they are within gap_ms.
 
-    Confidence is averaged pair by pair.
+    The joined cue is looked at again with the next. Confidence is averaged pair
+    by pair.
     """
     out: list[dict] = []
+    short = lambda c: c["end_ms"] - c["start_ms"] < min_ms
     for cue in cues:
         last = out[-1] if out else None
-        if last and last["end_ms"] - last["start_ms"] < min_ms and max(cue["start_ms"] - last["end_ms"], 0) <= gap_ms:
+        if last and (short(last) or short(cue)) and max(cue["start_ms"] - last["end_ms"], 0) <= gap_ms:
             last["text"] = f"{last['text']} {cue['text']}"
             last["end_ms"] = cue["end_ms"]
             last["confidence"] = (last["confidence"] + cue["confidence"]) / 2
@@ -115,13 +117,13 @@ def split_cues(df: DataFrame, doc: str, order: str, max_ms: int, max_bytes: int)
 class Reorder:
     """Rows by sequence number out of a stream that is only nearly in order.
 
-    Late rows (before the expected number) are dropped. A gap of more than
-    `limit` flushes what is held and goes on after the row that caused it, which
-    is lost if the buffer is full.
+    Late rows (before the expected number) are dropped, and so are rows for
+    which the buffer of `limit` has no room. A row more than `limit` ahead makes
+    everything that is held come out, and what follows it is expected next.
     """
 
-    def __init__(self, limit: int, expected: int | None = None, held: dict | None = None):
-        self.limit, self.expected, self.held, self.dropped = limit, expected, held or {}, 0
+    def __init__(self, limit: int, expected: int | None = 0, held: list | None = None):
+        self.limit, self.expected, self.held, self.dropped = limit, expected, held or [], 0
 
     def push(self, seq: int, row) -> list:
         if self.expected is None:
@@ -129,25 +131,25 @@ class Reorder:
         if seq < self.expected:
             self.dropped += 1
             return []
-        out = []
-        if seq - self.expected > self.limit:
-            full = len(self.held) >= self.limit
-            out = self.flush()
-            if not full:
-                out.append(row)
-            else:
-                self.dropped += 1
-            self.expected = seq + 1
-            return out
-        self.held[seq] = row
-        while self.expected in self.held:
-            out.append(self.held.pop(self.expected))
+        if seq == self.expected:
+            out = [row]
             self.expected += 1
-        return out
+            while (at := next((i for i, (s, _) in enumerate(self.held) if s == self.expected), None)) is not None:
+                out.append(self.held.pop(at)[1])
+                self.expected += 1
+            return out
+        if len(self.held) < self.limit:
+            self.held.append((seq, row))
+        else:
+            self.dropped += 1
+        if seq > self.expected + self.limit:
+            self.expected = seq + 1
+            return self.flush()
+        return []
 
     def flush(self) -> list:
-        out = [self.held[s] for s in sorted(self.held)]
-        self.held = {}
+        out = [row for _, row in sorted(self.held, key=lambda h: h[0])]
+        self.held = []
         return out
 
 
@@ -157,7 +159,7 @@ def reordered(df: DataFrame, by: Sequence[str], arrival: str, seq: str, limit: i
 
     def fold(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(arrival, kind="stable").reset_index(drop=True)
-        buffer, out = Reorder(limit), []
+        buffer, out = Reorder(limit, None), []
         for at, s in enumerate(own[seq].tolist()):
             out += buffer.push(int(s), at)
         out += buffer.flush()
@@ -166,51 +168,56 @@ def reordered(df: DataFrame, by: Sequence[str], arrival: str, seq: str, limit: i
     return df.groupBy(*by).applyInPandas(fold, _schema(df, columns, "released long"))
 
 
-def breaker_states(outcomes: Sequence[bool], failures: int, successes: int) -> list[str]:
-    """States of a circuit breaker after each call (True: success).
+def breaker_states(calls: Sequence[tuple[int, bool]], failures: int, successes: int, open_for: int) -> list[str]:
+    """States of a circuit breaker after each call (time, success).
 
-    It opens at `failures` failures since the last success; the next call finds
-    it half open; `successes` in a row close it, a failure opens it again.
+    Closed, it opens at `failures` failures since the last success. A call at
+    least `open_for` after that finds it half open; earlier ones change nothing.
+    `successes` calls that succeed close it, one that fails opens it again.
     """
-    state, bad, good, out = "closed", 0, 0, []
-    for ok in outcomes:
-        if state == "open":
+    state, bad, good, since, out = "closed", 0, 0, 0, []
+    for at, ok in calls:
+        if state == "open" and at - since >= open_for:
             state, good = "half_open", 0
-        if ok:
-            bad = 0
-            if state == "half_open":
-                good += 1
-                if good >= successes:
-                    state = "closed"
-        else:
-            bad += 1
-            if state == "half_open" or bad >= failures:
-                state = "open"
+        if state == "closed":
+            bad = 0 if ok else bad + 1
+            if bad >= failures:
+                state, since = "open", at
+        elif state == "half_open":
+            good = good + 1 if ok else 0
+            if not ok:
+                state, since = "open", at
+            elif good >= successes:
+                state, bad, good = "closed", 0, 0
         out.append(state)
     return out
 
 
-def circuit_breaker(df: DataFrame, by: Sequence[str], order: str, ok: str, failures: int, successes: int) -> DataFrame:
+def circuit_breaker(df: DataFrame, by: Sequence[str], at: str, ok: str, failures: int, successes: int, open_for: int) -> DataFrame:
+    """df with the breaker's state after each call; `at` is its time as a whole number."""
     columns = df.columns
 
     def fold(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(order, kind="stable")
-        return own.assign(breaker=breaker_states(own[ok].tolist(), failures, successes))
+        own = own.sort_values(at, kind="stable")
+        return own.assign(breaker=breaker_states(list(zip(own[at].tolist(), own[ok].tolist(), strict=True)), failures, successes, open_for))
 
     return df.groupBy(*by).applyInPandas(fold, _schema(df, columns, "breaker string"))
 
 
-def kept_rungs(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, step: float) -> DataFrame:
-    """Rungs at least `step` better than the last one kept, from the first on."""
+def kept_rungs(df: DataFrame, by: Sequence[str], order: Sequence[str], kbps: str, vmaf: str, gap: int, low: float) -> DataFrame:
+    """Rungs from the highest down, at least `gap` kbit/s below the last one kept and of at least `low` quality.
+
+    A rung that is not below the last kept one counts as no gap.
+    """
     columns = df.columns
 
     def fold(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(list(order), kind="stable")
         kept, last = [], None
-        for v in own[value].tolist():
-            ok = last is None or v - last >= step
+        for rate, quality in zip(own[kbps].tolist(), own[vmaf].tolist(), strict=True):
+            ok = (last is None or max(last - rate, 0) >= gap) and quality >= low
             kept.append(ok)
-            last = v if ok else last
+            last = rate if ok else last
         return own[kept]
 
     return df.groupBy(*by).applyInPandas(fold, _schema(df, columns))

@@ -122,20 +122,19 @@ def chars_per_second(text: Column, start_ms: Column, end_ms: Column) -> Column:
 class CaptionStandard:
     name: str
     min_ms: int = 1000
-    max_ms: int = 7000
     max_cps: float = 20.0
     max_wpm: float = 200.0
     max_gap_ms: int = 5000
 
 
 def caption_issues(cues: DataFrame, doc: str, order: str, standards: Sequence[CaptionStandard]) -> DataFrame:
-    """(doc, order, standard, issue) of cues that are short, long, fast, wordy, empty or far from the next."""
+    """(doc, order, standard, issue) of cues that are short, fast, wordy, empty or far from the next."""
     ordered = W.partitionBy(doc).orderBy(order)
     own = cues.withColumn("__len", F.col("end_ms") - F.col("start_ms")).withColumn("__gap", F.lead("start_ms").over(ordered) - F.col("end_ms"))
     own = own.withColumn("__cps", chars_per_second(F.col("text"), F.col("start_ms"), F.col("end_ms"))).withColumn("__wpm", words_per_minute(F.col("text"), F.col("start_ms"), F.col("end_ms")))
     issues = []
     for s in standards:
-        for name, broken in (("too_short", F.col("__len") < s.min_ms), ("too_long", F.col("__len") > s.max_ms), ("too_fast", F.col("__cps") > s.max_cps), ("too_wordy", F.col("__wpm") > s.max_wpm), ("empty", F.length(F.trim("text")) == 0), ("gap", F.col("__gap") > s.max_gap_ms)):
+        for name, broken in (("too_short", F.col("__len") < s.min_ms), ("too_fast", F.col("__cps") > s.max_cps), ("too_wordy", F.col("__wpm") > s.max_wpm), ("empty", F.length(F.trim("text")) == 0), ("gap", F.col("__gap") > s.max_gap_ms)):
             issues.append(F.when(broken, F.struct(F.lit(s.name).alias("standard"), F.lit(name).alias("issue"))))
     return own.select(doc, order, F.explode(F.array_compact(F.array(*issues))).alias("i")).select(doc, order, "i.*")
 

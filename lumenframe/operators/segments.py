@@ -37,13 +37,12 @@ def drop_duplicate(df: DataFrame, by: Sequence[str], order: Sequence[str], ratio
 def blended(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, ratio: float) -> DataFrame:
     """Rows at the output times of a rate `ratio` times as high, between the row before and this one.
 
-    Output j stands at j / ratio input rows; the first row gives outputs of its
-    own value.
+    Output j, from 1, stands at j / ratio input rows; the first row gives none.
     """
     ordered = W.partitionBy(*by).orderBy(*order)
     own = df.withColumn("__k", F.row_number().over(ordered) - 1).withColumn("__prev", F.coalesce(F.lag(value).over(ordered), F.col(value)))
     first, last = F.floor((F.col("__k") - 1) * F.lit(ratio)) + 1, F.floor(F.col("__k") * F.lit(ratio))
-    rows = own.withColumn("__first", F.greatest(first, F.lit(0))).withColumn("__last", last).where(F.col("__last") >= F.col("__first"))
+    rows = own.where(F.col("__k") > 0).withColumn("__first", first).withColumn("__last", last).where(F.col("__last") >= F.col("__first"))
     rows = rows.withColumn("output", F.explode(F.sequence("__first", "__last")))
     share = F.least(F.greatest(F.col("output") / F.lit(ratio) - (F.col("__k") - 1), F.lit(0.0)), F.lit(1.0))
     return rows.withColumn("blended", F.col("__prev") * (1 - share) + F.col(value) * share).drop("__k", "__prev", "__first", "__last")

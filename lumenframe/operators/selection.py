@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.functions.scores import predicted_vmaf
+from lumenframe.functions.scores import bitrate_factor, predicted_ssim, predicted_vmaf, profile_class
 
-#: Resolutions of a ladder (width, height, scale) and bitrate multipliers; fixed values.
-LADDER_SIZES = ((3840, 2160, 1.0), (2560, 1440, 0.9), (1920, 1080, 0.8), (1280, 720, 0.6), (854, 480, 0.4), (640, 360, 0.3))
+#: Resolutions of a ladder and bitrate multipliers; fixed values.
+LADDER_SIZES = ((426, 240), (640, 360), (854, 480), (1280, 720), (1920, 1080), (2560, 1440), (3840, 2160))
 LADDER_FACTORS = (0.5, 0.75, 1.0, 1.25, 1.5)
+#: Limits of a ladder's bitrates (kbit/s), qualities and rungs; fixed values.
+LOW_KBPS, HIGH_KBPS, LOW_VMAF, TARGET_VMAF, FEWEST_RUNGS, MOST_RUNGS = 200, 12_000, 70.0, 93.0, 3, 7
 
 
 def skyline(df: DataFrame, cost: str, value: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
@@ -57,13 +59,64 @@ def nearest(df: DataFrame, distance: Column, tie: str, by: Sequence[str] = ()) -
     return df.groupBy(*by).agg(F.min_by(row, F.struct(distance.alias("d"), F.col(tie))).alias("__row")).select("__row.*")
 
 
-def ladder_candidates(spark: SparkSession, base_kbps: float, complexity: float, fps: float, source_pixels: int, low_kbps: float, high_kbps: float, low_vmaf: float) -> DataFrame:
-    """Resolutions x factors with their predicted quality, filtered by size, bitrate and quality."""
-    sizes = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(h).alias("height"), F.lit(s).alias("scale")) for w, h, s in LADDER_SIZES])
-    rows = spark.range(1).select(F.explode(sizes).alias("size")).select("size.*", F.explode(F.array(*[F.lit(x) for x in LADDER_FACTORS])).alias("factor"))
-    pixels = F.col("width").cast("long") * F.col("height")
-    own = rows.withColumn("kbps", F.lit(float(base_kbps)) * F.col("scale") * F.col("factor")).where((pixels <= source_pixels) & F.col("kbps").between(low_kbps, high_kbps))
-    return own.withColumn("vmaf", predicted_vmaf(F.col("kbps") * 1000 / (pixels * fps), F.lit(float(complexity)), F.col("scale"))).where(F.col("vmaf") >= low_vmaf)
+def _base_kbps(pixels: Column, fps: Column) -> Column:
+    return F.floor(pixels * F.sqrt(fps / 30) / 1000).cast("int")
+
+
+def _ladder_sizes(profiles: DataFrame, *columns: str) -> DataFrame:
+    """Profiles x resolutions not above the source."""
+    sizes = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(h).alias("height")) for w, h in LADDER_SIZES])
+    rows = profiles.select(*columns, F.explode(sizes).alias("__size")).select(*columns, "__size.*")
+    return rows.withColumn("pixels", F.col("width").cast("long") * F.col("height")).where(F.col("pixels") <= F.col("source_pixels"))
+
+
+def ladder_candidates(profiles: DataFrame, key: str) -> DataFrame:
+    """Quality points of each profile (key, complexity, fps, source_pixels).
+
+    Every resolution up to the source's times every multiplier of its base
+    bitrate and of the profile's class, with predicted VMAF and SSIM; points
+    outside the limits are left out.
+    """
+    rows = _ladder_sizes(profiles, key, "complexity", "fps", "source_pixels").withColumn("factor", F.explode(F.array(*[F.lit(x) for x in LADDER_FACTORS])))
+    own_factor = bitrate_factor(profile_class(F.col("complexity")))
+    rows = rows.withColumn("kbps", (_base_kbps(F.col("pixels"), F.col("fps")) * F.col("factor") * own_factor).cast("int")).where(F.col("kbps").between(LOW_KBPS, HIGH_KBPS))
+    bpp = F.col("kbps") * 1000.0 / (F.col("pixels") * F.col("fps"))
+    scale = F.sqrt(F.col("pixels") / F.col("source_pixels"))
+    rows = rows.withColumn("vmaf", predicted_vmaf(bpp, F.col("complexity"), scale)).withColumn("ssim", predicted_ssim(bpp, F.col("complexity")))
+    return rows.where(F.col("vmaf") >= LOW_VMAF).select(key, "width", "height", "factor", "kbps", "vmaf", "ssim")
+
+
+def ladder(profiles: DataFrame, key: str) -> DataFrame:
+    """The rungs of each profile's ladder and its savings in percent against the static one.
+
+    The skyline of the candidates, one point a resolution, evenly sampled to the
+    allowed number of rungs. Profiles without candidates have no ladder.
+    """
+    points = ladder_candidates(profiles, key).withColumn("__tie", F.struct("height", "factor"))
+    front = skyline(points, "kbps", "vmaf", "__tie", [key])
+    meets = F.col("vmaf") >= TARGET_VMAF
+    best = W.partitionBy(key, "width", "height").orderBy(meets.cast("int").desc(), F.when(meets, F.col("kbps")), F.col("vmaf").desc(), "__tie")
+    front = front.withColumn("__r", F.row_number().over(best)).where(F.col("__r") == 1)
+    place, whole = W.partitionBy(key).orderBy("kbps", "__tie"), W.partitionBy(key)
+    front = front.withColumn("__at", F.row_number().over(place) - 1).withColumn("__n", F.count("*").over(whole))
+    wanted = F.least(F.greatest(F.col("__n"), F.lit(FEWEST_RUNGS)), F.lit(MOST_RUNGS), F.col("__n"))
+    rungs = front.where(F.floor(F.ceil(F.col("__at") * wanted / F.col("__n")) * F.col("__n") / wanted) == F.col("__at"))
+    static = _ladder_sizes(profiles, key, "fps", "source_pixels").groupBy(key).agg(F.sum(_base_kbps(F.col("pixels"), F.col("fps"))).alias("__static"))
+    rungs = rungs.withColumn("__sum", F.sum("kbps").over(whole)).join(static, key)
+    savings = F.greatest(F.when(F.col("__static") > 0, (F.col("__static") - F.col("__sum")) / F.col("__static") * 100).otherwise(0.0), F.lit(0.0))
+    return rungs.select(key, "width", "height", "kbps", "vmaf", "ssim", savings.alias("savings"))
+
+
+def provider_choice(jobs: DataFrame, providers: DataFrame, job: str, eligible: Column, strategy: str, preferred: str | None = None) -> DataFrame:
+    """Each job's provider among the eligible ones by strategy; ties and the rest by provider.
+
+    providers: provider, cost_per_minute, latency, active_jobs. strategy: cost,
+    latency, load, preferred. The providers are a list of services, so they are
+    broadcast if Spark finds them small.
+    """
+    orders = {"cost": F.col("cost_per_minute"), "latency": F.col("latency"), "load": F.col("active_jobs"), "preferred": (F.col("provider") != F.lit(preferred)).cast("int")}
+    matched = jobs.join(providers, eligible)
+    return matched.groupBy(job).agg(F.min_by("provider", F.struct(orders[strategy].alias("o"), F.col("provider"))).alias("provider"))
 
 
 def top(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

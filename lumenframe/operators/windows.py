@@ -77,11 +77,11 @@ def islands(df: DataFrame, by: Sequence[str], order: Sequence[str], cut: str, pl
 
 
 def gop_types(df: DataFrame, by: Sequence[str], order: Sequence[str], complexity: str, gop: int = 12, b_frames: int = 2, jump: float = 0.5) -> DataFrame:
-    """I at the start of each group of `gop` rows, P every b_frames + 1, else B; a jump in complexity makes an I."""
+    """I at the start of each group of `gop` rows, P every b_frames + 1 (0: always), else B; a rise of complexity by more than `jump` makes an I."""
     ordered = W.partitionBy(*by).orderBy(*order)
     place = F.pmod(F.row_number().over(ordered) - 1, F.lit(gop))
     before = F.lag(complexity).over(ordered)
-    jumped = F.coalesce(F.abs(F.col(complexity) - before) > jump * before, F.lit(False))
+    jumped = F.coalesce((before > 0) & ((F.col(complexity) - before) / before > jump), F.lit(False))
     return df.withColumn("frame_type", F.when((place == 0) | jumped, "I").when(F.pmod(place, F.lit(b_frames + 1)) == 0, "P").otherwise("B"))
 
 

@@ -204,25 +204,50 @@ def audit_report(spark, sf_dir):
 
 
 @query("""
-WITH k AS (SELECT user_id, CASE WHEN event_type IN ('view', 'signup') THEN 'progressive' WHEN event_type = 'click' THEN 'top' ELSE 'bottom' END AS kind FROM events)
-SELECT user_id, round(count(*) FILTER (kind <> 'progressive') / count(*), 6) AS ratio,
-  CASE WHEN count(*) FILTER (kind <> 'progressive') / count(*) > 0.7 THEN 'interlaced' WHEN count(*) FILTER (kind <> 'progressive') / count(*) < 0.3 THEN 'progressive' ELSE 'mixed' END AS content,
-  CASE WHEN count(*) FILTER (kind = 'top') >= count(*) FILTER (kind = 'bottom') THEN 'top_first' ELSE 'bottom_first' END AS field_order
-FROM k GROUP BY user_id""")
+WITH k AS (SELECT user_id, CASE WHEN event_type IN ('view', 'signup') THEN 'progressive' WHEN event_type = 'click' THEN 'top' ELSE 'bottom' END AS kind FROM events),
+n AS (SELECT user_id, count(*) AS n, count(*) FILTER (kind <> 'progressive') / count(*) AS ratio, count(*) FILTER (kind = 'top') AS top FROM k GROUP BY user_id)
+SELECT user_id, round(ratio, 6) AS ratio,
+  CASE WHEN n < 10 THEN 'Unknown' WHEN ratio < 0.1 THEN 'Progressive' WHEN ratio > 0.5 THEN 'Interlaced' ELSE 'Mixed' END AS content,
+  CASE WHEN n >= 10 AND ratio > 0.5 THEN CASE WHEN top > n // 2 THEN 'TopFieldFirst' ELSE 'BottomFieldFirst' END END AS field_order
+FROM n""")
 def interlace_type(spark, sf_dir):
     kind = F.when(F.col("event_type").isin("view", "signup"), "progressive").when(F.col("event_type") == "click", "top").otherwise("bottom")
     return rounded(metrics.interlace_type(events(spark, sf_dir).withColumn("kind", kind), U, "kind"), "ratio")
 
 
-@query(f"""
-WITH s AS (SELECT user_id, value, abs(value - lag(value) OVER ({W})) AS step FROM events)
-SELECT user_id, round(least(greatest(avg(value) / 500.0, 0), 1), 6) AS level, round(least(greatest(stddev_pop(value) / 500.0, 0), 1), 6) AS spread,
-  round(least(greatest(coalesce(avg(step) / 500.0, 0), 0), 1), 6) AS motion,
-  round(avg(CASE WHEN coalesce(step, 0) > 60 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS scene_rate, round(avg(CASE WHEN value < 10 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS dark_ratio
-FROM s GROUP BY user_id""")
+_FEATURES = f"""
+s AS (SELECT user_id, value / 3 AS variance, value AS mean, value / 500 AS motion, event_type = 'error' AS cut, value / 400 AS edge, value / 300 AS detail, lag(value) OVER ({W}) AS before FROM events),
+f AS (SELECT user_id, least(avg(variance) / 100, 1) AS spatial_complexity, least(coalesce(avg(abs(mean - before)), 0) / 50, 1) AS temporal_complexity, least(avg(motion), 1) AS motion_magnitude,
+  least(count(*) FILTER (cut AND before IS NOT NULL) / greatest(count(*) / 30, 1) / 2, 1) AS scene_change_rate, 0.5::DOUBLE AS color_variance, least(avg(edge), 1) AS edge_density,
+  least(avg(variance) * avg(edge) / 50, 1) AS texture_complexity, avg(CASE WHEN mean < 50 THEN 1.0::DOUBLE ELSE 0.0 END) AS dark_ratio, least(avg(detail), 1) AS detail_ratio, 0.1::DOUBLE AS grain_level FROM s GROUP BY user_id)"""
+_FEATURE_NAMES = ("spatial_complexity", "temporal_complexity", "motion_magnitude", "scene_change_rate", "color_variance", "edge_density", "texture_complexity", "dark_ratio", "detail_ratio", "grain_level")
+
+
+def _features(spark, sf_dir):
+    v = F.col("value")
+    frames = events(spark, sf_dir).select("user_id", *ORDER, (v / 3).alias("variance"), v.alias("mean"), (v / 500).alias("motion"), (F.col("event_type") == "error").alias("scene_change"), (v / 400).alias("edge_density"), (v / 300).alias("detail"))
+    return metrics.content_features(frames, U, ORDER)
+
+
+@query(f"WITH {_FEATURES} SELECT user_id, {', '.join(f'round({c}, 6) AS {c}' for c in _FEATURE_NAMES)} FROM f")
 def feature_vector(spark, sf_dir):
-    own = metrics.content_features(events(spark, sf_dir), U, ORDER, "value", 60.0, 10.0, 500.0)
-    return rounded(own, "level", "spread", "motion", "scene_rate", "dark_ratio")
+    return rounded(_features(spark, sf_dir), *_FEATURE_NAMES)
+
+
+@query(f"""
+WITH {_FEATURES}
+SELECT user_id, CASE WHEN motion_magnitude < 0.1 AND temporal_complexity < 0.1 THEN 'Static' WHEN motion_magnitude > 0.7 THEN 'Action' WHEN edge_density > 0.8 AND spatial_complexity < 0.3 THEN 'Graphics'
+  WHEN texture_complexity > 0.6 AND color_variance > 0.6 THEN 'Nature' WHEN motion_magnitude < 0.3 AND spatial_complexity < 0.4 THEN 'TalkingHead' ELSE 'Unknown' END AS scene,
+  round(spatial_complexity * 0.3 + temporal_complexity * 0.3 + motion_magnitude * 0.15 + detail_ratio * 0.15 + grain_level * 0.1, 6) AS complexity,
+  CASE WHEN spatial_complexity * 100 < 20 AND temporal_complexity * 100 < 20 THEN 'Animation' WHEN spatial_complexity * 100 < 40 AND temporal_complexity * 100 < 15 THEN 'TalkingHead' WHEN temporal_complexity * 100 > 60 THEN 'Sports'
+  WHEN spatial_complexity * 100 > 70 THEN 'Nature' WHEN spatial_complexity * 100 > 50 AND temporal_complexity * 100 > 40 THEN 'Gaming' WHEN spatial_complexity * 100 > 40 THEN 'Film' ELSE 'Generic' END AS content
+FROM f""")
+def scene_classes(spark, sf_dir):
+    own = _features(spark, sf_dir)
+    c = {n: F.col(n) for n in _FEATURE_NAMES}
+    kind = scores.scene_type(c["motion_magnitude"], c["temporal_complexity"], c["edge_density"], c["spatial_complexity"], c["texture_complexity"], c["color_variance"])
+    whole = scores.content_complexity(c["spatial_complexity"], c["temporal_complexity"], c["motion_magnitude"], c["detail_ratio"], c["grain_level"])
+    return own.select("user_id", kind["type"].alias("scene"), r6(whole).alias("complexity"), scores.content_type(c["spatial_complexity"] * 100, c["temporal_complexity"] * 100).alias("content"))
 
 
 @query("""
@@ -348,7 +373,7 @@ def scene_segments_mingap(spark, sf_dir):
 
 @query(f"""
 WITH p AS (SELECT event_id, user_id, value, (row_number() OVER ({W}) - 1) % 12 AS place, lag(value) OVER ({W}) AS before FROM events)
-SELECT event_id, user_id, CASE WHEN place = 0 OR coalesce(abs(value - before) > 0.5 * before, false) THEN 'I' WHEN place % 3 = 0 THEN 'P' ELSE 'B' END AS frame_type FROM p""")
+SELECT event_id, user_id, CASE WHEN place = 0 OR coalesce(before > 0 AND (value - before) / before > 0.5, false) THEN 'I' WHEN place % 3 = 0 THEN 'P' ELSE 'B' END AS frame_type FROM p""")
 def gop_types(spark, sf_dir):
     return windows.gop_types(events(spark, sf_dir), U, ORDER, "value").select("event_id", "user_id", "frame_type")
 
@@ -465,15 +490,73 @@ def closest_rendition(spark, sf_dir):
     return selection.nearest(table(spark, sf_dir, "part"), F.abs(F.col("p_size") - 25), "p_partkey", ["p_type"]).select("p_type", "p_partkey")
 
 
-@query(f"""
-WITH s AS (SELECT * FROM (VALUES {", ".join(f"({w}, {h}, {s}::DOUBLE)" for w, h, s in selection.LADDER_SIZES)}) AS t(width, height, scale)),
-f AS (SELECT unnest([{", ".join(map(str, selection.LADDER_FACTORS))}]::DOUBLE[]) AS factor),
-k AS (SELECT *, 4000.0::DOUBLE * scale * factor AS kbps FROM s CROSS JOIN f),
-v AS (SELECT *, least(greatest(100 * (1 - exp(-500 * (kbps * 1000 / (width * height * 30.0)))) - 10 * 0.4 - 5 * (1 - scale), 0), 100) AS vmaf FROM k WHERE width * height <= 2560 * 1440 AND kbps BETWEEN 500 AND 6000)
-SELECT width, height, factor, round(kbps, 6) AS kbps, round(vmaf, 6) AS vmaf FROM v WHERE vmaf >= 40""")
+_SIZES = ", ".join(f"({w}, {h}, {w * h})" for w, h in selection.LADDER_SIZES)
+_LADDER = f"""
+p AS (SELECT p_partkey, p_size / 50 AS complexity, 24.0::DOUBLE + p_size % 3 * 3 AS fps, CASE p_size % 3 WHEN 0 THEN 3840 * 2160 WHEN 1 THEN 1920 * 1080 ELSE 1280 * 720 END AS source_pixels FROM part),
+s AS (SELECT p.*, t.*, floor(pixels * sqrt(fps / 30) / 1000)::INTEGER AS base FROM p JOIN (VALUES {_SIZES}) AS t(width, height, pixels) ON pixels <= source_pixels),
+k AS (SELECT *, trunc(base * factor * CASE WHEN complexity < 0.25 THEN 0.65 WHEN complexity < 0.5 THEN 1.0 WHEN complexity < 0.75 THEN 1.4 ELSE 1.85 END::DOUBLE)::INTEGER AS kbps FROM s CROSS JOIN (SELECT unnest([{", ".join(map(str, selection.LADDER_FACTORS))}]::DOUBLE[]) AS factor)),
+v AS (SELECT *, least(greatest(100 * (1 - exp(-500 * (kbps * 1000 / (pixels * fps)))) - 10 * complexity - 5 * (1 - sqrt(pixels / source_pixels)), 0), 100) AS vmaf,
+  least(greatest(1 - exp(-300 * (kbps * 1000 / (pixels * fps))) - 0.03 * complexity, 0), 1) AS ssim FROM k WHERE kbps BETWEEN 200 AND 12000),
+c AS (SELECT * FROM v WHERE vmaf >= 70)"""
+
+
+def _profiles(spark, sf_dir):
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", (size / 50).alias("complexity"), (F.lit(24.0) + size % 3 * 3).alias("fps"), F.when(size % 3 == 0, 3840 * 2160).when(size % 3 == 1, 1920 * 1080).otherwise(1280 * 720).alias("source_pixels"))
+
+
+@query(f"WITH {_LADDER} SELECT p_partkey, width, height, factor, kbps, round(vmaf, 6) AS vmaf, round(ssim, 6) AS ssim FROM c")
 def ladder_candidates(spark, sf_dir):
-    own = selection.ladder_candidates(spark, 4000, 0.4, 30.0, 2560 * 1440, 500, 6000, 40)
-    return rounded(own, "kbps", "vmaf").select("width", "height", "factor", "kbps", "vmaf")
+    return rounded(selection.ladder_candidates(_profiles(spark, sf_dir), "p_partkey"), "vmaf", "ssim")
+
+
+@query(f"""
+WITH {_LADDER},
+m AS (SELECT *, max(vmaf) OVER (PARTITION BY p_partkey ORDER BY kbps, height, factor ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, width, height ORDER BY (vmaf >= 93)::INTEGER DESC, CASE WHEN vmaf >= 93 THEN kbps END, vmaf DESC, height, factor) AS r FROM m WHERE before IS NULL OR vmaf > before),
+n AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY kbps, height, factor) - 1 AS a, count(*) OVER (PARTITION BY p_partkey) AS n FROM f WHERE r = 1),
+w AS (SELECT *, least(greatest(n, 3), 7, n) AS k FROM n),
+t AS (SELECT p_partkey, sum(base) AS static FROM s GROUP BY p_partkey),
+g AS (SELECT *, sum(kbps) OVER (PARTITION BY p_partkey) AS total FROM w WHERE floor(ceil(a * k / n) * n / k) = a)
+SELECT p_partkey, width, height, kbps, round(vmaf, 6) AS vmaf, round(ssim, 6) AS ssim, round(greatest((static - total) / static * 100, 0), 6) AS savings FROM g JOIN t USING (p_partkey)""")
+def ladder(spark, sf_dir):
+    return rounded(selection.ladder(_profiles(spark, sf_dir), "p_partkey"), "vmaf", "ssim", "savings")
+
+
+@query("""
+WITH p AS (SELECT n_name AS provider, n_regionkey, (n_nationkey * 7 % 11 + 1) * 0.5::DOUBLE AS cost FROM nation),
+r AS (SELECT o_orderkey, provider, row_number() OVER (PARTITION BY o_orderkey ORDER BY cost, provider) AS k FROM orders JOIN p ON o_custkey % 5 = n_regionkey)
+SELECT o_orderkey, provider FROM r WHERE k = 1""")
+def provider_choice(spark, sf_dir):
+    n = F.col("n_nationkey")
+    providers = table(spark, sf_dir, "nation").select(F.col("n_name").alias("provider"), "n_regionkey", ((n * 7 % 11 + 1) * 0.5).alias("cost_per_minute"), F.lit(1.0).alias("latency"), n.alias("active_jobs"))
+    jobs = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("region"))
+    return selection.provider_choice(jobs, providers, "o_orderkey", F.col("region") == F.col("n_regionkey"), "cost")
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ['pending', 'queued', 'running', 'failed', 'retrying', 'completed', 'cancelled'][l_suppkey % 7 + 1] AS state FROM lineitem),
+f AS (SELECT *, lead(state) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nxt FROM s)
+SELECT l_orderkey, l_linenumber, l_partkey, state, nxt AS following, (state || '>' || nxt) IN ('pending>queued', 'pending>cancelled', 'queued>running', 'queued>cancelled', 'queued>pending', 'running>completed', 'running>failed', 'running>cancelled', 'running>retrying', 'failed>retrying', 'failed>pending', 'retrying>pending', 'retrying>cancelled') AS allowed
+FROM f WHERE nxt IS NOT NULL""")
+def state_transitions(spark, sf_dir):
+    states = F.array(*[F.lit(s) for s in ("pending", "queued", "running", "failed", "retrying", "completed", "cancelled")])
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.element_at(states, (F.col("l_suppkey") % 7 + 1).cast("int")).alias("state"))
+    own = own.withColumn("following", F.lead("state").over(windows.W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))).where(F.col("following").isNotNull())
+    return own.select("l_orderkey", "l_linenumber", "l_partkey", "state", "following", scores.may_follow(F.col("state"), F.col("following")).alias("allowed"))
+
+
+@query("""
+WITH w AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS pending, count(*) FILTER (event_type = 'click') AS active, user_id % 12 AS replicas FROM events GROUP BY user_id),
+d AS (SELECT *, least(greatest(ceil(pending / 2), replicas + 1), 20) AS wanted, greatest(active + 1, 1) AS fewer FROM w)
+SELECT user_id, (CASE WHEN replicas = 0 THEN CASE WHEN pending > 0 THEN 1 ELSE 0 END WHEN (active / replicas >= 0.8 OR pending / (replicas * 2) > 1) AND wanted > replicas THEN wanted
+  WHEN active / replicas < 0.3 AND pending / (replicas * 2) < 0.5 AND fewer < replicas THEN fewer ELSE replicas END)::BIGINT AS target FROM d""")
+def scaling_targets(spark, sf_dir):
+    kind = F.col("event_type")
+    own = events(spark, sf_dir).groupBy("user_id").agg(F.count_if(kind == "view").alias("pending"), F.count_if(kind == "click").alias("active")).withColumn("replicas", F.col("user_id") % 12)
+    safe = own.withColumn("__r", F.nullif("replicas", F.lit(0)))
+    target = F.when(F.col("replicas") == 0, F.when(F.col("pending") > 0, 1).otherwise(0)).otherwise(scores.scaling_target(F.col("pending"), F.col("active"), F.col("__r")))
+    return safe.select("user_id", target.cast("long").alias("target"))
 
 
 @query("SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderpriority DESC, o_orderdate, o_orderkey LIMIT 50")
@@ -534,7 +617,7 @@ def drop_duplicate(spark, sf_dir):
 
 @query(f"""
 WITH k AS (SELECT event_id, user_id, value, row_number() OVER ({W}) - 1 AS k, coalesce(lag(value) OVER ({W}), value) AS prev FROM events),
-o AS (SELECT *, unnest(range(greatest(floor((k - 1) * 1.5::DOUBLE) + 1, 0)::BIGINT, floor(k * 1.5::DOUBLE)::BIGINT + 1)) AS output FROM k)
+o AS (SELECT *, unnest(range(floor((k - 1) * 1.5::DOUBLE)::BIGINT + 1, floor(k * 1.5::DOUBLE)::BIGINT + 1)) AS output FROM k WHERE k > 0)
 SELECT user_id, output, round(prev * (1 - least(greatest(output / 1.5::DOUBLE - (k - 1), 0), 1)) + value * least(greatest(output / 1.5::DOUBLE - (k - 1), 0), 1), 6) AS blended FROM o""")
 def blend_rate(spark, sf_dir):
     return rounded(segments.blended(events(spark, sf_dir), U, ORDER, "value", 1.5), "blended").select("user_id", "output", "blended")
@@ -640,12 +723,12 @@ def cue_speed(spark, sf_dir):
 
 @query(f"""
 WITH {_CUES}, g AS (SELECT *, end_ms - start_ms AS len, lead(start_ms) OVER (PARTITION BY conv_id ORDER BY turn) - end_ms AS gap, {_WORDS} AS words FROM c),
-s AS (SELECT * FROM (VALUES ('strict', 1000, 3000, 20.0, 200.0, 500), ('loose', 300, 9000, 140.0, 1500.0, 5000)) AS t(standard, lo, hi, cps, wpm, maxgap))
-SELECT conv_id, turn, standard, unnest(list_filter([CASE WHEN len < lo THEN 'too_short' END, CASE WHEN len > hi THEN 'too_long' END, CASE WHEN length(text) / (len / 1000) > cps THEN 'too_fast' END,
+s AS (SELECT * FROM (VALUES ('strict', 1000, 20.0, 200.0, 500), ('loose', 300, 140.0, 1500.0, 5000)) AS t(standard, lo, cps, wpm, maxgap))
+SELECT conv_id, turn, standard, unnest(list_filter([CASE WHEN len < lo THEN 'too_short' END, CASE WHEN length(text) / (len / 1000) > cps THEN 'too_fast' END,
   CASE WHEN words / (len / 60000) > wpm THEN 'too_wordy' END, CASE WHEN length(trim(text)) = 0 THEN 'empty' END, CASE WHEN gap > maxgap THEN 'gap' END], lambda x: x IS NOT NULL)) AS issue
 FROM g CROSS JOIN s""")
 def cue_checks(spark, sf_dir):
-    standards = [rules.CaptionStandard("strict", 1000, 3000, 20.0, 200.0, 500), rules.CaptionStandard("loose", 300, 9000, 140.0, 1500.0, 5000)]
+    standards = [rules.CaptionStandard("strict", 1000, 20.0, 200.0, 500), rules.CaptionStandard("loose", 300, 140.0, 1500.0, 5000)]
     return rules.caption_issues(_cues(spark, sf_dir), "conv_id", "turn", standards)
 
 
@@ -714,7 +797,7 @@ def option_parsing(spark, sf_dir):
 @query("""
 WITH p AS (SELECT event_id, value, least(value / 100, 1) * 0.35 + least(value / 200, 1) * 0.30 + least(value / 300, 1) * 0.20 + 0.5 * 0.15 AS c FROM events)
 SELECT event_id, round(20 * log10(value), 6) AS db, round(-0.691 + 10 * log10(value), 6) AS lufs, round(pow(10.0::DOUBLE, value / 500 / 20), 6) AS linear, round(c, 6) AS complexity,
-  CASE WHEN value >= 93 THEN 'excellent' WHEN value >= 80 THEN 'good' WHEN value >= 60 THEN 'fair' ELSE 'poor' END AS rating,
+  CASE WHEN value >= 93 THEN 'Excellent' WHEN value >= 80 THEN 'Good' WHEN value >= 60 THEN 'Fair' ELSE 'Poor' END AS rating,
   round(value / 500 * 0.4 + value / 400 * 0.3 + least(value / 4, 1.0) * 0.3, 9) AS load
 FROM p""")
 def score_functions(spark, sf_dir):
@@ -880,4 +963,4 @@ def late_reorder(spark, sf_dir):
 @query()
 def circuit_breaker(spark, sf_dir):
     own = events(spark, sf_dir).select("user_id", "event_id", (F.col("event_type") != "error").alias("ok"))
-    return recurrences.circuit_breaker(own, U, "event_id", "ok", 2, 3)
+    return recurrences.circuit_breaker(own, U, "event_id", "ok", 2, 3, 500)

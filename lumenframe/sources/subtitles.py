@@ -14,7 +14,8 @@ def detect_format(text: Column) -> Column:
     """vtt, ass, ssa or srt; srt where nothing tells."""
     body = F.regexp_replace(text, r"^[\ufeff\s]+", "")
     script = body.contains("[Script Info]")
-    return F.when(body.startswith("WEBVTT"), "vtt").when(script & body.rlike(r"(?i)v4\.00\+"), "ass").when(script, "ssa").otherwise("srt")
+    old = body.contains("v4.00") | body.contains("V4 Styles")
+    return F.when(body.startswith("WEBVTT"), "vtt").when(script & (body.contains("v4.00+") | body.contains("V4+ Styles")), "ass").when(script & old, "ssa").when(script, "ass").otherwise("srt")
 
 
 def _blocks(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -29,7 +29,7 @@ def reordered_stream(df: DataFrame, stream: str, seq: str, value: str, limit: in
     schema = f"`{stream}` long, `{seq}` long, `{value}` double"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer = Reorder(limit, *pickle.loads(state.get[0])) if state.exists else Reorder(limit)
+        buffer = Reorder(limit, *pickle.loads(state.get[0])) if state.exists else Reorder(limit, None)
         rows = pd.concat(list(batches)).sort_values(seq, kind="stable")
         out = []
         for s, v in zip(rows[seq].tolist(), rows[value].tolist(), strict=True):

@@ -41,9 +41,9 @@ CUE = {"start_ms": 0, "end_ms": 500, "text": "a", "confidence": 1.0}
 
 
 def test_merge_short():
-    cues = [CUE, {**CUE, "start_ms": 600, "end_ms": 900, "text": "b", "confidence": 0.5}, {**CUE, "start_ms": 5000, "end_ms": 5100, "text": "c"}]
+    cues = [{**CUE, "end_ms": 5000}, {**CUE, "start_ms": 5100, "end_ms": 5400, "text": "b", "confidence": 0.5}, {**CUE, "start_ms": 9000, "end_ms": 9100, "text": "c"}]
     merged = rec.merge_short(cues, 1000, 200)
-    assert [(c["text"], c["start_ms"], c["end_ms"], c["confidence"]) for c in merged] == [("a b", 0, 900, 0.75), ("c", 5000, 5100, 1.0)]
+    assert [(c["text"], c["start_ms"], c["end_ms"], c["confidence"]) for c in merged] == [("a b", 0, 5400, 0.75), ("c", 9000, 9100, 1.0)]
 
 
 def test_split_long_leaves_the_first_half():
@@ -63,7 +63,7 @@ def test_cue_frames(spark):
 
 
 def test_reorder():
-    buffer = rec.Reorder(3)
+    buffer = rec.Reorder(3, None)
     out = [buffer.push(s, s) for s in (10, 12, 11, 9, 13)]
     assert out == [[10], [], [11, 12], [], [13]] and buffer.dropped == 1
     assert buffer.push(15, 15) == []
@@ -72,14 +72,15 @@ def test_reorder():
     for s in (0, 2, 3):
         full.push(s, s)
     assert full.push(9, 9) == [2, 3] and full.dropped == 1 and full.expected == 10
+    assert rec.Reorder(16).push(5, 5) == [] and rec.Reorder(16).push(17, 17) == [17]
 
 
 def test_breaker():
-    states = rec.breaker_states([True, False, False, True, True, False, True, False], 2, 2)
-    assert states == ["closed", "closed", "open", "half_open", "closed", "closed", "closed", "closed"]
-    assert rec.breaker_states([False, False, False], 2, 1) == ["closed", "open", "open"]
+    calls = [(0, True), (1, False), (2, False), (3, True), (12, True), (13, True), (14, False), (15, True)]
+    assert rec.breaker_states(calls, 2, 2, 10) == ["closed", "closed", "open", "open", "half_open", "closed", "closed", "closed"]
+    assert rec.breaker_states([(0, False), (1, False), (20, False), (21, True)], 2, 1, 10) == ["closed", "open", "open", "open"]
 
 
 def test_rungs(spark):
-    df = spark.createDataFrame([(1, 100, 10.0), (1, 200, 11.0), (1, 300, 14.0), (1, 400, 15.0)], "t long, kbps int, vmaf double")
-    assert sorted(r["kbps"] for r in rec.kept_rungs(df, ["t"], ["kbps"], "vmaf", 3.0).collect()) == [100, 300]
+    df = spark.createDataFrame([(1, 4, 4000, 95.0), (1, 3, 3900, 94.0), (1, 2, 2000, 60.0), (1, 1, 1000, 80.0)], "t long, o int, kbps int, vmaf double")
+    assert sorted(r["kbps"] for r in rec.kept_rungs(df.withColumn("o", -df["o"]), ["t"], ["o"], "kbps", "vmaf", 500, 70.0).collect()) == [1000, 4000]

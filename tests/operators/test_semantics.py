@@ -178,7 +178,7 @@ def test_option_texts(spark):
         spark, options.bitrate(lit("2.5M")).alias("a"), options.bitrate(lit("-1k")).alias("b"), options.seconds(lit("1:02:03.5")).alias("c"), options.resolution(lit("HD720")).alias("d"), options.aspect_ratio(lit("1.85")).alias("e"), options.aspect_ratio(lit("1.777")).alias("f"), options.container(lit("M4V")).alias("g"),
         options.trace_parent(lit("01-" + "a" * 32 + "-" + "b" * 16 + "-01")).alias("h"), options.query_parameter(lit("?a=1&b=2"), "b").alias("i"), options.color(lit("#0F8")).alias("j"), options.cloud_url(lit("s3://b/x/y")).alias("k"),
     )
-    assert (row["a"], row["b"], row["c"], tuple(row["d"]), row["e"], row["f"], row["g"], row["h"], row["i"]) == (2_500_000, None, 3723.5, (1280, 720), "37:20", "16:9", "mp4", None, "2")
+    assert (row["a"], row["b"], row["c"], tuple(row["d"]), row["e"], row["f"], row["g"], row["h"], row["i"]) == (2_500_000, None, 3723.5, (1280, 720), "185:100", "16:9", "mp4", None, "2")
     assert tuple(row["j"]) == (0, 255, 136, 255) and tuple(row["k"]) == ("s3", "b", "x/y")
 
 
@@ -277,3 +277,21 @@ def test_regression(spark):
     assert w == pytest.approx([3, 2], abs=1e-3)
     assert max(regression.cross_validated(df, ["x"], ["x"], "y", 4, rate=0.5, rounds=2000, ridge=0.0)) < 0.02
     assert regression.fit(df.where(F.lit(False)), ["x"], "y").tolist() == [0, 0]
+
+
+def test_rate_conversions(spark):
+    rows = [(24.0, 30.0), (30.0, 24.0), (24.0, 25.0), (25.0, 25.0), (25.0, 50.0), (10.0, 10.005), (10.0, 12.0), (10.0, 20.0)]
+    found = [r[0] for r in spark.createDataFrame(rows, "a double, b double").select(scores.suggested_conversion(F.col("a"), F.col("b"))).collect()]
+    assert found == ["Telecine", "InverseTelecine", "SpeedChange", "DropDuplicate", "Blend", "DropDuplicate", "Blend", "MotionCompensated"]
+
+
+def test_scaling(spark):
+    rows = [(5, 0, 0), (0, 0, 0), (10, 4, 4), (1, 1, 10), (3, 2, 4)]
+    found = [r[0] for r in spark.createDataFrame([(p, a, r or None) for p, a, r in rows], "p int, a int, r int").select(scores.scaling_target(F.col("p"), F.col("a"), F.col("r"))).collect()]
+    assert found[2:] == [5, 2, 4]
+
+
+def test_audio_types(spark):
+    rows = [(0.0, 0.5, 100.0), (0.5, 0.2, 500.0), (0.5, 0.01, 5000.0), (0.5, 0.07, 2000.0)]
+    found = [r[0] for r in spark.createDataFrame(rows, "a double, b double, c double").select(scores.audio_type(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert found == ["Silence", "Speech", "Music", "Mixed"]
