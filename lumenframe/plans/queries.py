@@ -365,7 +365,15 @@ def scene_segments(spark, sf_dir):
     return rounded(windows.islands(_cuts(spark, sf_dir), U, ORDER, "cut", "seen", "score"), "confidence")
 
 
-@query()
+@query(f"""
+WITH {_SCENES},
+k AS (SELECT user_id, seen, score, seen > 0 AND score > threshold + 1e-9 AS candidate FROM c),
+l AS (SELECT user_id, list(seen ORDER BY seen) FILTER (candidate) AS places FROM k GROUP BY user_id),
+a AS (SELECT user_id, list_reduce(coalesce(places, []), lambda acc, p: CASE WHEN p - acc[len(acc)] >= 12 THEN list_append(acc, p) ELSE acc END, [0]::BIGINT[])[2:] AS cuts FROM l),
+b AS (SELECT k.*, seen > 1 AND list_contains(cuts, seen) AS cut FROM k JOIN a USING (user_id)),
+g AS (SELECT *, sum(cut::INTEGER) OVER (PARTITION BY user_id ORDER BY seen ROWS UNBOUNDED PRECEDING) AS segment, CASE WHEN lead(cut) OVER (PARTITION BY user_id ORDER BY seen) THEN lead(score) OVER (PARTITION BY user_id ORDER BY seen) END AS nxt FROM b)
+SELECT user_id, segment::BIGINT AS segment, min(seen) AS start, max(seen) AS "end", count(*) AS "rows", round(coalesce(max(nxt), 1.0), 6) AS confidence
+FROM g GROUP BY user_id, segment""")
 def scene_segments_mingap(spark, sf_dir):
     spaced = recurrences.spaced_cuts(_cuts(spark, sf_dir).select("user_id", "seen", "score", F.col("cut").alias("candidate")), U, "seen", "candidate", 12)
     return rounded(windows.islands(spaced, U, ["seen"], "cut", "seen", "score"), "confidence")
@@ -674,7 +682,13 @@ def alert_predicates(spark, sf_dir):
     return _alerts(spark, sf_dir).select("event_id", "rule", "severity")
 
 
-@query()
+@query(f"""
+WITH m AS (SELECT event_id, user_id, value, {_METRIC} AS metric FROM events),
+a AS (SELECT user_id, event_id, 'low' AS rule, 3 AS cooldown FROM m WHERE metric = 'psnr' AND value < 2
+  UNION ALL SELECT user_id, event_id, 'high', 5 FROM m WHERE metric = 'vmaf' AND value > 150
+  UNION ALL SELECT user_id, event_id, 'odd', 10 FROM m WHERE metric = 'ssim' AND (value < 1 OR value > 120)),
+l AS (SELECT user_id, rule, cooldown, list(event_id ORDER BY event_id) AS places FROM a GROUP BY user_id, rule, cooldown)
+SELECT user_id, unnest(list_reduce(places, lambda acc, p: CASE WHEN len(acc) = 0 OR p - acc[len(acc)] >= cooldown THEN list_append(acc, p) ELSE acc END, []::BIGINT[])) AS event_id, rule, cooldown FROM l""")
 def alert_cooldown(spark, sf_dir):
     ranked = _alerts(spark, sf_dir).select("user_id", "event_id", "rule", "cooldown")
     return recurrences.cooled_down(ranked, ["user_id", "rule"], "event_id", "cooldown")
@@ -732,9 +746,14 @@ def cue_checks(spark, sf_dir):
     return rules.caption_issues(_cues(spark, sf_dir), "conv_id", "turn", standards)
 
 
-@query()
+@query(f"""
+WITH {_CUES}, l AS (SELECT conv_id, list({{'s': start_ms, 'e': end_ms, 't': text, 'c': 1.0::DOUBLE / (turn + 1)}} ORDER BY turn) AS cues FROM c GROUP BY conv_id),
+f AS (SELECT conv_id, list_reduce(cues[2:], lambda acc, x: CASE
+  WHEN (acc[len(acc)].e - acc[len(acc)].s < 1500 OR x.e - x.s < 1500) AND greatest(x.s - acc[len(acc)].e, 0) <= 400
+  THEN list_append(acc[:len(acc) - 1], {{'s': acc[len(acc)].s, 'e': x.e, 't': acc[len(acc)].t || ' ' || x.t, 'c': (acc[len(acc)].c + x.c) / 2}}) ELSE list_append(acc, x) END, cues[1:1]) AS cues FROM l)
+SELECT conv_id, i::INTEGER - 1 AS idx, cues[i].s AS start_ms, cues[i].e AS end_ms, cues[i].t AS text, round(cues[i].c, 6) AS confidence FROM (SELECT conv_id, cues, unnest(range(1, len(cues) + 1)) AS i FROM f)""")
 def cue_merge(spark, sf_dir):
-    return recurrences.merged_cues(_cues(spark, sf_dir), "conv_id", "turn", 1500, 400)
+    return rounded(recurrences.merged_cues(_cues(spark, sf_dir), "conv_id", "turn", 1500, 400), "confidence")
 
 
 @query()
@@ -960,7 +979,20 @@ def late_reorder(spark, sf_dir):
     return recurrences.reordered(own, U, "arrival", "seq", 5000)
 
 
-@query()
+@query("""
+WITH l AS (SELECT user_id, list({'id': event_id, 'ok': event_type <> 'error'} ORDER BY event_id) AS calls FROM events GROUP BY user_id),
+f AS (SELECT user_id, list_reduce(calls, lambda acc, x: list_append(acc, CASE
+    WHEN acc[len(acc)].st = 'closed' OR (acc[len(acc)].st = 'open' AND x.id - acc[len(acc)].since < 500) THEN CASE
+      WHEN acc[len(acc)].st = 'open' THEN {'id': x.id, 'ok': x.ok, 'st': 'open', 'bad': acc[len(acc)].bad, 'good': acc[len(acc)].good, 'since': acc[len(acc)].since}
+      WHEN x.ok THEN {'id': x.id, 'ok': x.ok, 'st': 'closed', 'bad': 0::BIGINT, 'good': 0::BIGINT, 'since': acc[len(acc)].since}
+      WHEN acc[len(acc)].bad + 1 >= 2 THEN {'id': x.id, 'ok': x.ok, 'st': 'open', 'bad': acc[len(acc)].bad + 1, 'good': 0::BIGINT, 'since': x.id}
+      ELSE {'id': x.id, 'ok': x.ok, 'st': 'closed', 'bad': acc[len(acc)].bad + 1, 'good': 0::BIGINT, 'since': acc[len(acc)].since} END
+    WHEN NOT x.ok THEN {'id': x.id, 'ok': x.ok, 'st': 'open', 'bad': acc[len(acc)].bad, 'good': 0::BIGINT, 'since': x.id}
+    WHEN (CASE WHEN acc[len(acc)].st = 'open' THEN 0 ELSE acc[len(acc)].good END) + 1 >= 3 THEN {'id': x.id, 'ok': x.ok, 'st': 'closed', 'bad': 0::BIGINT, 'good': 0::BIGINT, 'since': acc[len(acc)].since}
+    ELSE {'id': x.id, 'ok': x.ok, 'st': 'half_open', 'bad': acc[len(acc)].bad, 'good': (CASE WHEN acc[len(acc)].st = 'open' THEN 0 ELSE acc[len(acc)].good END) + 1, 'since': acc[len(acc)].since} END),
+  [{'id': -1::BIGINT, 'ok': true, 'st': 'closed', 'bad': 0::BIGINT, 'good': 0::BIGINT, 'since': 0::BIGINT}])[2:] AS calls FROM l),
+u AS (SELECT user_id, unnest(calls) AS c FROM f)
+SELECT user_id, c.id AS event_id, c.ok AS ok, c.st AS breaker FROM u""")
 def circuit_breaker(spark, sf_dir):
     own = events(spark, sf_dir).select("user_id", "event_id", (F.col("event_type") != "error").alias("ok"))
     return recurrences.circuit_breaker(own, U, "event_id", "ok", 2, 3, 500)
