@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import collect_bounded, only, rest_crc32
+from lumenframe.llm.common import only, rest_crc32
 
 
 def usable_labels(labels: DataFrame, column: str, modulus: int, held_out: int) -> DataFrame:
@@ -41,8 +41,8 @@ def labelled_features(docs: DataFrame, usable: DataFrame, per_class: int, featur
 
     rows = only(docs, "doc_id", "text").join(sample, "doc_id").select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, feature binary")
     one_each = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("feature").alias("feature"))
-    found = sorted(collect_bounded(one_each, 2 * per_class), key=lambda row: row["doc_id"])
-    return [bytes(row["feature"]) for row in found], np.array([row["label"] for row in found], np.float64), totals
+    found = one_each.toArrow().sort_by("doc_id")  # at most 2 * per_class rows, as many as the sample
+    return found.column("feature").to_pylist(), found.column("label").to_numpy().astype(np.float64), totals
 
 
 def with_scores(docs: DataFrame, scorer, modulus: int, held_out: int, threshold: float) -> DataFrame:
