@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import only, word_array
+from lumenframe.llm.common import broadcast_if_small, only, word_array
 from lumenframe.session import materialize, table
 
 WIDTH = 5
@@ -82,8 +82,8 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent:
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = CONTAINMENT_PERCENT) -> DataFrame:
     """docs without those that hold an item; rows of a null doc_id stay."""
-    found = contaminated(docs, items, width, percent).select(F.col("doc_id").alias("__leaked")).dropDuplicates()
-    return docs.join(found, docs["doc_id"] == found["__leaked"], "left_anti")
+    found = materialize(contaminated(docs, items, width, percent).select(F.col("doc_id").alias("__leaked")).dropDuplicates(), "leaked")
+    return docs.join(broadcast_if_small(found), docs["doc_id"] == found["__leaked"], "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

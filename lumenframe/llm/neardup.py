@@ -23,14 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import only
+from lumenframe.llm.common import broadcast_if_small, only
 from lumenframe.llm.components import connected_components
 from lumenframe.session import materialize, table
 
 CHUNKS, CHUNK = 12, 8
 PERCENT = 80
-#: Up to so many ids are broadcast (some 16 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 #: Shingles hashed at once.
 BLOCK = 4096
 
@@ -126,10 +124,6 @@ def _keys() -> Column:
     return F.array(*keys)
 
 
-def _broadcast_if_small(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def _near(nodes: DataFrame, prefix: str) -> DataFrame:
     return nodes.select(F.col("node").alias(prefix), F.col("n").alias(f"{prefix}_n"), *[F.col(s).alias(f"{prefix}_{s}") for s in PARITY])
 
@@ -151,7 +145,7 @@ def _may_link() -> Column:
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets have 100 x shared >= PERCENT x united."""
     ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).dropDuplicates(), "confirm-ids")
-    texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").join(_broadcast_if_small(ids), "doc_id", "left_semi")
+    texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("a_set")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("b_set")), "b")
     counted = both.select("a", "b", (F.size("a_set") + F.size("b_set")).alias("sum"), F.size(F.array_intersect("a_set", "b_set")).alias("shared"))
@@ -209,11 +203,11 @@ def without_near_duplicates(docs: DataFrame, width: int) -> DataFrame:
     """
     result = materialize(near_duplicates(docs, width), "near-duplicates")
     dropped = result.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).dropDuplicates()
-    rows = docs.join(_broadcast_if_small(materialize(dropped, "dropped")), docs["doc_id"] == F.col("__dropped"), "left_anti")
+    rows = docs.join(broadcast_if_small(materialize(dropped, "dropped")), docs["doc_id"] == F.col("__dropped"), "left_anti")
     repeated = materialize(result.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("__repeated")), "repeated")
     if not repeated.limit(1).count():
         return rows
-    again = _broadcast_if_small(repeated)
+    again = broadcast_if_small(repeated)
     single = rows.join(again, rows["doc_id"] == F.col("__repeated"), "left_anti")
     first = rows.join(again, rows["doc_id"] == F.col("__repeated"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.xxhash64("text"), F.col("text"))).alias("row"))
     return single.unionByName(first.select("row.*"))
