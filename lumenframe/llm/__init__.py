@@ -1,11 +1 @@
-"""Operators of a training-data pipeline.
-
-Nothing outside this subpackage imports it. Functions that run in Python
-workers are pickled by value, so executors need none of this package's files.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators of a training-data pipeline; nothing outside this subpackage imports it."""

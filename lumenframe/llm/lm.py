@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import collect_bounded, only, rest_crc32
+from lumenframe.llm.common import Shared, collect_bounded, only, rest_crc32
 from lumenframe.session import materialize, table
 
 ORDER = 5
@@ -188,6 +188,7 @@ class Trie:
 
     def _build(self) -> None:
         grams, counts, short_grams, short_counts = self.source
+        self.source = None
         order = np.argsort(grams)
         grams, counts = grams[order], counts[order].astype(float)
         two = (grams, counts) if short_grams is None else (short_grams, short_counts.astype(float))
@@ -503,16 +504,16 @@ def score_documents(docs: DataFrame, model: Language, slice_grams: int = SLICE_G
     if model.distinct_grams > slice_grams:  # several passes have to see the same row_id
         rows = materialize(rows, "lm-rows")
     keys, counts = _arrays(_frequent(model, frequent_words), frequent_words)
-    frequent = spark.sparkContext.broadcast(HashTable(keys, np.log10((counts + 0.1) / scale)))
+    frequent = Shared(spark, "lm-words", HashTable(keys, np.log10((counts + 0.1) / scale)))
     more = []
     scored = None
     for slices, own, trie in tries(model, slice_grams):
-        shared = spark.sparkContext.broadcast(trie)
+        shared = Shared(spark, "lm-trie", trie)
         if scored is None:
             scored = materialize(rows.mapInArrow(_score_partition(shared, frequent, slices), _SCORED_TYPES), "lm-scored")
         else:
             more.append(materialize(rows.select("row_id", "text").mapInArrow(_slice_partition(shared, slices, own), "row_id long, score double"), "lm-slice"))
-        shared.unpersist()
+        shared.data.unpersist()
     rare = scored.where(F.col("key").isNotNull()).select("row_id", "key", "n").join(model.words.withColumnRenamed("n", "c"), "key", "left")
     rare = rare.groupBy("row_id").agg(F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(scale))).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
     whole = scored.where(F.col("key").isNull()).join(rare, "row_id", "left")

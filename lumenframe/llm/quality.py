@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.llm.common import Shared
 from lumenframe.llm.labelled import labelled_features, scorer_of, usable_labels, with_scores
 from lumenframe.session import table
 
@@ -128,7 +129,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     without labels, or with no neighbour of positive cosine, the score is the
     smoothed base rate; empty tables give no rows; other columns are not used.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, "quality", model)
     return with_scores(docs, scorer_of(lambda texts: shared.value.scores(texts), BLOCK), MODULUS, HELD_OUT, threshold)
 
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.llm.common import Shared
 from lumenframe.llm.labelled import labelled_features, scorer_of, usable_labels, with_scores
 from lumenframe.session import table
 
@@ -113,13 +114,13 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     Repeated rows get a row each; with no label of either kind the score is the
     smoothed base rate; empty tables give no rows; other columns are not used.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, "toxicity", model)
     return with_scores(docs, scorer_of(lambda texts: shared.value.scores(texts), 256), MODULUS, HELD_OUT, threshold)
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose text scores `threshold` or more; their columns stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, "toxicity", model)
     schema, at = docs.schema, docs.columns.index("text")
 
     def keep(batches):
