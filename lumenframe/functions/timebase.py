@@ -149,3 +149,15 @@ def frame_of(seconds: Column, fps: float) -> Column:
 
 def time_of(frame: Column, fps: float) -> Column:
     return frame / F.lit(float(fps))
+
+
+def vitc_check(frame: Column, fps: int, user_bits: Column, drop_frame: Column, color_frame: Column, field_mark: Column) -> Column:
+    """Exclusive or of a timecode's digits, eight user groups (a long of nibbles) and the flags 1, 2 and 4."""
+    check = F.lit(0).cast("long")
+    for part in _fields(frame, fps):
+        check = check.bitwiseXOR((part % 10).cast("long")).bitwiseXOR(F.call_function("div", part, F.lit(10)).cast("long"))
+    for group in range(8):
+        check = check.bitwiseXOR(F.shiftright(user_bits, 4 * group).bitwiseAND(F.lit(15)))
+    for flag, value in ((drop_frame, 1), (color_frame, 2), (field_mark, 4)):
+        check = check.bitwiseXOR(F.when(flag, value).otherwise(0))
+    return check

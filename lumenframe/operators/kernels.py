@@ -193,3 +193,21 @@ def frame_features():
         return pd.DataFrame(rows, columns=["luma", "edge", "hash", "histogram"])
 
     return own
+
+
+def tiles(a: np.ndarray, size: int, overlap: int) -> list[tuple[int, int, np.ndarray]]:
+    """(x, y, tile) of a picture; the last tiles are moved in so that none sticks out."""
+    step, h, w = size - overlap, *a.shape
+    starts = lambda n: [min(k * step, max(n - size, 0)) for k in range(max(1, -(-max(n - overlap, 1) // step)))]
+    return [(x, y, a[y : y + size, x : x + size]) for y in starts(h) for x in starts(w)]
+
+
+def merged_tiles(parts: list[tuple[int, int, np.ndarray]], width: int, height: int, overlap: int) -> np.ndarray:
+    """The picture of its tiles; where they overlap they are weighted by the distance from their edges."""
+    total, weights = np.zeros((height, width)), np.zeros((height, width))
+    for x, y, tile in parts:
+        rise = lambda n: np.minimum(1.0, (np.minimum(np.arange(n), np.arange(n)[::-1]) + 1) / (overlap + 1))
+        w = np.outer(rise(tile.shape[0]), rise(tile.shape[1]))
+        total[y : y + tile.shape[0], x : x + tile.shape[1]] += tile * w
+        weights[y : y + tile.shape[0], x : x + tile.shape[1]] += w
+    return total / np.where(weights > 0, weights, 1)

@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.functions import arrays, options, scores, timebase
+from lumenframe.functions import arrays, hdr, options, scores, timebase
 from lumenframe.operators import filters, kernels, loudness, matching, metrics, ranks, recurrences, regression, rules, segments, selection, windows
 from lumenframe.session import table
-from lumenframe.sources import render, subtitles
+from lumenframe.sources import edit_xml, render, subtitles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -996,3 +996,33 @@ SELECT user_id, c.id AS event_id, c.ok AS ok, c.st AS breaker FROM u""")
 def circuit_breaker(spark, sf_dir):
     own = events(spark, sf_dir).select("user_id", "event_id", (F.col("event_type") != "error").alias("ok"))
     return recurrences.circuit_breaker(own, U, "event_id", "ok", 2, 3, 500)
+
+
+@query("""
+WITH p AS (SELECT event_id, value / 100 AS r, value / 200 AS g, value / 400 AS b FROM events), y AS (SELECT *, r * 0.2126 + g * 0.7152 + b * 0.0722 AS y FROM p),
+m AS (SELECT *, least(greatest((y * 10) / (1 + y * 10), 0), 1) AS m FROM y), d AS (SELECT *, least(greatest((m - 0.8) / 0.2, 0), 1) * 0.5 AS d FROM m)
+SELECT event_id, round(r * m / y * (1 - d) + m * d, 6) AS r, round(g * m / y * (1 - d) + m * d, 6) AS g, round(b * m / y * (1 - d) + m * d, 6) AS b FROM d""")
+def tone_map(spark, sf_dir):
+    v = F.col("value")
+    mapped = hdr.tone_mapped(v / 100, v / 200, v / 400, hdr.reinhard, 1000.0, 100.0, 0.8, 0.5)
+    return rounded(events(spark, sf_dir).select("event_id", mapped.alias("c")).select("event_id", "c.*"), "r", "g", "b")
+
+
+@query("""
+SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1)::INTEGER AS place, 'part <' || l_partkey || '> & "x"' AS source,
+  round(l_linenumber + 0.0::DOUBLE, 6) AS source_in, round(l_quantity, 6) AS source_out FROM lineitem""")
+def edit_xml_roundtrip(spark, sf_dir):
+    part = F.concat(F.lit("part <"), F.col("l_partkey").cast("string"), F.lit('> & "x"'))
+    edits = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("at"), part.alias("source"), F.col("l_linenumber").cast("double").alias("source_in"), F.col("l_quantity").alias("source_out"), F.lit(0.0).alias("record_in"), F.col("l_quantity").alias("record_out"))
+    back = edit_xml.parse_edit_xml(edit_xml.edit_xml(edits, "l_orderkey", "at", 25.0), "l_orderkey", "xml")
+    return rounded(back.select("l_orderkey", "place", "source", "source_in", "source_out"), "source_in", "source_out")
+
+
+@query("""
+WITH d AS (SELECT event_id, user_id, event_id // 25 AS s, event_id % 25 AS f, event_type FROM events),
+t AS (SELECT *, [f, s % 60, (s // 60) % 60, (s // 3600) % 24] AS p FROM d)
+SELECT event_id, xor(xor(xor(xor(xor(xor(xor(p[1] % 10, p[1] // 10), xor(p[2] % 10, p[2] // 10)), xor(p[3] % 10, p[3] // 10)), xor(p[4] % 10, p[4] // 10)),
+  xor(user_id & 15, (user_id >> 4) & 15)), xor((user_id >> 8) & 15, (user_id >> 12) & 15)), xor(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END, CASE WHEN event_type = 'error' THEN 4 ELSE 0 END))::BIGINT AS check FROM t""")
+def vitc_checks(spark, sf_dir):
+    kind = F.col("event_type")
+    return events(spark, sf_dir).select("event_id", timebase.vitc_check(F.col("event_id"), 25, F.col("user_id"), kind == "view", F.lit(False), kind == "error").alias("check"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.functions import arrays, options, scores, timebase
+from lumenframe.functions import arrays, hdr, options, scores, timebase
 from lumenframe.operators import filters, kernels, loudness, matching, metrics, ranks, regression, rules, segments, selection, windows
 from lumenframe.sources import render, subtitles
 
@@ -295,3 +295,17 @@ def test_audio_types(spark):
     rows = [(0.0, 0.5, 100.0), (0.5, 0.2, 500.0), (0.5, 0.01, 5000.0), (0.5, 0.07, 2000.0)]
     found = [r[0] for r in spark.createDataFrame(rows, "a double, b double, c double").select(scores.audio_type(F.col("a"), F.col("b"), F.col("c"))).collect()]
     assert found == ["Silence", "Speech", "Music", "Mixed"]
+
+
+def test_tone_curves(spark):
+    row = one(spark, hdr.reinhard(lit(4.0), 4.0).alias("a"), hdr.filmic(lit(hdr.FILMIC_WHITE)).alias("b"), hdr.tone_mapped(lit(0.0), lit(0.0), lit(0.0), hdr.filmic, 1000.0, 100.0).alias("c"), hdr.tone_mapped(lit(9.0), lit(0.0), lit(0.0), hdr.reinhard, 1000.0, 100.0, 0.5, 1.0).alias("d"))
+    assert row["a"] == pytest.approx(1) and row["b"] == pytest.approx(1) and tuple(row["c"]) == (0.0, 0.0, 0.0)
+    assert 0 < row["d"]["g"] < row["d"]["r"]
+
+
+def test_tiles_round_trip():
+    a = np.random.default_rng(1).random((37, 50))
+    parts = kernels.tiles(a, 16, 4)
+    assert all(t.shape == (16, 16) for _, _, t in parts)
+    assert kernels.merged_tiles(parts, 50, 37, 4) == pytest.approx(a)
+    assert kernels.merged_tiles(kernels.tiles(a[:5, :5], 16, 4), 5, 5, 4) == pytest.approx(a[:5, :5])
