@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,25 +12,38 @@ from pyspark.sql import functions as F
 from lumenframe.functions.timebase import micros
 
 
-def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, value: str, tie: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, value: str, tie: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """left with the latest right row at or before it: right_ts and right_value.
 
     A union sorted once by stream and time; the last right row is carried
     forward, so no pair is made that isn't a match. Right rows of equal time are
-    ordered by `tie`. Without a match both are null.
+    ordered by `tie`. Without a match both are null. With `bucket`, a rising
+    function of the time, a stream is sorted bucket by bucket: each bucket gets
+    the last right row before it from a window over one row a bucket, so a
+    stream that holds much of the table is dealt over many tasks.
     """
     columns = left.columns
     sides = left.withColumns({"__side": F.lit(1), "__order": F.lit(None).cast("long"), "__value": F.lit(None).cast("double")})
     other = right.select(*by, ts, F.col(tie).cast("long").alias("__order"), F.col(value).cast("double").alias("__value")).withColumn("__side", F.lit(0))
     both = sides.unionByName(other, allowMissingColumns=True)
-    before = W.partitionBy(*by).orderBy(ts, "__side", "__order").rowsBetween(W.unboundedPreceding, 0)
-    carried = F.last(F.when(F.col("__side") == 0, F.struct(F.col(ts).alias("ts"), F.col("__value").alias("value"))), ignorenulls=True).over(before)
-    return both.withColumn("__match", carried).where(F.col("__side") == 1).select(*columns, F.col("__match.ts").alias("right_ts"), F.col("__match.value").alias("right_value"))
-
-
-def synchronized(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, value: str, tie: str, max_drift_us: int) -> DataFrame:
+    keys = list(by)
+    if bucket is not None:
+        both, keys = both.withColumn("__bucket", bucket(F.col(ts))), [*by, "__bucket"]
+    row = F.when(F.col("__side") == 0, F.struct(F.col(ts).alias("ts"), F.col("__order").alias("order"), F.col("__value").alias("value")))
+    before = W.partitionBy(*keys).orderBy(ts, "__side", "__order").rowsBetween(W.unboundedPreceding, 0)
+    matched = both.withColumn("__match", F.last(row, ignorenulls=True).over(before)).where(F.col("__side") == 1)
+    if bucket is not None:
+        earlier = W.partitionBy(*by).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+        last = both.groupBy(*keys).agg(F.max(row).alias("__last"))
+        carried = last.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+        matched = matched.join(carried, same, "left").withColumn("__match", F.coalesce("__match", "__carried"))
+    return matched.select(*columns, F.col("__match.ts").alias("right_ts"), F.col("__match.value").alias("right_value"))
+
+
+def synchronized(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, value: str, tie: str, max_drift_us: int, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """Rows whose latest master row is at most max_drift_us away; others are dropped."""
-    matched = as_of(left, right, by, ts, value, tie)
+    matched = as_of(left, right, by, ts, value, tie, bucket)
     drift = micros(ts) - micros("right_ts")
     return matched.withColumn("drift_us", drift).where(F.abs("drift_us") <= max_drift_us)
 

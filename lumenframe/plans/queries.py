@@ -398,7 +398,8 @@ _ASOF = "SELECT a.event_id, a.user_id, a.ts, b.ts AS right_ts, b.value AS right_
 
 @query(f"SELECT event_id, right_ts, right_value FROM ({_ASOF})")
 def asof_match(spark, sf_dir):
-    return matching.as_of(_side(spark, sf_dir, "view"), _side(spark, sf_dir, "click"), U, "ts", "value", "event_id").select("event_id", "right_ts", "right_value")
+    by_day = lambda ts: F.to_date(ts)
+    return matching.as_of(_side(spark, sf_dir, "view"), _side(spark, sf_dir, "click"), U, "ts", "value", "event_id", by_day).select("event_id", "right_ts", "right_value")
 
 
 @query(f"SELECT event_id, epoch_us(ts) - epoch_us(right_ts) AS drift_us FROM ({_ASOF}) WHERE epoch_us(ts) - epoch_us(right_ts) <= 7200000000")

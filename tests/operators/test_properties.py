@@ -79,11 +79,12 @@ def test_pareto_keeps_no_dominated_point(spark):
         assert r["v"] >= 20 and not any(c < r["cost"] and v >= r["v"] for _, c, v, _ in rows)
 
 
-def test_as_of_against_a_fold(spark):
+@pytest.mark.parametrize("bucket", [None, lambda t: F.floor(t / 7)])
+def test_as_of_against_a_fold(spark, bucket):
     rng = random.Random(6)
     left = [(rng.randrange(3), rng.randrange(100), i) for i in range(100)]
     right = [(rng.randrange(3), rng.randrange(100), float(i), i) for i in range(60)]
-    found = {r["i"]: (r["right_ts"], r["right_value"]) for r in matching.as_of(spark.createDataFrame(left, "k long, t long, i long"), spark.createDataFrame(right, "k long, t long, w double, o long"), ["k"], "t", "w", "o").collect()}
+    found = {r["i"]: (r["right_ts"], r["right_value"]) for r in matching.as_of(spark.createDataFrame(left, "k long, t long, i long"), spark.createDataFrame(right, "k long, t long, w double, o long"), ["k"], "t", "w", "o", bucket).collect()}
     for k, t, i in left:
         best = max(((rt, o, w) for rk, rt, w, o in right if rk == k and rt <= t), default=(None, None, None))
         assert found[i] == (best[0], best[2])
