@@ -21,6 +21,13 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_lumenframe_cache", {})
 
 
+def small_batches(batches, rows: int = 512):
+    """Arrow batches cut into ones of at most `rows` rows: what a function makes of one stands in memory at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Shared:
     """A broadcast value of any class; executors need no module of ours to read it.
 

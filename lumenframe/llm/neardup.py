@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import broadcast_if_small, only
+from lumenframe.llm.common import broadcast_if_small, only, small_batches
 from lumenframe.llm.components import connected_components
 from lumenframe.session import materialize, table
 
@@ -84,7 +84,7 @@ def _signatures(width: int):
     def signatures(batches):
         import xxhash
 
-        for batch in batches:
+        for batch in small_batches(batches):
             sizes, digests, rows = [], [], []
             for text in batch.column(1):
                 own = shingle_set(text.as_py(), width)
@@ -99,7 +99,7 @@ def _signatures(width: int):
 
 def _sets(width: int):
     def sets(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [shingle_set(text.as_py(), width).view(np.int64) for text in batch.column(1)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             values = np.concatenate(found) if found else np.empty(0, np.int64)

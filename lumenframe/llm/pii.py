@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenframe.llm.common import small_batches
 from lumenframe.session import table
 
 ROUNDS = 10
@@ -287,7 +288,7 @@ def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY, spans: str | None =
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def replaced(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             columns = list(batch.columns)
             done = [(None, []) if t is None else own.text(t) for t in columns[at].to_pylist()]
             columns[at] = pa.array([t for t, _ in done], columns[at].type)

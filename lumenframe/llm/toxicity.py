@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm.common import Shared
+from lumenframe.llm.common import Shared, small_batches
 from lumenframe.llm.labelled import labelled_features, scorer_of, usable_labels, with_scores
 from lumenframe.session import table
 
@@ -124,7 +124,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     schema, at = docs.schema, docs.columns.index("text")
 
     def keep(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [t.as_py() or "" for t in batch.column(at)]
             yield batch.filter(pa.array(shared.value.scores(texts) < threshold, pa.bool_()))
 
