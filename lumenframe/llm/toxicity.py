@@ -119,7 +119,13 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose text scores `threshold` or more; their columns stay as they are."""
+    """docs without the rows whose text scores `threshold` or more; their columns stay as they are.
+
+    A model that found no n-gram to tell by (no labels, or of one kind alone)
+    rejects nothing, whatever the base rate.
+    """
+    if not model.squared.any():
+        return docs
     shared = Shared(docs.sparkSession, "toxicity", model)
     schema, at = docs.schema, docs.columns.index("text")
 

@@ -57,3 +57,14 @@ def test_against_brute_force(spark, tmp_path):
 
 def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "packing"]
+
+
+def test_empty_tables_and_nulls(spark, tmp_path):
+    for name, rows in (("empty", []), ("nulls", [(None, None, None, None, None), (1, None, None, None, None), (2, "a b", None, None, None), (2, "a b", None, None, None)])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(None, None, None)] * len(rows), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(None, None)] * len(rows), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        found = [(r["doc_id"], r["start"]) for r in corpus_pipeline.run(spark, folder).collect()]
+        assert {d for d, _ in found} == {d for d, *_ in rows}
+        assert [d for d, s in found if s == 0].count(2) == (1 if rows else 0)
