@@ -28,7 +28,7 @@ def test_reorder_stream_is_the_fold(spark, tmp_path):
     found = run(spark, tmp_path, "stream long, seq long, value double", batches, lambda df: state.reordered_stream(df, "stream", "seq", "value", 5))
     expected = []
     for stream in (1, 2):
-        buffer = Reorder(5)
+        buffer = Reorder(5, None)
         for rows in BATCHES:
             for _, q in sorted(r for r in rows if r[0] == stream):
                 expected += [(stream, x, float(x)) for x in buffer.push(q, q)]
