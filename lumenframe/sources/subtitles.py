@@ -26,12 +26,18 @@ def _blocks(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _cues(blocks: DataFrame, key: str, parse) -> DataFrame:
-    """Cues of blocks whose first or second line has an arrow."""
+    """Cues of blocks whose first or second line has an arrow.
+
+    A cue is made in a generator, so that conditions on its times don't make
+    Spark compute them, and the lines behind them, again for each condition.
+    """
     at = F.when(F.get("lines", F.lit(0)).contains("-->"), 0).when(F.get("lines", F.lit(1)).contains("-->"), 1)
-    own = blocks.withColumn("__at", at).where(F.col("__at").isNotNull())
-    times = F.split(F.get("lines", F.col("__at")), "-->")
-    own = own.withColumn("start_ms", parse(F.trim(F.get(times, F.lit(0))))).withColumn("end_ms", parse(F.get(F.split(F.trim(F.get(times, F.lit(1))), r"\s+"), F.lit(0))))
-    return own.withColumn("text", F.array_join(F.slice("lines", F.col("__at") + 2, F.size("lines")), "\n")).select(key, "block", "start_ms", "end_ms", "text")
+    placed = blocks.select(key, "block", F.explode(F.array(F.struct(F.col("lines"), at.alias("at")))).alias("b")).where(F.col("b.at").isNotNull())
+    times = F.split(F.get("b.lines", F.col("b.at")), "-->")
+    start, end = parse(F.trim(F.get(times, F.lit(0)))), parse(F.get(F.split(F.trim(F.get(times, F.lit(1))), r"\s+"), F.lit(0)))
+    text = F.array_join(F.slice("b.lines", F.col("b.at") + 2, F.size("b.lines")), "\n")
+    cue = F.struct(start.alias("start_ms"), end.alias("end_ms"), text.alias("text"))
+    return placed.select(key, "block", F.explode(F.array(cue)).alias("c")).select(key, "block", "c.*")
 
 
 def parse_srt_cues(df: DataFrame, key: str, text: str, strict: bool = False) -> DataFrame:
