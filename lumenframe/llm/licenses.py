@@ -23,24 +23,28 @@ COPYRIGHT_LINE = r"(?m)^[ \t#*/;%-]*(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9
 RIGHTS_LINE = r"(?m)^[ \t#*/;%-]*all rights reserved\.?[ \t]*$"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; null: empty."""
+def plain(text: Column) -> Column:
+    """Lower case without copyright lines and punctuation; null: empty."""
     lines = F.lower(F.coalesce(text, F.lit("")))
     kept = F.regexp_replace(F.regexp_replace(lines, COPYRIGHT_LINE, " "), RIGHTS_LINE, " ")
     marked = F.regexp_replace(kept, r"\(c\)|©", " copyright ")
     joined = F.regexp_replace(marked, r"&", " and ")
-    plain = F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}]+", " "))
-    return reduce(lambda done, rule: F.regexp_replace(done, *rule), EQUIVALENT_SPELLINGS, plain)
+    return F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}]+", " "))
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def spelled(text: Column) -> Column:
+    """A plain text with equivalent spellings made one: the canonical form."""
+    return reduce(lambda done, rule: F.regexp_replace(done, *rule), EQUIVALENT_SPELLINGS, text)
+
+
+def digest(plain_text: Column) -> Column:
+    return F.sha2(spelled(plain_text), 256)
 
 
 def known_digests(spark: SparkSession, known=KNOWN_LICENSES) -> DataFrame:
     """(digest, license_id) of the known texts, one row a digest; a fixed list, so it is broadcast."""
     rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in known])))
-    return rows.select(digest(F.col("text")).alias("known_digest"), "license_id").groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
+    return rows.select(digest(plain(F.col("text"))).alias("known_digest"), "license_id").groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -54,9 +58,11 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     its own. An empty table gives no rows. Other columns are not looked at.
     """
     known = known_digests(docs.sparkSession) if known is None else known
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n")
-    units = only(docs, "doc_id", "text").select("doc_id", F.posexplode(F.concat(F.array(text), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))).alias("unit", "text"))
+    # Lines are made plain once; joined by blanks they are the plain form of the whole.
+    lines = only(docs, "doc_id", "text").select("doc_id", F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), plain).alias("lines"))
+    whole_text = F.array_join(F.array_remove("lines", ""), " ")
+    own_lines = F.when(F.size("lines") > 1, F.col("lines")).otherwise(F.array().cast("array<string>"))
+    units = lines.select("doc_id", F.posexplode(F.concat(F.array(whole_text), own_lines)).alias("unit", "text"))
     digested = units.select("doc_id", "unit", digest(F.col("text")).alias("digest"))
     matched = digested.join(F.broadcast(known), F.col("digest") == F.col("known_digest"), "left").where((F.col("unit") == 0) | F.col("license_id").isNotNull())
     whole, line = F.col("unit") == 0, F.col("unit") > 0
