@@ -229,16 +229,17 @@ def _features(spark, sf_dir):
     return metrics.content_features(frames, U, ORDER)
 
 
-@query(f"WITH {_FEATURES} SELECT user_id, {', '.join(f'round({c}, 6) AS {c}' for c in _FEATURE_NAMES)} FROM f")
+@query(f"WITH {_FEATURES} SELECT user_id, {', '.join(f'round({c} + 1e-10, 6) AS {c}' for c in _FEATURE_NAMES)} FROM f")
 def feature_vector(spark, sf_dir):
-    return rounded(_features(spark, sf_dir), *_FEATURE_NAMES)
+    # The sums' order moves a mean by less than 1e-10; the shift keeps halves from being rounded either way.
+    return _features(spark, sf_dir).withColumns({c: r6(F.col(c) + 1e-10) for c in _FEATURE_NAMES})
 
 
 @query(f"""
 WITH {_FEATURES}
 SELECT user_id, CASE WHEN motion_magnitude < 0.1 AND temporal_complexity < 0.1 THEN 'Static' WHEN motion_magnitude > 0.7 THEN 'Action' WHEN edge_density > 0.8 AND spatial_complexity < 0.3 THEN 'Graphics'
   WHEN texture_complexity > 0.6 AND color_variance > 0.6 THEN 'Nature' WHEN motion_magnitude < 0.3 AND spatial_complexity < 0.4 THEN 'TalkingHead' ELSE 'Unknown' END AS scene,
-  round(spatial_complexity * 0.3 + temporal_complexity * 0.3 + motion_magnitude * 0.15 + detail_ratio * 0.15 + grain_level * 0.1, 6) AS complexity,
+  round(spatial_complexity * 0.3 + temporal_complexity * 0.3 + motion_magnitude * 0.15 + detail_ratio * 0.15 + grain_level * 0.1 + 1e-10, 6) AS complexity,
   CASE WHEN spatial_complexity * 100 < 20 AND temporal_complexity * 100 < 20 THEN 'Animation' WHEN spatial_complexity * 100 < 40 AND temporal_complexity * 100 < 15 THEN 'TalkingHead' WHEN temporal_complexity * 100 > 60 THEN 'Sports'
   WHEN spatial_complexity * 100 > 70 THEN 'Nature' WHEN spatial_complexity * 100 > 50 AND temporal_complexity * 100 > 40 THEN 'Gaming' WHEN spatial_complexity * 100 > 40 THEN 'Film' ELSE 'Generic' END AS content
 FROM f""")
@@ -247,7 +248,7 @@ def scene_classes(spark, sf_dir):
     c = {n: F.col(n) for n in _FEATURE_NAMES}
     kind = scores.scene_type(c["motion_magnitude"], c["temporal_complexity"], c["edge_density"], c["spatial_complexity"], c["texture_complexity"], c["color_variance"])
     whole = scores.content_complexity(c["spatial_complexity"], c["temporal_complexity"], c["motion_magnitude"], c["detail_ratio"], c["grain_level"])
-    return own.select("user_id", kind["type"].alias("scene"), r6(whole).alias("complexity"), scores.content_type(c["spatial_complexity"] * 100, c["temporal_complexity"] * 100).alias("content"))
+    return own.select("user_id", kind["type"].alias("scene"), r6(whole + 1e-10).alias("complexity"), scores.content_type(c["spatial_complexity"] * 100, c["temporal_complexity"] * 100).alias("content"))
 
 
 @query("""
@@ -1002,7 +1003,7 @@ def circuit_breaker(spark, sf_dir):
 @query("""
 WITH p AS (SELECT event_id, value / 100 AS r, value / 200 AS g, value / 400 AS b FROM events), y AS (SELECT *, r * 0.2126 + g * 0.7152 + b * 0.0722 AS y FROM p),
 m AS (SELECT *, least(greatest((y * 10) / (1 + y * 10), 0), 1) AS m FROM y), d AS (SELECT *, least(greatest((m - 0.8) / 0.2, 0), 1) * 0.5 AS d FROM m)
-SELECT event_id, round(r * m / y * (1 - d) + m * d, 6) AS r, round(g * m / y * (1 - d) + m * d, 6) AS g, round(b * m / y * (1 - d) + m * d, 6) AS b FROM d""")
+SELECT event_id, CASE WHEN y > 0 THEN round(r * m / y * (1 - d) + m * d, 6) ELSE 0 END AS r, CASE WHEN y > 0 THEN round(g * m / y * (1 - d) + m * d, 6) ELSE 0 END AS g, CASE WHEN y > 0 THEN round(b * m / y * (1 - d) + m * d, 6) ELSE 0 END AS b FROM d""")
 def tone_map(spark, sf_dir):
     v = F.col("value")
     mapped = hdr.tone_mapped(v / 100, v / 200, v / 400, hdr.reinhard, 1000.0, 100.0, 0.8, 0.5)
