@@ -1,9 +1,9 @@
 """Toxicity: a character n-gram linear classifier with naive Bayes features.
 
 Each n-gram that a text holds is a feature whose value is the n-gram's naive
-Bayes log-count ratio between the classes, 0 where the counts leave its sign in
-doubt; a text's features are scaled by their length and a logistic regression is
-fitted on them.
+Bayes log-count ratio between the classes, 0 where too few texts hold it; a
+text's features are scaled by their length and a logistic regression is fitted
+on them.
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ SIZES = (3, 4, 5)
 #: n-grams are hashed into 2**BITS features.
 BITS = 18
 ROUNDS, STEP, DECAY = 50, 1.0, 1e-5
-#: A ratio counts if it is so many standard errors from 0 and so many sampled texts hold its n-gram.
-CERTAIN, LEAST_TEXTS = 4.0, 4
+#: A ratio counts if so many sampled texts hold its n-gram.
+LEAST_TEXTS = 4
 THRESHOLD = 0.3
 MODULUS, HELD_OUT = 4, 2
 #: Bytes hashed at once.
 CHUNK = 1 << 22
+#: Sampled texts whose features are taken at once in a round.
+FIT_TEXTS = 128
 
 
 def ngrams(text: str) -> np.ndarray:
@@ -71,6 +73,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
+def _block(features: list[np.ndarray], column: np.ndarray, times: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(column, row, value) of some texts, each text scaled by its length; a column stands for `times` features."""
+    kept = [np.unique(own[own >= 0]) for own in (column[f] for f in features)]
+    at = np.concatenate(kept)
+    row = np.repeat(np.arange(len(kept)), [len(own) for own in kept])
+    value = ratio[at]
+    return at, row, (value / np.sqrt(1 + np.bincount(row, weights=times[at] * value * value, minlength=len(kept)))[row]).astype(np.float32)
+
+
 def fit_model(features: list[np.ndarray], y: np.ndarray, totals: dict[int, int]) -> Model:
     """Fits on a sample; totals: documents of each label, whose odds the bias is set to."""
     size = 1 << BITS
@@ -79,26 +90,36 @@ def fit_model(features: list[np.ndarray], y: np.ndarray, totals: dict[int, int])
     if not n1 or not n0:
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), float(prior))
     held = np.full((2, size), 0.5)
-    for own, label in zip(features, y.astype(int).tolist(), strict=True):
+    texts, mark = np.zeros(size, np.uint64), np.random.default_rng(0).integers(0, 1 << 64, len(y), np.uint64)
+    for text, (own, label) in enumerate(zip(features, y.astype(int).tolist(), strict=True)):
         held[label, own] += 1  # a text's n-grams are distinct
+        texts[own] += mark[text]
     ratio = np.log((held[1] / (n1 + 1)) / (held[0] / (n0 + 1)))
-    ratio[(np.abs(ratio) < CERTAIN * np.sqrt(1 / held[1] + 1 / held[0])) | (held[0] + held[1] < LEAST_TEXTS + 1)] = 0
+    ratio[held[0] + held[1] < LEAST_TEXTS + 1] = 0
     ratio = ratio.astype(np.float32)
-    kept = [own[ratio[own] != 0] for own in features]
-    at = np.concatenate(kept).astype(np.int32)
-    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(own) for own in kept])
-    value = ratio[at]
-    value = (value / np.sqrt(1 + np.bincount(row, weights=value * value, minlength=len(y)))[row]).astype(np.float32)
-    weight, bias = np.zeros(size, np.float32), 0.0
-    seen = np.full(size, 1e-8, np.float32)
+    # Features that the same texts hold have the same weight all along: one column, taken several times.
+    counted = np.flatnonzero(ratio)
+    _, first, own, times = np.unique(texts[counted], return_index=True, return_inverse=True, return_counts=True)
+    column = np.full(size, -1, np.int64)
+    column[counted] = own
+    blocks = [_block(features[at : at + FIT_TEXTS], column, times, ratio[counted[first]]) for at in range(0, len(y), FIT_TEXTS)]
+    weight, bias = np.zeros(len(first), np.float32), 0.0
+    seen = np.full(len(first), 1e-8, np.float32)
     for _ in range(ROUNDS):
-        odds = np.bincount(row, weights=weight[at] * value, minlength=len(y)) + bias
-        error = (1 / (1 + np.exp(-odds)) - y).astype(np.float32)
-        slope = (np.bincount(at, weights=value * error[row], minlength=size) / len(y)).astype(np.float32) + DECAY * weight
+        slope, errors, several = np.zeros(len(first)), 0.0, weight * times
+        for block, (at, row, value) in enumerate(blocks):
+            label = y[block * FIT_TEXTS : (block + 1) * FIT_TEXTS]
+            odds = np.bincount(row, weights=several[at] * value, minlength=len(label)) + bias
+            error = (1 / (1 + np.exp(-odds)) - label).astype(np.float32)
+            slope += np.bincount(at, weights=value * error[row], minlength=len(first))
+            errors += float(error.sum())
+        slope = (slope / len(y)).astype(np.float32) + DECAY * weight
         seen += slope * slope
         weight -= STEP * slope / np.sqrt(seen)
-        bias -= 0.5 * float(error.mean())
-    return Model((weight * ratio).astype(np.float32), ratio * ratio, float(bias + prior - np.log(n1 / n0)))
+        bias -= 0.5 * errors / len(y)
+    weighted = np.zeros(size)
+    weighted[counted] = weight[own] * ratio[counted]
+    return Model(weighted.astype(np.float32), ratio * ratio, float(bias + prior - np.log(n1 / n0)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = PER_CLASS, modulus: int = MODULUS, held_out: int = HELD_OUT) -> Model:

@@ -81,3 +81,19 @@ def test_long_texts_in_chunks(monkeypatch):
     whole = toxicity.ngrams(text)
     monkeypatch.setattr(toxicity, "CHUNK", 1000)
     assert np.array_equal(toxicity.ngrams(text), whole)
+
+
+def test_toxic_words_of_the_long_tail():
+    rng = random.Random(8)
+    tail = ["".join(rng.choice("abcdefghijklmnopqrstuvxyz") for _ in range(8)) for _ in range(60)]
+
+    def text(toxic):
+        words = prose(rng, 60).split()
+        for at in rng.sample(range(60), 2 * toxic):  # each word in some 3 % of toxic texts
+            words[at] = rng.choice(tail)
+        return toxicity.ngrams(" ".join(words))
+
+    y = np.array([1.0] * 300 + [0.0] * 600)
+    model = toxicity.fit_model([text(int(label)) for label in y], y, {1: 300, 0: 600})
+    found = {label: [1 / (1 + np.exp(-model.log_odds(text(label)))) >= toxicity.THRESHOLD for _ in range(200)] for label in (0, 1)}
+    assert np.mean(found[1]) > 0.95 and np.mean(found[0]) < 0.02
