@@ -33,18 +33,33 @@ SMALL = "abcdefghijklmnopqrstuvwxyz"
 LARGE = SMALL.upper()
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
+MONTHS = "January February March April May June July August September October November December".split()
+_MONTH = "(?i:" + "|".join(f"{m[:3]}(?:{m[3:]}{'|t' if m == 'September' else ''})?" for m in MONTHS) + ")"
+_NTH = "(?:st|nd|rd|th)?"
+
+#: Lengths of IBANs by country; fixed values.
+IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (
+        pair.split(":")
+        for pair in "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU".split()
+    )
+    for country in countries.split(",")
+}
+
 #: Patterns of the kinds, in order of precedence where matches start together; fixed values.
 PATTERNS = (
-    ("email", r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+(?<![.-])"),
+    ("email", r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+(?<![.-])"),
     ("aws_key", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("password", r"(?i:(?<!\w)(?:password|passwd|pwd|secret|api_key|token)[ \t]?[=:][ \t]?[\"']?)(?P<password_value>[A-Za-z0-9]{8,128})(?![A-Za-z0-9])"),
     ("hex", r"(?<![A-Za-z0-9])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"),
-    ("date", r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}(?P<date_a>[-/.])[0-9]{2}(?P=date_a)[0-9]{2}|[0-9]{2}(?P<date_b>[-/.])[0-9]{2}(?P=date_b)[0-9]{4})(?![0-9A-Za-z]|[/.-][0-9])"),
+    ("date", r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}(?P<date_a>[-/.])[0-9]{1,2}(?P=date_a)[0-9]{1,2}|[0-9]{1,2}(?P<date_b>[-/.])[0-9]{1,2}(?P=date_b)[0-9]{4})(?!(?!T[0-9]{2})[0-9A-Za-z]|[/.-][0-9])"),
+    ("date_named", rf"(?<![0-9A-Za-z/.-])(?=[0-9JFMASONDjfmasond])(?:[0-9]{{1,2}}{_NTH}(?:[ -]| of ){_MONTH}\.?,?[ -]|{_MONTH}\.?[ -][0-9]{{1,2}}{_NTH},?[ -])[0-9]{{4}}(?![0-9A-Za-z]|[/.-][0-9])"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"),
-    ("phone", r"(?<![0-9A-Za-z(+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])"),
-    ("phone_abroad", r"(?<![0-9A-Za-z(+])\+(?!1[ .(-])[0-9]{1,3}(?:[ .-]?[0-9]){7,12}(?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])"),
+    ("phone_abroad", r"(?<![0-9A-Za-z+])\+(?!1[ .(-])[0-9]{1,3}(?:[ .-]?[0-9]){7,12}(?![0-9A-Za-z])"),
     ("card", r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?P<card_mark>[ -])[0-9]{4}(?P=card_mark)[0-9]{4}(?P=card_mark)[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])"),
 )
 #: A text without any of these has nothing to replace.
@@ -151,24 +166,56 @@ def _date(feistel: Feistel, text: str, back: bool) -> str | None:
     """Year first, else day before month where that is a date, else month before day."""
     mark = re.search(r"[-/.]", text)[0]
     a, b, c = text.split(mark)
+    short = min(map(len, (a, b, c))) == 1
     for order, (y, m, d) in ((("ymd", (a, b, c)),) if len(a) == 4 else (("dmy", (c, b, a)), ("mdy", (c, a, b)))):
         try:
             day = datetime.date(int(y), int(m), int(d)).toordinal()
         except ValueError:
             continue
-        if not FIRST_DAY <= day <= LAST_DAY:
-            return None
 
-        def readable(v: int, order: str = order) -> bool:
-            new = datetime.date.fromordinal(FIRST_DAY + v)
-            return order == "ymd" or (order == "dmy") or new.day > 12  # a month-first date stays one
+        def readable(new: datetime.date, order: str = order, m: str = m, d: str = d) -> bool:
+            if short and not (_padded_alike(m, new.month) and _padded_alike(d, new.day)):
+                return False
+            return order in ("ymd", "dmy") or new.day > 12  # a month-first date stays one
 
-        new = datetime.date.fromordinal(FIRST_DAY + feistel.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, readable, back))
-        fields = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+        new = _permuted_day(feistel, day, readable, back)
+        if new is None:
+            return None
+        fields = {"y": f"{new.year:04d}", "m": f"{new.month:0{len(m)}d}", "d": f"{new.day:0{len(d)}d}"}
         return mark.join(fields[f] for f in order)
     return None
 
 
+def _padded_alike(field: str, number: int) -> bool:
+    """Whether a number takes as many digits without zeros in front as the field does."""
+    return (int(field) < 10) == (number < 10)
+
+
+def _permuted_day(feistel: Feistel, day: int, readable: Callable[[datetime.date], bool], back: bool) -> datetime.date | None:
+    if not FIRST_DAY <= day <= LAST_DAY:
+        return None
+    date = lambda v: datetime.date.fromordinal(FIRST_DAY + v)
+    return date(feistel.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, lambda v: readable(date(v)), back))
+
+
+def _date_named(feistel: Feistel, text: str, back: bool) -> str | None:
+    """A date with the month's name; names stay whole or short ("May" is whole), days of one digit stay so."""
+    name, year, d = re.search(_MONTH, text)[0], text[-4:], re.search(r"[0-9]{1,2}", text)[0]
+    whole, nth = name.capitalize() in MONTHS, re.search(r"[0-9](st|nd|rd|th)", text)
+    try:
+        day = datetime.date(int(year), [m[:3] for m in MONTHS].index(name[:3].capitalize()) + 1, int(d)).toordinal()
+    except ValueError:
+        return None
+    new = _permuted_day(feistel, day, lambda new: _padded_alike(d, new.day) and (whole or new.month != 5), back)
+    if new is None:
+        return None
+    month = MONTHS[new.month - 1][: None if whole else 3]
+    month = month.upper() if name.isupper() else month.lower() if name.islower() else month
+    suffix = "" if not nth else "th" if 10 < new.day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+    made = re.sub(_MONTH, month, text[:-4], count=1)
+    return re.sub(r"[0-9]{1,2}" + _NTH, f"{new.day:0{len(d)}d}{suffix}", made, count=1) + f"{new.year:04d}"
+
+
 def _ssn_valid(digits: str) -> bool:
     return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
 
@@ -226,6 +273,8 @@ class Pseudonyms:
             return _ip(feistel, text, back)
         if kind == "date":
             return _date(feistel, text, back)
+        if kind == "date_named":
+            return _date_named(Feistel(self.key, "date"), text, back)
         if kind == "ssn":
             return _numbers(feistel, text, _ssn_valid, back)
         if kind == "phone":
@@ -236,6 +285,16 @@ class Pseudonyms:
             return _numbers(feistel, text, lambda d: d.strip("0") != "" and luhn(d), back)
         raise ValueError(kind)
 
+    def _iban_within(self, text: str, start: int, end: int, back: bool) -> tuple[int, str | None]:
+        """(end, pseudonym) of the IBAN that a match begins with: of its country's length, or else the longest."""
+        ends = [end, *[at for at in range(end - 1, start, -1) if text[at] == " "]]
+        due = IBAN_LENGTHS.get(text[start : start + 2])
+        for own in sorted(ends, key=lambda at: len(text[start:at].replace(" ", "")) != due):
+            made = self.value("iban", text[start:own], back)
+            if made is not None:
+                return own, made
+        return end, None
+
     def text(self, text: str, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
         """(text with pseudonyms, (kind, start, end) of each in the text given)."""
         if not MAY_HOLD.search(text):
@@ -245,12 +304,15 @@ class Pseudonyms:
             kind = match.lastgroup if match.lastgroup in _KINDS else next(name for name in _KINDS if match.group(name) is not None)
             group = "password_value" if kind == "password" else kind
             start, end = match.span(group)
-            made = self.value(kind, text[start:end], back)
+            if kind == "iban":
+                end, made = self._iban_within(text, start, end, back)
+            else:
+                made = self.value(kind, text[start:end], back)
             if made is None:
                 at = _next_start(text, match.start())
                 continue
             out += [text[done:start], made]
-            spans.append((kind, start, end))
+            spans.append(("date" if kind == "date_named" else kind, start, end))
             at = done = end
         return "".join([*out, text[done:]]), spans
 

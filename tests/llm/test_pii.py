@@ -1,10 +1,11 @@
+import datetime
 import random
 import re
 
 import pytest
 from tests.llm.conftest import with_clashes
 
-from lumenframe.llm.pii import Feistel, Pseudonyms, luhn, pseudonymize
+from lumenframe.llm.pii import FIRST_DAY, Feistel, Pseudonyms, luhn, pseudonymize
 
 OWN = Pseudonyms(b"test key")
 
@@ -97,3 +98,43 @@ def test_frame(spark, edge_docs, edge_rows, no_docs):
     assert pseudonymize(no_docs).count() == 0
     with pytest.raises(ValueError):
         pseudonymize(docs, spans="key")
+
+
+RUNNING_TEXT = [
+    ("iban", "pay ES9121000418450200051332 EUR 50 today", "ES9121000418450200051332"),
+    ("iban", "AT61 1904 3002 3457 3201 2024", "AT61 1904 3002 3457 3201"),
+    ("iban", "to PL61109010140000071219812874 BY FRIDAY", "PL61109010140000071219812874"),
+    ("date", "at 2021-07-03T10:00:00Z it", "2021-07-03"),
+    ("date", "on 3/7/2021, and", "3/7/2021"),
+    ("date", "on 2021-7-13 and", "2021-7-13"),
+    ("date", "on 3/25/2021 and", "3/25/2021"),
+    ("date", "on 3 July 2021.", "3 July 2021"),
+    ("date", "on 03-Jul-2021.", "03-Jul-2021"),
+    ("date", "on the 22nd of May 1999 he", "22nd of May 1999"),
+    ("date", "on DECEMBER 1st, 1999 he", "DECEMBER 1st, 1999"),
+    ("date", "Sep. 9, 2001", "Sep. 9, 2001"),
+    ("phone", "call (212-555-0100) now", "212-555-0100"),
+    ("phone_abroad", "call (+44 20 7946 0958) now", "+44 20 7946 0958"),
+    ("email", "jane.doe@mail.example.com- or", "jane.doe@mail.example.com"),
+    ("email", "jane.doe@mail.example.com--", "jane.doe@mail.example.com"),
+]
+
+
+@pytest.mark.parametrize("kind, text, value", RUNNING_TEXT)
+def test_values_in_running_text(kind, text, value):
+    new, spans = OWN.text(text)
+    assert [(k, text[a:b]) for k, a, b in spans] == [(kind, value)]
+    assert value not in new
+    assert OWN.text(new, back=True)[0] == text
+
+
+@pytest.mark.parametrize("text", ["31 February 2021", "3 July 1750", "July 2021", "3 Julys 2021", "x3 July 2021", "1/2/3/2021", "2021-07-03Tea", "ES9221000418450200051332 EUR"])
+def test_what_is_no_value_in_running_text_stays(text):
+    assert OWN.text(text) == (text, [])
+
+
+def test_dates_of_every_day_round_trip():
+    for written in ("{0.day}/{0.month}/{0.year}", "{0.day} {0:%B} {0.year}", "{0:%b} {0.day}, {0.year}"):
+        for n in range(0, 73000, 397):
+            text = written.format(datetime.date.fromordinal(FIRST_DAY + n))
+            assert OWN.text(OWN.text(text)[0], back=True)[0] == text
