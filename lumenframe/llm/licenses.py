@@ -20,18 +20,29 @@ from lumenframe.session import table
 
 #: Lines that name a copyright and its holder, with what may stand before as a comment mark.
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;%-]*(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9]{4}|<|\[|by\b)[^\n]*$"
+#: Words after "copyright" where licences speak of it; fixed values.
+_SPOKEN = r"(?:holders?|owners?|ownership|notices?|law|laws|act|line|disclaimers?|permissions?|interests?|resulting|treaty|treaties|those|licen[cs]\w*|statements?|patents?|doctrines?|protection|rights?|infring\w*|terms?|control|status|material|work|works|and|or|of|on|in|is|are|as|if|to|for|also|with|that|which|under|may|shall|must|can|will|has|have|it|this|these|any|all|does|not|a|an|the(?![^\n]*(?:authors?|contributors|developers|team|foundation|project)[ \t.]*$))\b"
+#: Short lines that begin with the word and go on with a holder.
+HOLDER_LINE = rf"(?m)^[ \t#*/;%-]*copyright(?:[ \t]*:[ \t]*|[ \t]+)(?!{_SPOKEN})[\p{{L}}\p{{N}}'\"][^\n]{{0,99}}$"
+#: A line of a copyright that goes on in the next: it ends in a comma or a joining word, or in a year with the holder alone below.
+WRAPPED_HOLDER = rf"(?mi)^([ \t#*/;%-]*(?:copyright|\(c\)|©)[ \t]*(?!\s*{_SPOKEN})[^\n]{{0,100}}?(?:(?:,|&|\b(?:and|the|of|by|for))(?=[ \t]*\n[^\n]{{1,80}}$)|[0-9]{{4}},?(?=[ \t]*\n[^\n]{{1,60}}\n[ \t#*/;%-]*$)))[ \t]*\n(?![^\n]*(?:licen[cs]e|permission|redistribution|provided))"
 RIGHTS_LINE = r"(?m)^[ \t#*/;%-]*all rights reserved\.?[ \t]*$"
 
 
 def plain(text: Column) -> Column:
     """Lower case without copyright lines and punctuation; null: empty."""
     lines = F.lower(F.coalesce(text, F.lit("")))
-    kept = F.regexp_replace(F.regexp_replace(lines, COPYRIGHT_LINE, " "), RIGHTS_LINE, " ")
+    kept = reduce(lambda done, line: F.regexp_replace(done, line, " "), (COPYRIGHT_LINE, HOLDER_LINE, RIGHTS_LINE), lines)
     marked = F.regexp_replace(kept, r"\(c\)|©", " copyright ")
     joined = F.regexp_replace(marked, r"&", " and ")
     return F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}]+", " "))
 
 
+def unwrapped(text: Column) -> Column:
+    """text with each copyright line and the line its holder goes on in made one; null: empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), WRAPPED_HOLDER, "$1 ")
+
+
 def spelled(text: Column) -> Column:
     """A plain text with equivalent spellings made one: the canonical form."""
     return reduce(lambda done, rule: F.regexp_replace(done, *rule), EQUIVALENT_SPELLINGS, text)
@@ -44,7 +55,7 @@ def digest(plain_text: Column) -> Column:
 def known_digests(spark: SparkSession, known=KNOWN_LICENSES) -> DataFrame:
     """(digest, license_id) of the known texts, one row a digest; a fixed list, so it is broadcast."""
     rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in known])))
-    return rows.select(digest(plain(F.col("text"))).alias("known_digest"), "license_id").groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
+    return rows.select(digest(plain(unwrapped(F.col("text")))).alias("known_digest"), "license_id").groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -59,7 +70,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     known = known_digests(docs.sparkSession) if known is None else known
     # Lines are made plain once; joined by blanks they are the plain form of the whole.
-    lines = only(docs, "doc_id", "text").select("doc_id", F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), plain).alias("lines"))
+    lines = only(docs, "doc_id", "text").select("doc_id", F.transform(F.split(unwrapped(F.col("text")), "\n"), plain).alias("lines"))
     whole_text = F.array_join(F.array_remove("lines", ""), " ")
     own_lines = F.when(F.size("lines") > 1, F.col("lines")).otherwise(F.array().cast("array<string>"))
     units = lines.select("doc_id", F.posexplode(F.concat(F.array(whole_text), own_lines)).alias("unit", "text"))

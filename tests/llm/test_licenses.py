@@ -1,3 +1,5 @@
+import textwrap
+
 from tests.llm.conftest import with_clashes
 
 from lumenframe.llm import licenses
@@ -47,3 +49,39 @@ def test_native_and_empty(spark, edge_docs, no_docs):
     plan = licenses.scan_licenses(edge_docs)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
     assert licenses.scan_licenses(no_docs).count() == 0
+
+
+HEADERS = [
+    "Copyright OpenJS Foundation and other contributors",
+    "Copyright Jane Doe 2020",
+    "Copyright: 2020 X",
+    "COPYRIGHT: Jane Doe",
+    "Copyright the Example Authors.",
+    "// Copyright OpenJS Foundation",
+    "Copyright (c) 2020 The Regents of the\n    University of California.",
+    "Copyright (c) 2020 Jane Doe,\n              John Roe",
+    "Copyright (c) 2020\n  Jane Doe\n",
+    "Copyright OpenJS Foundation\nCopyright 2019 Jane Doe and\n  others",
+]
+
+
+def test_copyright_headers_of_many_forms(spark):
+    own = [(name, text) for name, text in KNOWN_LICENSES if "\n\n" in text]
+    rows, names = [], []
+    for name, text in own:
+        for header in HEADERS:
+            names.append(name)
+            rows.append((len(rows), header + "\n\n" + text))
+    found = scan(spark, rows)
+    assert [found[i]["license_id"] for i in range(len(rows))] == names
+
+
+def test_sentences_on_copyright_stay_however_wrapped(spark):
+    rows, names = [], []
+    for name, text in KNOWN_LICENSES:
+        for width in (1, 20, 33, 47, 60, 72):
+            names.append(name)
+            rows.append((len(rows), "\n".join(textwrap.wrap(" ".join(text.split()), width, break_long_words=False, break_on_hyphens=False))))
+    found = scan(spark, [*rows, (9000, "Copyright 2020\nReleased under the MIT License.\n\nprose")])
+    assert [found[i]["license_id"] for i in range(len(rows))] == names
+    assert found[9000]["notices"] == "MIT"
