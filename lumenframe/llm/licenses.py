@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import only
-from lumenframe.llm.license_texts import EQUIVALENT_SPELLINGS, KNOWN_LICENSES
+from lumenframe.llm.license_texts import EQUIVALENT_SPELLINGS, KNOWN_DIGESTS, KNOWN_LICENSES, KNOWN_NOTICES
 from lumenframe.session import table
 
 #: Lines that name a copyright and its holder, with what may stand before as a comment mark.
@@ -52,10 +52,17 @@ def digest(plain_text: Column) -> Column:
     return F.sha2(spelled(plain_text), 256)
 
 
-def known_digests(spark: SparkSession, known=KNOWN_LICENSES) -> DataFrame:
+def _pairs(spark: SparkSession, pairs) -> DataFrame:
+    """(license_id, text) of a fixed list, as one literal."""
+    both = spark.range(1).select(F.explode(F.split(F.lit("\x1e".join(f"{name}\x1f{text}" for name, text in pairs)), "\x1e")).alias("pair"))
+    return both.select(F.substring_index("pair", "\x1f", 1).alias("license_id"), F.substring_index("pair", "\x1f", -1).alias("text"))
+
+
+def known_digests(spark: SparkSession, known=KNOWN_LICENSES + KNOWN_NOTICES, digests=KNOWN_DIGESTS) -> DataFrame:
     """(digest, license_id) of the known texts, one row a digest; a fixed list, so it is broadcast."""
-    rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in known])))
-    return rows.select(digest(plain(unwrapped(F.col("text")))).alias("known_digest"), "license_id").groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
+    rows, own = _pairs(spark, known), _pairs(spark, digests)
+    texts = rows.select(digest(plain(unwrapped(F.col("text")))).alias("known_digest"), "license_id")
+    return texts.unionAll(own.select("text", "license_id")).groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:

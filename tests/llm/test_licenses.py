@@ -1,5 +1,7 @@
 import textwrap
+from pathlib import Path
 
+import pytest
 from tests.llm.conftest import with_clashes
 
 from lumenframe.llm import licenses
@@ -85,3 +87,21 @@ def test_sentences_on_copyright_stay_however_wrapped(spark):
     found = scan(spark, [*rows, (9000, "Copyright 2020\nReleased under the MIT License.\n\nprose")])
     assert [found[i]["license_id"] for i in range(len(rows))] == names
     assert found[9000]["notices"] == "MIT"
+
+
+COMMON = Path("/usr/share/common-licenses")
+FULL = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not COMMON.is_dir(), reason="the system's licence texts are not there")
+def test_full_texts_from_outside(spark):
+    texts = [(name, (COMMON / file).read_text()) for file, name in FULL.items()]
+    rows = [(i, text.upper() if i % 2 else text.replace("\n", "\n # ")) for i, (_, text) in enumerate(texts)]
+    found = scan(spark, [*rows, (100, texts[0][1] + "\nand one more condition")])
+    assert [found[i]["license_id"] for i in range(len(rows))] == [name for name, _ in texts]
+    assert found[100]["license_id"] is None
+
+
+def test_usual_notices(spark):
+    found = scan(spark, [(1, "x\nSPDX-License-Identifier: GPL-2.0\n// spdx-license-identifier: MPL-2.0"), (2, "This project is licensed under the MIT License."), (3, "x\nDistributed under the Boost Software License, Version 1.0.\n")])
+    assert found[1]["notices"] == "GPL-2.0-only,MPL-2.0" and found[2]["license_id"] == "MIT" and found[3]["notices"] == "BSL-1.0"
