@@ -10,18 +10,23 @@ estimated for classes of contexts by leaving out each training occurrence in
 turn. A document's score is the sum over its bytes of log10 of their probability.
 
 Training: the counts of (ORDER + 1)-grams over all training documents hold the
-whole trie. They are summed by Spark; the trie goes to the scorers in slices of
-at most SLICE_GRAMS grams, one unless there are more.
+whole trie. Spark sums them and derives from them a table of the grams of every
+length, one of the contexts, and the bounded one of the escape classes, so the
+model may be of any size. Scoring is one pass over the texts, at every size of
+the model: the scorers hold the probabilities of the FREQUENT_GRAMS most
+frequent grams; all others, and grams that training didn't see, are counted by
+document and joined with the tables.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import Shared, collect_bounded, only, rest_crc32
@@ -30,10 +35,8 @@ from lumenframe.session import materialize, table
 ORDER = 5
 WIDTH = ORDER + 1
 END = b"\n"
-#: Most grams in a slice of the trie: some 100 bytes each in a scorer's memory.
-SLICE_GRAMS = 4_000_000
-#: Most words whose probabilities the scorers hold; those of all rarer words are joined.
-FREQUENT_WORDS = 1 << 18
+#: Most grams and words whose probabilities the scorers hold (16 bytes each sent, some 60 in a scorer); all rarer ones are joined.
+FREQUENT_GRAMS, FREQUENT_WORDS = 3_000_000, 1 << 18
 #: Cases by which the prior of an escape class counts.
 PRIOR_CASES = 2.0
 #: Bytes scored at once.
@@ -117,152 +120,6 @@ class HashTable:
         return values, found
 
 
-@dataclass
-class _Level:
-    """The contexts of one length.
-
-    grams, counts: bytes seen after contexts; contexts: sorted; n, q: occurrences
-    and different bytes of each, once: bytes seen once in each; escape: its
-    probability where no byte is excluded. left_n, left_q, left_escape: the same
-    of the next shorter context, less the bytes seen in this one.
-    """
-
-    grams: np.ndarray
-    counts: np.ndarray
-    contexts: np.ndarray
-    own: np.ndarray
-    n: np.ndarray
-    q: np.ndarray
-    once: np.ndarray
-    escape: np.ndarray = field(default_factory=lambda: np.empty(0))
-    left_n: np.ndarray = field(default_factory=lambda: np.empty(0))
-    left_q: np.ndarray = field(default_factory=lambda: np.empty(0))
-    left_escape: np.ndarray = field(default_factory=lambda: np.empty(0))
-
-
-def _level(grams: np.ndarray, counts: np.ndarray) -> _Level:
-    contexts, own = np.unique(grams >> np.uint64(8), return_inverse=True)
-    sums = [np.bincount(own, weights=w, minlength=len(contexts)) for w in (counts, np.ones(len(own)), (counts == 1).astype(float))]
-    return _Level(grams, counts, contexts, own, *sums)
-
-
-def _summed(grams: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    short, at = np.unique(grams & np.uint64((1 << 8 * size) - 1), return_inverse=True)
-    return short, np.bincount(at, weights=counts, minlength=len(short))
-
-
-class _Escapes:
-    """Escape probabilities by class of (n, q), from the training counts left out one at a time.
-
-    Each occurrence in turn is taken as the one to predict: it escapes if its
-    byte is not seen in the context but for it. A class with few cases leans on
-    the prior q / (n + q).
-    """
-
-    def __init__(self, n: np.ndarray, q: np.ndarray, cases: np.ndarray, escapes: np.ndarray):
-        size = int(self._class(np.array([1 << 50]), np.array([256]))[0]) + 1
-        at = self._class(n, q)
-        self.cases = np.bincount(at, weights=cases, minlength=size)
-        self.escapes = np.bincount(at, weights=escapes, minlength=size)
-
-    @staticmethod
-    def _class(n: np.ndarray, q: np.ndarray) -> np.ndarray:
-        steps = [np.where(x <= 4, x, np.floor(4 * np.log2(np.maximum(x, 1)) - 4)).astype(np.int64) for x in (n, q)]
-        return steps[0] * 32 + steps[1]
-
-    def __call__(self, n: np.ndarray, q: np.ndarray) -> np.ndarray:
-        at = self._class(n, q)
-        prior = q / np.maximum(n + q, 1)
-        return (self.escapes[at] + PRIOR_CASES * prior) / (self.cases[at] + PRIOR_CASES)
-
-
-class Trie:
-    """The trie of some grams of WIDTH bytes and, for the two shortest contexts, of all.
-
-    It travels as its grams; a scorer builds the levels when it first asks.
-    """
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, short_grams: np.ndarray | None = None, short_counts: np.ndarray | None = None):
-        self.source = grams, counts, short_grams, short_counts
-        self.known: HashTable | None = None
-
-    def _build(self) -> None:
-        grams, counts, short_grams, short_counts = self.source
-        self.source = None
-        order = np.argsort(grams)
-        grams, counts = grams[order], counts[order].astype(float)
-        two = (grams, counts) if short_grams is None else (short_grams, short_counts.astype(float))
-        self.levels = [_level(*_summed(*two, 1)), _level(*_summed(*two, 2)), *[_level(*_summed(grams, counts, size)) for size in range(3, WIDTH)], _level(grams, counts)]
-        self.unseen = 256 - len(self.levels[0].grams)
-        for level in self.levels:
-            # Of n occurrences, `once` leave n - 1 of q - 1 bytes and escape; the others leave n - 1 of q bytes.
-            several = level.n > 1
-            n, q, once = level.n[several], level.q[several], level.once[several]
-            estimate = _Escapes(np.concatenate([n, n]) - 1, np.concatenate([q - 1, q]), np.concatenate([once, n - once]), np.concatenate([once, np.zeros(len(n))]))
-            level.escape = estimate(level.n, level.q)
-        for size in range(ORDER):
-            shorter, longer = self.levels[size], self.levels[size + 1]
-            seen = shorter.counts[np.searchsorted(shorter.grams, longer.grams & np.uint64((1 << 8 * (size + 1)) - 1))]
-            parent = np.searchsorted(shorter.contexts, longer.contexts & np.uint64((1 << 8 * size) - 1 if size else 0))
-            longer.left_n = shorter.n[parent] - np.bincount(longer.own, weights=seen, minlength=len(longer.contexts))
-            longer.left_q = shorter.q[parent] - longer.q
-            # A byte seen once here, left out, escapes to the shorter context, where it is not excluded.
-            out = np.flatnonzero((longer.counts == 1) & (longer.n[longer.own] > 1))
-            where, others = longer.own[out], seen[out] - 1
-            n, q = longer.left_n[where] + others, longer.left_q[where] + (others > 0)
-            some = n > 0
-            estimate = _Escapes(n[some], q[some], np.ones(int(some.sum())), (others == 0)[some].astype(float))
-            longer.left_escape = estimate(longer.left_n, longer.left_q)
-        if not self.unseen:
-            self.levels[0].escape[:] = 0.0
-            self.levels[1].left_escape[:] = 0.0
-        top = self.levels[ORDER]
-        self.known = HashTable(top.grams, self._log10_seen(top.counts, top.n[top.own], top.escape[top.own]))
-
-    @staticmethod
-    def _log10_seen(c: np.ndarray, n: np.ndarray, escape: np.ndarray) -> np.ndarray:
-        return np.log10(c / n * (1 - escape)) if len(c) else np.empty(0)
-
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, at, -1)
-
-    def _escaping(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probabilities of grams that were not seen."""
-        total, left, above = np.zeros(len(grams)), np.arange(len(grams)), np.full(len(grams), -1)
-        for size in range(ORDER, -1, -1):
-            level, own = self.levels[size], grams[left]
-            context = self._find(level.contexts, own >> np.uint64(8) & np.uint64((1 << 8 * size) - 1 if size else 0))
-            there, from_above = context >= 0, above[left]
-            n, escape = np.zeros(len(left)), np.zeros(len(left))
-            first, again = there & (from_above < 0), there & (from_above >= 0)
-            n[first], escape[first] = level.n[context[first]], level.escape[context[first]]
-            if again.any():
-                longer = self.levels[size + 1]
-                n[again], escape[again] = longer.left_n[from_above[again]], longer.left_escape[from_above[again]]
-            gram = self._find(level.grams, own & np.uint64((1 << 8 * (size + 1)) - 1))
-            hit, missed = there & (gram >= 0), there & (gram < 0) & (n > 0)
-            total[left[hit]] += self._log10_seen(level.counts[gram[hit]], n[hit], escape[hit])
-            total[left[missed]] += np.log10(escape[missed])
-            above[left] = np.where(there, context, -1)
-            left = left[~hit]
-        total[left] -= math.log10(self.unseen) if self.unseen else 0.0
-        return total
-
-    def log10_probability(self, grams: np.ndarray) -> np.ndarray:
-        if self.known is None:
-            self._build()
-        values, found = self.known.find(grams)
-        unseen = np.flatnonzero(~found)
-        if len(unseen):
-            different, at = np.unique(grams[unseen], return_inverse=True)
-            values[unseen] = self._escaping(different)[at]
-        return values
-
-
 class AdaptivePPM:
     """Adaptive code length: the trie learns each byte of a document once it is coded.
 
@@ -358,15 +215,117 @@ def _count_partition(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own.view(np.int64)), pa.array(n[at : at + (1 << 16)])], ["kind", "key", "n"])
 
 
+#: Columns of the trie's tables by the length of a context in bytes (size) and the bytes as a number.
+_SUFFIX = "key & (shiftleft(1L, 8 * size) - 1)"
+_PARENT = "context & (shiftleft(1L, 8 * greatest(size - 1, 0)) - 1)"
+
+
+def _gram_levels(grams: DataFrame) -> DataFrame:
+    """A row for each gram of each size: (size, key, context, c, seen, n, q, once, taken, head).
+
+    grams: (key, n) of the longest. c: the gram's occurrences; seen: those of its
+    bytes but for the first; n, q, once: occurrences, different bytes and bytes
+    seen once after its context; taken: the sum of seen over those bytes; head
+    marks one gram a context. No window has more than 256 rows.
+    """
+    each = grams.select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("size"))
+    counts = each.groupBy("size", F.expr("key & (shiftleft(1L, 8 * (size + 1)) - 1)").alias("key")).agg(F.sum("n").alias("c"))
+    by_suffix, by_context = W.partitionBy("size", F.expr(_SUFFIX)), W.partitionBy("size", "context")
+    rows = counts.select("size", "key", F.shiftright("key", 8).alias("context"), "c", F.sum("c").over(by_suffix).alias("seen"))
+    sums = {"n": F.sum("c"), "q": F.count("*"), "once": F.count_if(F.col("c") == 1), "taken": F.sum("seen"), "least": F.min("key")}
+    return rows.withColumns({name: of.over(by_context) for name, of in sums.items()}).withColumn("head", F.col("least") == F.col("key")).drop("least")
+
+
+def _contexts(levels: DataFrame) -> DataFrame:
+    """(size, context, n, q, once, left_n, left_q); left: of the next shorter context, less the bytes seen in this one."""
+    own = levels.where("head").select("size", "context", "n", "q", "once", "taken", F.expr(_PARENT).alias("parent"))
+    shorter = own.select((F.col("size") + 1).alias("size"), F.col("context").alias("parent"), F.col("n").alias("parent_n"), F.col("q").alias("parent_q"))
+    left = {"left_n": F.col("parent_n") - F.col("taken"), "left_q": F.col("parent_q") - F.col("q")}
+    return own.join(shorter, ["size", "parent"], "left").withColumns(left).drop("parent", "parent_n", "parent_q", "taken")
+
+
+def _escape_class(n: Column, q: Column) -> Column:
+    """Classes of (n, q): single up to 4, then four to a doubling."""
+    n, q = (F.when(x <= 4, x).otherwise(F.floor(F.log2(x.cast("double")) * 4 - 4 + 1e-9)).cast("int") for x in (n, q))
+    return n * 32 + q
+
+
+def _escape_cases(levels: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(left, size, class, cases, escapes) of the training counts, each occurrence left out in turn.
+
+    An occurrence escapes if its byte is not seen in the context but for it. Of n
+    occurrences, `once` leave n - 1 of q - 1 bytes and escape; the others leave
+    n - 1 of q bytes. left: a byte seen once, left out, escapes to the shorter
+    context, where it is not excluded. At most 12 x 200 x 32 classes.
+    """
+    n, q, once = F.col("n"), F.col("q"), F.col("once")
+    whole = F.array(
+        F.struct(_escape_class(n - 1, q - 1).alias("class"), once.alias("cases"), once.alias("escapes")),
+        F.struct(_escape_class(n - 1, q).alias("class"), (n - once).alias("cases"), F.lit(0).cast("long").alias("escapes")),
+    )
+    whole = contexts.where(n > 1).select(F.lit(False).alias("left"), "size", F.explode(whole).alias("case")).select("left", "size", "case.*")
+    out = levels.where((F.col("size") > 0) & (F.col("c") == 1) & (n > 1)).select("size", "context", (F.col("seen") - 1).alias("others"))
+    out = out.join(contexts.select("size", "context", "left_n", "left_q"), ["size", "context"])
+    left_n, left_q, alone = F.col("left_n") + F.col("others"), F.col("left_q") + (F.col("others") > 0).cast("long"), (F.col("others") == 0).cast("long")
+    left = out.where(left_n > 0).select(F.lit(True).alias("left"), "size", _escape_class(left_n, left_q).alias("class"), F.lit(1).cast("long").alias("cases"), alone.alias("escapes"))
+    return whole.unionAll(left).groupBy("left", "size", "class").agg(F.sum("cases").alias("cases"), F.sum("escapes").alias("escapes"))
+
+
 @dataclass
 class Language:
-    """What training gathered: tables of (key, n) for words and grams, and their sums."""
+    """What training gathered: (key, n) of words; the trie's tables; N and V; bytes never seen.
+
+    grams: as of _gram_levels(); contexts: as of _contexts(); cases: the bounded
+    table of escape classes; unseen is never 0, as UTF-8 doesn't use every byte.
+    """
 
     words: DataFrame
     grams: DataFrame
+    contexts: DataFrame
+    cases: DataFrame
     total: int
     distinct: int
-    distinct_grams: int
+    unseen: int
+
+    def _with_escape(self, df: DataFrame, n: str, q: str, left: bool, name: str) -> DataFrame:
+        """df with the escape probability of (n, q); a class with few cases leans on the prior q / (n + q)."""
+        cases = self.cases.where(F.col("left") == left).select("size", F.col("class").alias("__class"), "cases", "escapes")
+        joined = df.withColumn("__class", _escape_class(F.col(n), F.col(q))).join(F.broadcast(cases), ["size", "__class"], "left")
+        prior = F.coalesce(F.col(q) / F.greatest(F.col(n) + F.col(q), F.lit(1)), F.lit(0.0))
+        escape = (F.coalesce("escapes", F.lit(0)) + PRIOR_CASES * prior) / (F.coalesce("cases", F.lit(0)) + PRIOR_CASES)
+        return joined.withColumn(name, escape).drop("__class", "cases", "escapes")
+
+    def seen(self) -> DataFrame:
+        """(key, n, log10) of every longest gram of training."""
+        longest = self._with_escape(self.grams.where(F.col("size") == ORDER), "n", "q", False, "escape")
+        return longest.select("key", F.col("c").alias("n"), F.log10(F.col("c") / F.col("n") * (1 - F.col("escape"))).alias("log10"))
+
+    def escaping(self, keys: DataFrame) -> DataFrame:
+        """(key, log10) of different longest grams that training didn't see.
+
+        Each is looked up at every size. The tables of the two shortest contexts
+        (65,792 grams at most) are broadcast, as all keys meet in their few rows.
+        """
+        nodes = self._with_escape(self._with_escape(self.contexts, "n", "q", False, "escape"), "left_n", "left_q", True, "left_escape")
+        nodes = nodes.select("size", "context", "n", "escape", "left_n", "left_escape")
+        grams = self.grams.select("size", F.col("key").alias("gram"), "c")
+        places = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("size"))
+        places = places.withColumns({"context": F.expr("shiftright(key, 8) & (shiftleft(1L, 8 * size) - 1)"), "gram": F.expr("key & (shiftleft(1L, 8 * (size + 1)) - 1)")})
+        parts = []
+        for own, side in ((F.col("size") < 2, F.broadcast), (F.col("size") >= 2, lambda df: df)):
+            parts.append(places.where(own).join(side(nodes.where(own)), ["size", "context"], "left").join(side(grams.where(own)), ["size", "gram"], "left"))
+        values = ("n", "escape", "left_n", "left_escape", "c")
+        wide = parts[0].unionByName(parts[1]).groupBy("key").agg(*[F.max(F.when(F.col("size") == size, F.col(v))).alias(f"{v}_{size}") for size in range(ORDER + 1) for v in values])
+        total, found = F.lit(0.0), F.lit(False)
+        for size in range(ORDER, -1, -1):
+            n, escape, c = (F.col(f"{v}_{size}") for v in ("n", "escape", "c"))
+            if size < ORDER:
+                longer = F.col(f"n_{size + 1}").isNotNull()
+                n, escape = F.when(longer, F.col(f"left_n_{size + 1}")).otherwise(n), F.when(longer, F.col(f"left_escape_{size + 1}")).otherwise(escape)
+            hit = F.col(f"n_{size}").isNotNull() & c.isNotNull()
+            step = F.when(hit, F.log10(c / n * (1 - escape))).when(F.col(f"n_{size}").isNotNull() & (n > 0), F.log10(escape)).otherwise(0.0)
+            total, found = total + F.when(found, 0.0).otherwise(step), found | hit
+        return wide.select("key", (total - F.when(found, 0.0).otherwise(math.log10(self.unseen))).alias("log10"))
 
 
 def train(docs: DataFrame) -> Language:
@@ -374,152 +333,119 @@ def train(docs: DataFrame) -> Language:
     counted = materialize(only(docs, "text").mapInArrow(_count_partition, "kind int, key long, n long"), "lm-parts")
     summed = materialize(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts", partition_by="kind")
     words, grams = (summed.where(F.col("kind") == kind).select("key", "n") for kind in (0, 1))
-    sums = {row["kind"]: row for row in summed.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()}
-    return Language(words, grams, *((sums[0]["n"], sums[0]["d"]) if 0 in sums else (0, 0)), sums[1]["d"] if 1 in sums else 0)
+    sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("d")).first()
+    levels = materialize(_gram_levels(grams), "lm-grams", partition_by="size")
+    contexts = materialize(_contexts(levels), "lm-contexts", partition_by="size")
+    cases = materialize(_escape_cases(levels, contexts), "lm-escapes")
+    return Language(words, levels, contexts, cases, sums["n"] or 0, sums["d"], 256 - levels.where(F.col("size") == 0).count())
 
 
-def _arrays(df: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of a table of at most `bound` rows."""
-    found = df.select("key", "n").limit(bound + 1).toArrow()
-    if found.num_rows > bound:
-        raise ValueError(f"more than {bound} rows where the bound is {bound}")
-    return found.column(0).to_numpy().astype(np.int64).view(np.uint64), found.column(1).to_numpy().astype(np.int64)
+class _Lookup:
+    """A HashTable that travels as its keys and values; a scorer builds it when it first asks."""
 
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.source, self.table = (keys, values), None
 
-def tries(model: Language, slice_grams: int = SLICE_GRAMS):
-    """Slices of the trie: (classes, class, Trie).
-
-    A slice holds the grams whose two bytes before the last fall in its class, so
-    with the table of all grams of two bytes (65,536 at most) it knows every
-    context that its grams can escape to.
-    """
-    slices = max(1, -(-model.distinct_grams // slice_grams))
-    two = model.grams.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n"))
-    short = _arrays(two, 1 << 16)
-    for own in range(slices):
-        part = model.grams.where(F.pmod(_slice_class(F.col("key")), F.lit(slices)) == own) if slices > 1 else model.grams
-        yield slices, own, Trie(*_arrays(part, 1 << 25), *short)
-
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.table is None:
+            self.source, self.table = None, HashTable(*self.source)
+        return self.table.find(keys)
 
-def _slice_class(gram: Column) -> Column:
-    """A number of the two bytes before the predicted one, as of _slices_of()."""
-    two = F.shiftrightunsigned(gram, 8).bitwiseAND(F.lit(0xFFFF))
-    return F.shiftrightunsigned(two * F.lit(40_503), 4).bitwiseAND(F.lit(0xFFFF))
 
+def _per_document(docs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, occurrences) of pairs."""
+    order = np.lexsort((keys, docs))
+    docs, keys = docs[order], keys[order]
+    first = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])])) if len(docs) else np.empty(0, np.int64)
+    return docs[first], keys[first], np.diff(np.concatenate([first, [len(docs)]]))
 
-def _slices_of(grams: np.ndarray, slices: int) -> np.ndarray:
-    two = grams >> np.uint64(8) & np.uint64(0xFFFF)
-    return (two * np.uint64(40_503) >> np.uint64(4) & np.uint64(0xFFFF)) % np.uint64(slices)
 
+_SCORED = ["kind", "row_id", "doc_id", "key", "n", "known", "base", "score"]
+_SCORED_TYPES = "kind int, row_id long, doc_id long, key long, n long, known long, base double, score double"
+_DOCUMENT, _WORD, _GRAM = 0, 1, 2
 
-def _message_scores(group: list[list[bytes]], trie: Trie, slices: int, own: int) -> np.ndarray:
-    scores = np.zeros(len(group))
-    for part in _segments([message(w) for w in group]):
-        grams = _grams(part)
-        if slices == 1:
-            each = trie.log10_probability(grams)
-        else:
-            each, mine = np.zeros(len(grams)), np.flatnonzero(_slices_of(grams, slices) == own)
-            each[mine] = trie.log10_probability(grams[mine])
-        starts = np.concatenate([[0], np.cumsum([n for _, _, n in part])[:-1]])
-        np.add.at(scores, [doc for doc, _, _ in part], np.add.reduceat(each, starts))
-    return scores
 
+def _score_partition(grams_of, words_of):
+    """Rows of documents, with the sums over what the scorers hold, and rows of every other word and gram of each."""
 
-def _score_partition(trie_of, frequent_of, slices: int):
-    """Rows of documents (key null), and one for each rarer word of each."""
+    def others(kind: int, docs: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        docs, keys, n = _per_document(docs, keys)
+        none, zero = pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(docs), none, pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), none, zero, zero], _SCORED)
 
     def score(batches):
-        trie, frequent = trie_of.value, frequent_of.value
+        grams, words = grams_of.value, words_of.value
         for batch in batches:
             rows, at = batch.column(0).to_numpy(), 0
             for group in _texts_in_groups(batch.column(2)):
+                own = rows[at : at + len(group)]
                 hashes = [_word_hashes(w) for w in group]
                 sizes = np.array([len(h) for h in hashes])
                 joined = np.concatenate(hashes)
-                values, found = frequent.find(joined)
+                values, found = words.find(joined)
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                uid = rows[at : at + len(group)]
                 base, known = np.add.reduceat(values, starts), np.add.reduceat(found.astype(np.int64), starts)
-                none = pa.nulls(len(group), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(uid), batch.column(1).slice(at, len(group)), none, none, pa.array(sizes), pa.array(known), pa.array(base), pa.array(_message_scores(group, trie, slices, 0))], _SCORED)
-                rest = np.flatnonzero(~found)
-                pairs = np.empty(len(rest), [("doc", np.int64), ("key", np.uint64)])
-                pairs["doc"], pairs["key"] = np.repeat(uid, sizes)[rest], joined[rest]
-                order = np.lexsort((pairs["key"], pairs["doc"]))
-                pairs = pairs[order]
-                new = np.concatenate([[True], pairs[1:] != pairs[:-1]]) if len(pairs) else np.empty(0, bool)
-                first = np.flatnonzero(new)
-                n = np.diff(np.concatenate([first, [len(pairs)]]))
-                none, zero = pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(pairs["doc"][first]), none, pa.array(pairs["key"][first].view(np.int64)), pa.array(n.astype(np.int64)), none, none, zero, zero], _SCORED)
-                at += len(group)
-
-    return score
-
-
-_SCORED = ["row_id", "doc_id", "key", "n", "n_tokens", "known", "base", "score"]
-_SCORED_TYPES = "row_id long, doc_id long, key long, n long, n_tokens long, known long, base double, score double"
-
-
-def _slice_partition(trie_of, slices: int, own: int):
-    def score(batches):
-        trie = trie_of.value
-        for batch in batches:
-            at = 0
-            for group in _texts_in_groups(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.array(_message_scores(group, trie, slices, own))], ["row_id", "score"])
+                yield others(_WORD, np.repeat(own, sizes)[~found], joined[~found])
+                scores = np.zeros(len(group))
+                for part in _segments([message(w) for w in group]):
+                    keys, lengths = _grams(part), [n for _, _, n in part]
+                    values, found = grams.find(keys)
+                    docs = np.array([doc for doc, _, _ in part])
+                    np.add.at(scores, docs, np.add.reduceat(values, np.concatenate([[0], np.cumsum(lengths)[:-1]])))
+                    yield others(_GRAM, np.repeat(own[docs], lengths)[~found], keys[~found])
+                kind, key = pa.array(np.full(len(group), _DOCUMENT, np.int32)), pa.nulls(len(group), pa.int64())
+                yield pa.RecordBatch.from_arrays([kind, pa.array(own), batch.column(1).slice(at, len(group)), key, pa.array(sizes), pa.array(known), pa.array(base), pa.array(scores)], _SCORED)
                 at += len(group)
 
     return score
 
 
-def _frequent(model: Language, bound: int) -> DataFrame:
-    """The most frequent words, at most `bound`: those from the least count up that allows it."""
+def _frequent(counts: DataFrame, value: str, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, values) of the most frequent keys on the driver, at most `bound`: those from the least count up that allows it."""
     step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    steps = sorted(((row["step"], row["count"]) for row in collect_bounded(model.words.groupBy(step.alias("step")).count(), 64 * 16 + 1)), reverse=True)
+    steps = sorted(((row["step"], row["count"]) for row in collect_bounded(counts.groupBy(step.alias("step")).count(), 64 * 16 + 1)), reverse=True)
     least, held = None, 0
     for own, count in steps:
         if held + count > bound:
             break
         least, held = own, held + count
-    return model.words.where(step >= least) if least is not None else model.words.limit(0)
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0)
+    found = counts.where(step >= least).select("key", value).toArrow()
+    return found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
 
 
-def score_documents(docs: DataFrame, model: Language, slice_grams: int = SLICE_GRAMS, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, model: Language, frequent_grams: int = FREQUENT_GRAMS, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of each row of docs.
 
     score: log10 probability of the whole text by the trie. base_score: the sum
     over its tokens of log10((c + 0.1) / (N + 0.1 (V + 1))), c the token's count
     in training, N that of all, V the number of different ones. The most
-    frequent words are broadcast; the counts of all others are joined, so every
-    word counts. Null and empty texts are an end alone. Repeated rows get a row
-    each, also those of a null doc_id. Without training text every byte is as
-    likely as any, 1 / 256. An empty table gives no rows. Other columns are not
-    used.
+    frequent words and grams are broadcast, which is for speed alone: all others
+    are joined, and the scores are the same whatever the two bounds. Null and
+    empty texts are an end alone. Repeated rows get a row each, also those of a
+    null doc_id. Without training text every byte is as likely as any, 1 / 256.
+    An empty table gives no rows. Other columns are not used.
     """
     spark = docs.sparkSession
     scale = model.total + 0.1 * (model.distinct + 1)
     rows = only(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), "text")
-    if model.distinct_grams > slice_grams:  # several passes have to see the same row_id
-        rows = materialize(rows, "lm-rows")
-    keys, counts = _arrays(_frequent(model, frequent_words), frequent_words)
-    frequent = Shared(spark, "lm-words", HashTable(keys, np.log10((counts + 0.1) / scale)))
-    more = []
-    scored = None
-    for slices, own, trie in tries(model, slice_grams):
-        shared = Shared(spark, "lm-trie", trie)
-        if scored is None:
-            scored = materialize(rows.mapInArrow(_score_partition(shared, frequent, slices), _SCORED_TYPES), "lm-scored")
-        else:
-            more.append(materialize(rows.select("row_id", "text").mapInArrow(_slice_partition(shared, slices, own), "row_id long, score double"), "lm-slice"))
-        shared.data.unpersist()
-    rare = scored.where(F.col("key").isNotNull()).select("row_id", "key", "n").join(model.words.withColumnRenamed("n", "c"), "key", "left")
+    seen = model.seen()
+    keys, counts = _frequent(model.words, "n", frequent_words)
+    words = Shared(spark, "lm-words", _Lookup(keys, np.log10((counts + 0.1) / scale)))
+    grams = Shared(spark, "lm-grams", _Lookup(*_frequent(seen, "log10", frequent_grams)))
+    scored = materialize(rows.mapInArrow(_score_partition(grams, words), _SCORED_TYPES), "lm-scored", partition_by="kind")
+    rare = scored.where(F.col("kind") == _WORD).select("row_id", "key", "n").join(model.words.withColumnRenamed("n", "c"), "key", "left")
     rare = rare.groupBy("row_id").agg(F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(scale))).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    whole = scored.where(F.col("key").isNull()).join(rare, "row_id", "left")
-    for part in more:
-        whole = whole.join(part.withColumnRenamed("score", "__more"), "row_id").withColumn("score", F.col("score") + F.col("__more")).drop("__more")
-    return whole.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score")
+    others = materialize(scored.where(F.col("kind") == _GRAM).select("row_id", "key", "n").join(seen.select("key", "log10"), "key", "left"), "lm-rare-grams")
+    new = others.where(F.col("log10").isNull())
+    new = new.drop("log10").join(model.escaping(new.select("key").distinct()), "key")
+    others = others.where(F.col("log10").isNotNull()).unionByName(new).groupBy("row_id").agg(F.sum(F.col("n") * F.col("log10")).alias("rare_score"))
+    whole = scored.where(F.col("kind") == _DOCUMENT).join(rare, "row_id", "left").join(others, "row_id", "left")
+    none = F.lit(0.0)
+    return whole.select(
+        "doc_id", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("rare_base", none)).alias("base_score"), (F.col("score") + F.coalesce("rare_score", none)).alias("score")
+    )
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,8 +74,8 @@ def texts(seed, n):
     return [prose(rng, rng.choice([0, 3, 40, 150]), 60) + rng.choice(["", " Ümlaut", " RARE" + str(rng.random())]) for _ in range(n)]
 
 
-@pytest.mark.parametrize("slice_grams, frequent", [(10**6, 10**6), (300, 5), (10**6, 0)])
-def test_against_plain_model(spark, slice_grams, frequent):
+@pytest.mark.parametrize("grams, words", [(10**6, 10**6), (300, 5), (0, 0)])
+def test_against_plain_model(spark, grams, words):
     trained, scored = texts(1, 40), [*texts(2, 12), None, "", " \n", "zzzz\x00qqq 東京", "same", "same"]
     docs = with_clashes(spark.createDataFrame([(i, t) for i, t in enumerate(trained)] + [(90, None)], "doc_id long, text string"))
     model = lm.train(docs)
@@ -83,30 +83,31 @@ def test_against_plain_model(spark, slice_grams, frequent):
     total, distinct = sum(counts.values()), len(counts)
     assert (model.total, model.distinct) == (total, distinct)
     rows = [(i if i else None, t) for i, t in enumerate(scored)]
-    found = {r["doc_id"]: r for r in lm.score_documents(with_clashes(spark.createDataFrame(rows, "doc_id long, text string")), model, slice_grams, frequent).collect()}
+    found = {r["doc_id"]: r for r in lm.score_documents(with_clashes(spark.createDataFrame(rows, "doc_id long, text string")), model, grams, words).collect()}
     assert len(found) == len(rows)
     plain = Plain([*trained, None])
     for doc_id, text in rows:
-        words, row = [*lm.tokens(text), lm.END], found[doc_id]
-        assert row["n_tokens"] == len(words)
-        assert row["n_known"] == sum(counts[w] > 0 for w in words)
-        assert row["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in words), rel=1e-9)
-        if slice_grams == 10**6:
-            assert row["score"] == pytest.approx(plain.score(text), rel=1e-9)
-        else:
-            assert row["score"] < 0
+        own, row = [*lm.tokens(text), lm.END], found[doc_id]
+        assert row["n_tokens"] == len(own)
+        assert row["n_known"] == sum(counts[w] > 0 for w in own)
+        assert row["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in own), rel=1e-9)
+        assert row["score"] == pytest.approx(plain.score(text), rel=1e-9)
+
+
+def every_byte(spark, model, contexts):
+    """log10 of each byte after each context."""
+    grams = [int.from_bytes(c, "big") << 8 | b for c in contexts for b in range(256)]
+    keys = spark.createDataFrame([(g,) for g in grams], "key long").join(model.seen(), "key", "left").select("key", "log10").collect()
+    found = {r["key"]: r["log10"] for r in keys if r["log10"] is not None}
+    rest = spark.createDataFrame([(g,) for g in grams if g not in found], "key long")
+    found |= {r["key"]: r["log10"] for r in model.escaping(rest).collect()}
+    return [[found[int.from_bytes(c, "big") << 8 | b] for b in range(256)] for c in contexts]
 
 
 def test_probabilities_add_up(spark):
-    trained = texts(3, 30)
-    counts = lm._Counts()
-    for part in lm._segments([lm.message(lm.tokens(t)) for t in trained]):
-        counts.add(lm._grams(part))
-    trie = lm.Trie(*counts.total())
-    for context in (b"\n\n\n\n\n", b"  w1 ", b"qqqqq", b"w1 w2", b"\xff\xff\xff w"):
-        base = int.from_bytes(context, "big") << 8
-        grams = np.array([base | s for s in range(256)], np.uint64)
-        assert (10.0 ** trie.log10_probability(grams)).sum() == pytest.approx(1, abs=1e-9)
+    model = lm.train(spark.createDataFrame([(t,) for t in texts(3, 30)], "text string"))
+    for row in every_byte(spark, model, [b"\n\n\n\n\n", b"  w1 ", b"qqqqq", b"w1 w2", b"\xff\xff\xff w"]):
+        assert sum(10.0**x for x in row) == pytest.approx(1, abs=1e-9)
 
 
 def test_segments_do_not_matter(monkeypatch):
