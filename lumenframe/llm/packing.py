@@ -2,8 +2,9 @@
 
 The documents of a partition, in their order, form one stream of ids. Windows
 of at most `window` ids are cut from it so that padding plus penalties of cuts
-inside documents is least. Cuts stand at ends of documents (free), ends of
-sentences (SENTENCE_PENALTY) or every GRID ids inside them (INNER_PENALTY).
+inside documents is least. Cuts stand at ends of documents (free) or sentences
+(SENTENCE_PENALTY); only a sentence of more than `window` ids may be cut inside,
+every GRID ids (INNER_PENALTY).
 With P the ids before a cut, the best cost is
     f(j) = P(j)-free part + min over i, P(j) - window <= P(i), of f(i) + P(i),
 whose minimum over a sliding range a monotone queue yields in linear time.
@@ -25,7 +26,7 @@ from lumenframe.session import table
 WINDOW = 2048
 #: Cost of a cut in ids of padding.
 SENTENCE_PENALTY, INNER_PENALTY = 2, 8
-#: Inside a sentence a cut may stand at every so many ids of the stream.
+#: Inside a sentence longer than the window a cut may stand at every so many of its ids.
 GRID = 16
 #: Ids that one run of the dynamic programming sees; its last window is cut anew
 #: together with what follows, so runs are joined without padding.
@@ -39,8 +40,9 @@ SPECIAL = "<|endoftext|>"
 def _tokenizer(path: str | None):
     """(ids of a text as a numpy array, which ids end a sentence); kept by the worker.
 
-    The vocabulary runs in whichever library is faster; texts that spell a
-    special token go through the one that knows it.
+    `tokenizers` is the authority. The same vocabulary runs faster in the other
+    library, but for texts that spell a special token, which only `tokenizers`
+    knows, and for those whose runs of blanks are too long for its pattern.
     """
     cache = worker_cache()
     if ("packing", path) not in cache:
@@ -60,9 +62,12 @@ def _tokenizer(path: str | None):
             ends[rank] = word.endswith((b".", b"!", b"?", b"\n"))
 
         def ids(text: str) -> np.ndarray:
-            if SPECIAL in text:
-                return np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
-            return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            if SPECIAL not in text:
+                try:
+                    return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+                except ValueError:  # the pattern's stack
+                    pass
+            return np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
 
         cache[("packing", path)] = ids, ends
     return cache[("packing", path)]
@@ -103,6 +108,12 @@ def best_cuts(positions: np.ndarray, penalties: np.ndarray, window: int) -> list
     return cuts[::-1]
 
 
+def inner_cuts(ends: np.ndarray, window: int) -> np.ndarray:
+    """Every GRID ids inside the sentences, given by their ends from 0 on, that are longer than the window."""
+    long = np.flatnonzero(np.diff(ends) > window)
+    return np.concatenate([np.arange(ends[k] + GRID, ends[k + 1], GRID) for k in long]) if len(long) else np.empty(0, np.int64)
+
+
 def tail_lengths(length: int, window: int) -> list[int]:
     """A rest shorter than a window as powers of two, longest first: no padding."""
     if length == window:
@@ -131,9 +142,9 @@ class _Packer:
         starts = np.concatenate([[0], np.cumsum(lengths)])
         sentence = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
         penalty = np.full(len(ids) + 1, -1, np.int32)
-        penalty[::GRID] = INNER_PENALTY
         penalty[sentence] = SENTENCE_PENALTY
         penalty[starts] = 0
+        penalty[inner_cuts(np.flatnonzero(penalty >= 0), self.window)] = INNER_PENALTY
         positions = np.flatnonzero(penalty >= 0)
         cuts = positions[best_cuts(positions, penalty[positions], self.window)] if len(ids) else np.zeros(1, np.int64)
         if final:

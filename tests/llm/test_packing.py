@@ -89,3 +89,32 @@ def test_special_token_text(spark):
     row = packing.pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert [i for r in row for i in packing.unpack_ids(r["ids"])] == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "x \t" + "\t" * 1_000_000 + "y", "a" * 2_000_000, "7" * 2_000_000], ids=["blanks", "lines", "tabs", "letters", "digits"])
+def test_long_runs(spark, text):
+    rows = packing.pack_documents(spark.createDataFrame([(1, text), (2, "after it")], "doc_id long, text string").coalesce(1)).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = rebuilt(rows)
+    assert [i for r in own[1] for i in packing.unpack_ids(r["ids"])] == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    assert [i for r in own[2] for i in packing.unpack_ids(r["ids"])] == [*tokenizer.encode("after it", add_special_tokens=False).ids, 1]
+
+
+def test_cuts_stand_at_sentences(spark):
+    """No window ends inside a sentence that fits a window."""
+    rng = random.Random(9)
+    texts = [" ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(3, 40))) + rng.choice(".!?") for _ in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(texts[i * 30 : i * 30 + 30])) for i in range(100)], "doc_id long, text string").coalesce(1)
+    _, ends = packing._tokenizer(None)
+    rows = sorted(packing.pack_documents(docs).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    last = {r["sequence_id"]: r for r in rows}
+    full = [r for s, r in last.items() if s < max(last) - 12]  # the rest at the end is cut to powers of two
+    assert len(full) > 5
+    for row in full:
+        ids = packing.unpack_ids(row["ids"])
+        assert ids[-1] == packing.END_ID or ends[ids[-1]]
+
+
+def test_inner_cuts():
+    assert packing.inner_cuts(np.array([0, 5, 45, 60]), 40).tolist() == []
+    assert packing.inner_cuts(np.array([0, 5, 46, 60]), 40).tolist() == [21, 37]
