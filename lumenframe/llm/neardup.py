@@ -1,14 +1,14 @@
 """MinHash near-deduplication by a multi-index Hamming join.
 
-A document's signature has CHUNKS x CHUNK symbols of 8 bits, each the low bits
+A document's signature has CHUNKS x CHUNK symbols of 10 bits, each the low bits
 of the least of its shingles' hashes under one function. Two signatures whose
-distance (symbols that differ) is at most CHUNKS x (ERRORS + 1) - 1 = 23 agree,
+distance (symbols that differ) is at most CHUNKS x (ERRORS + 1) - 1 = 31 agree,
 by pigeonhole, but for ERRORS = 1 symbol on one chunk at least. Every chunk is
 therefore indexed under each of its CHUNK keys with one symbol left out, and all
 pairs under that distance share a key. Pairs that share a key, and whose parity
-sketches don't rule a link out, are confirmed on the full shingle sets. Pairs of
-similarity 0.8 whose distance is larger (it varies about 19.2) still share a key
-but for one in 4,000.
+sketches don't rule a link out, are confirmed on the full shingle sets. The
+distance of a pair of similarity 0.8 varies about 19.2; the chance that such a
+pair shares no key is (1 - 0.8^6 - 6 x 0.2 x 0.8^5)^16, one in 25 million.
 
 Not all pairs of a key are made. Equal sets are one node. The members of a key
 are first compared with its smallest; only members that are then not connected
@@ -27,7 +27,9 @@ from lumenframe.llm.common import broadcast_if_small, only, small_batches
 from lumenframe.llm.components import connected_components
 from lumenframe.session import materialize, table
 
-CHUNKS, CHUNK = 12, 8
+CHUNKS, CHUNK = 16, 6
+#: Bits of a symbol; CHUNK of them and the number of a key fit a long.
+SYMBOL = 10
 PERCENT = 80
 #: Shingles hashed at once.
 BLOCK = 4096
@@ -63,14 +65,15 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """CHUNKS longs of CHUNK symbols of 8 bits; the set must not be empty."""
+    """CHUNKS longs of CHUNK symbols of SYMBOL bits; the set must not be empty."""
     low = shingles.astype(np.uint32)
     least = np.full(CHUNKS * CHUNK, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(low), BLOCK):
         hashed = np.multiply.outer(low[at : at + BLOCK], MULTIPLIERS)
         hashed += ADDENDS
         np.minimum(least, hashed.min(axis=0), out=least)
-    return (least >> np.uint32(3)).astype(np.uint8).view("<i8")
+    symbols = (least >> np.uint32(3) & np.uint32((1 << SYMBOL) - 1)).astype(np.int64).reshape(CHUNKS, CHUNK)
+    return (symbols << SYMBOL * np.arange(CHUNK)).sum(axis=1)
 
 
 def parity_sketch(shingles: np.ndarray) -> np.ndarray:
@@ -119,8 +122,8 @@ def _keys() -> Column:
     keys = []
     for c, name in enumerate(SIGNATURE):
         for p in range(CHUNK):
-            left_out = np.array([~(0xFF << 8 * p) & (2**64 - 1), (c * CHUNK + p) << 8 * p], np.uint64).view(np.int64)
-            keys.append(F.col(name).bitwiseAND(F.lit(int(left_out[0]))).bitwiseOR(F.lit(int(left_out[1]))))
+            hole = (1 << SYMBOL) - 1 << SYMBOL * p
+            keys.append(F.col(name).bitwiseAND(F.lit(~hole)).bitwiseOR(F.lit(c * CHUNK + p << SYMBOL * p)))
     return F.array(*keys)
 
 
@@ -147,7 +150,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).dropDuplicates(), "confirm-ids")
     texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("a_set")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("b_set")), "b")
+    # The set of b first: a is the hub of many pairs, and its set must not be shuffled once a pair.
+    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("b_set")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("a_set")), "a")
     counted = both.select("a", "b", (F.size("a_set") + F.size("b_set")).alias("sum"), F.size(F.array_intersect("a_set", "b_set")).alias("shared"))
     return counted.where((F.col("shared") > 0) & (F.col("shared") * 100 >= (F.col("sum") - F.col("shared")) * PERCENT)).select("a", "b")
 
