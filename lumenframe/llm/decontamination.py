@@ -72,7 +72,10 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent:
     shingled = _words(docs, "doc_id").select("doc_id", F.explode(_hashes(F.col("w"), width)).alias("hash"))
     candidates = materialize(shingled.join(probe, "hash").select("doc_id", "item_id").dropDuplicates(), "candidates")
     item_sets = _words(items, "item_id").where(F.size("w") >= width).select("item_id", _texts(F.col("w"), width).alias("item_set"))
-    held = _words(docs.join(candidates, "doc_id"), "doc_id", "item_id").select("doc_id", "item_id", _texts(F.col("w"), width).alias("doc_set"))
+    # A document's shingles are made once, whatever number of items it is a candidate for (at most all).
+    asked = materialize(candidates.groupBy("doc_id").agg(F.collect_list("item_id").alias("items")), "asked")
+    held = _words(docs.join(asked, "doc_id"), "doc_id", "items").select("doc_id", "items", _texts(F.col("w"), width).alias("doc_set"))
+    held = held.select("doc_id", F.explode("items").alias("item_id"), "doc_set")
     shared = held.join(item_sets, "item_id").select("doc_id", "item_id", F.size("item_set").cast("long").alias("item_shingles"), F.size(F.array_intersect("doc_set", "item_set")).cast("long").alias("shared"))
     found = shared.where(F.col("shared") * 100 >= F.col("item_shingles") * percent)
     scored = found.withColumn("containment", F.col("shared") / F.col("item_shingles"))
@@ -81,9 +84,17 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = CONTAINMENT_PERCENT) -> DataFrame:
-    """docs without those that hold an item; rows of a null doc_id stay."""
-    found = materialize(contaminated(docs, items, width, percent).select(F.col("doc_id").alias("__leaked")).dropDuplicates(), "leaked")
-    return docs.join(broadcast_if_small(found), docs["doc_id"] == found["__leaked"], "left_anti")
+    """docs without the rows whose text holds an item; their columns stay as they are.
+
+    A row is judged by its own text, whatever its doc_id, null or repeated: texts
+    are told apart by 64-bit hashes. Null and empty texts stay; so does every row
+    if items is empty.
+    """
+    own = "__text_" + "_".join(docs.columns)  # clashes with no column
+    marked = docs.withColumn(own, F.xxhash64("text"))
+    texts = marked.where(F.col("text").isNotNull()).select(F.col(own).alias("doc_id"), "text")
+    found = materialize(contaminated(texts, items, width, percent).select(F.col("doc_id").alias(own)).dropDuplicates(), "leaked")
+    return marked.join(broadcast_if_small(found), own, "left_anti").select(*[marked[c] for c in docs.columns])
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

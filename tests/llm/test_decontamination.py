@@ -39,8 +39,9 @@ def test_against_brute_force(spark):
     assert found == expected and len(found) > 15
     left = dc.decontaminate(df, it)
     assert left.columns == df.columns
-    leaked = {d for d, _ in expected}
-    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(d) for d, _ in docs if d not in leaked)
+    leaked = [bool(brute([(0, t)], items)) for _, t in docs]
+    assert leaked[docs.index((None, items[0][1]))]
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in left.collect()) == sorted((str(d), str(t)) for (d, t), gone in zip(docs, leaked, strict=True) if not gone)
 
 
 def test_native(spark, edge_docs):
