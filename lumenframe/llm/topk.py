@@ -1,9 +1,11 @@
 """Exact top-k search by vector-approximation files.
 
-Vectors are kept in two files per partition: quantised cells, and the exact
-vectors. The cells of all vectors are scanned for bounds of the score; exact
-vectors are then read in the order of their bound, best first, until the k-th
-best exact score is no worse than every bound left.
+Two files stand in the shared folder: the exact vectors, and their quantised
+cells, a byte a component. The cells of all vectors are scanned for bounds of
+the score, and only vectors whose upper bound reaches the k-th best lower bound
+are kept as candidates. Their exact vectors are read in the order of the bounds:
+first the k best bounds of each query, then those whose bound the k-th exact
+score doesn't rule out; then the result is certain.
 """
 
 from __future__ import annotations
@@ -14,123 +16,192 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import only
+from lumenframe.llm.common import Shared, only
 from lumenframe.session import materialize, table
 
-#: Width of a cell in each dimension, in units of the integer components.
-CELL = 16
-#: Queries in one pass: what a pass broadcasts is QUERY_BLOCK x dimensions x 8 bytes.
-QUERY_BLOCK = 8192
-#: Vectors scanned at once in a task.
-SCAN_BLOCK = 8192
-#: Queries whose bounds stand in memory at once.
-BOUND_QUERIES = 256
-#: Exact vectors read at a time for one query.
-READ_AT_ONCE = 64
+#: What a pass over the cells broadcasts: the queries of a block, 8 bytes a component.
+QUERY_BYTES = 1 << 25
+#: Vectors scanned at once in a task, and queries whose bounds stand in memory at once.
+SCAN_BLOCK, BOUND_QUERIES = 8192, 256
+#: Candidates a task holds before it writes them out.
+HELD_CANDIDATES = 1 << 20
+#: Cells are bytes: vectors whose components are below 2**CELL_BITS have cells of width 1.
+CELL_BITS = 7
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """(vec_id, v): v = floor(scale * x) of each component as long.
+    """(vec_id, v): v = floor(scale * x) of each component, x as double; whole numbers in doubles.
 
-    Vectors that are null, or hold a null, NaN or infinite component, are left
-    out, and so are rows of a null id.
+    Vectors that are null, or hold a null, NaN or infinite component (or one
+    that is infinite once scaled), are left out, and so are rows of a null id.
     """
-    x = F.col(vector_col)
-    sound = ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == F.lit(float("inf"))))
-    rows = only(df, id_col, vector_col).where(F.col(id_col).isNotNull() & x.isNotNull() & sound)
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double"))).alias("v"))
+    x = F.transform(F.col(vector_col), lambda c: c.cast("double") * F.lit(float(scale)))
+    sound = ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
+    whole = lambda c: F.when(F.abs(c) < F.lit(2.0**53), F.floor(c).cast("double")).otherwise(c)
+    rows = only(df, id_col, vector_col).where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v")).where(sound).select("vec_id", F.transform("v", whole).alias("v"))
 
 
 def _matrix(column: pa.ListArray, rows: np.ndarray, size: int) -> np.ndarray:
-    picked = column.take(pa.array(rows))
-    return picked.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(rows), size)
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
-
-
-def _search_block(ids: np.ndarray, exact: np.ndarray, queries: dict, found: dict, k: int, cell: int) -> None:
-    """Improves found[query] = (ids, scores) with the vectors of one block."""
-    cells = np.floor_divide(exact, cell)
-    centre = cells * cell + (cell - 1) / 2.0
-    half = (cell - 1) / 2.0
-    # |q.x - q.centre| <= sum |q| * half; products and sums of half-integers are
-    # exact in doubles below 2**52, beyond that the margin covers their rounding.
-    for start in range(0, len(queries["id"]), BOUND_QUERIES):
-        q = queries["v"][start : start + BOUND_QUERIES]
-        upper = q.astype(np.float64) @ centre.T
-        upper += (np.abs(q).sum(axis=1) * half + np.abs(upper).max(initial=0.0) * 1e-12)[:, None]
-        for row, query in enumerate(queries["id"][start : start + BOUND_QUERIES]):
-            _search_one(int(query), q[row], upper[row], ids, exact, found, k)
-
-
-def _search_one(query: int, q: np.ndarray, upper: np.ndarray, ids: np.ndarray, exact: np.ndarray, found: dict, k: int) -> None:
-    own_ids, own_scores = found.get(query, (np.empty(0, np.int64), np.empty(0, np.int64)))
-    left = np.flatnonzero(upper >= own_scores[-1]) if len(own_scores) == k else np.arange(len(ids))
-    left = left[ids[left] != query]
-    while len(left):
-        if len(left) > READ_AT_ONCE:
-            split = np.argpartition(-upper[left], READ_AT_ONCE)
-            now, left = left[split[:READ_AT_ONCE]], left[split[READ_AT_ONCE:]]
-        else:
-            now, left = left, left[:0]
-        own_ids, own_scores = _best(np.concatenate([own_ids, ids[now]]), np.concatenate([own_scores, exact[now] @ q]), k)
-        if len(own_scores) == k:
-            left = left[upper[left] >= own_scores[-1]]
-    if len(own_ids):
-        found[query] = (own_ids, own_scores)
-
-
-def _scanner(broadcast, k: int, cell: int):
+    return column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size)
+
+
+def cells_of(exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cells as int8, width exponent of each vector): a cell c holds c 2**e to (c + 1) 2**e - 1."""
+    greatest = np.abs(exact).max(axis=1, initial=0.0)
+    exponent = np.maximum(np.frexp(greatest)[1] - CELL_BITS, 0)
+    return np.floor(np.ldexp(exact, -exponent[:, None])).astype(np.int8), exponent.astype(np.int32)
+
+
+def _quantise(batches):
+    for batch in batches:
+        vectors = batch.column(1)
+        sizes, cells = vectors.value_lengths().to_numpy(), np.empty(batch.num_rows, object)
+        exponents = np.zeros(batch.num_rows, np.int32)
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            own, exponents[rows] = cells_of(_matrix(vectors, rows, size))
+            cells[rows] = [c.tobytes() for c in own]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(exponents), pa.array(cells, pa.binary())], ["vec_id", "row", "exponent", "cells"])
+
+
+def _centres(cells: np.ndarray, exponents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, half width, greatest size of a component) of each vector's cells."""
+    half = (np.ldexp(1.0, exponents) - 1) / 2
+    centre = np.ldexp(cells.astype(np.float64), exponents[:, None]) + half[:, None]
+    return centre, half, np.abs(centre).max(axis=1, initial=0.0) + half
+
+
+class _Candidates:
+    """The vectors of a task that may be among the k best of a query."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        with np.errstate(over="ignore"):
+            self.ids, self.q, self.k = ids, q.astype(np.float32), k
+        self.sums = np.abs(q).sum(axis=1)
+        self.lower = np.full((len(ids), k), -np.inf, np.float32)  # the k best lower bounds, the least first
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, ids: np.ndarray, rows: np.ndarray, cells: np.ndarray, exponents: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            self._add(ids, rows, *_centres(cells, exponents))
+
+    def _add(self, ids: np.ndarray, rows: np.ndarray, centre: np.ndarray, half: np.ndarray, greatest: np.ndarray) -> None:
+        centre = centre.astype(np.float32)
+        # |q.x - q.centre| <= sum |q| half; the rest covers the rounding of floats.
+        error = half + greatest * (centre.shape[1] + 16) * 2.0**-22
+        order = np.argsort(ids, kind="stable")
+        for at in range(0, len(self.ids), BOUND_QUERIES):
+            own = slice(at, at + BOUND_QUERIES)
+            middle = self.q[own] @ centre.T
+            margin = np.outer(self.sums[own], error).astype(np.float32)
+            upper, lower = middle + margin, middle - margin
+            lost = ~(np.isfinite(upper) & np.isfinite(lower))  # too large for floats: never ruled out
+            upper[lost], lower[lost] = np.inf, -np.inf
+            first, last = (np.searchsorted(ids, self.ids[own], side, sorter=order) for side in ("left", "right"))
+            for query in np.flatnonzero(last > first):
+                same = order[first[query] : last[query]]
+                upper[query, same] = lower[query, same] = -np.inf
+            better = np.flatnonzero((lower > self.lower[own, :1]).any(axis=1))
+            if len(better):
+                both = np.concatenate([self.lower[own][better], lower[better]], axis=1)
+                self.lower[at + better] = np.sort(np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :], axis=1)
+            query, which = np.nonzero((upper >= self.lower[own, :1]) & (upper > -np.inf))
+            self.parts.append(((at + query).astype(np.int32), rows[which], upper[query, which]))
+            self.held += len(query)
+
+    def take(self) -> pa.RecordBatch:
+        """The candidates held, less those that the bounds since found rule out; they are held no longer."""
+        query, row, upper = (np.concatenate([p[k] for p in self.parts]) if self.parts else np.empty(0, t) for k, t in ((0, np.int32), (1, np.int64), (2, np.float32)))
+        left = upper >= self.lower[query, 0] if len(query) else np.empty(0, bool)
+        self.parts, self.held = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[query[left]], pa.int64()), pa.array(row[left], pa.int64()), pa.array(upper[left].astype(np.float64))], ["query_id", "row", "upper"])
+
+
+def _scanner(shared, k: int):
     def scan(batches):
-        by_size = broadcast.value
-        found: dict = {}
+        found = {size: _Candidates(ids, q, k) for size, (ids, q) in shared.value.items()}
         for batch in batches:
-            ids, vectors = batch.column(0).to_numpy(), batch.column(1)
-            sizes = vectors.value_lengths().to_numpy()
-            for size, queries in by_size.items():
-                rows = np.flatnonzero(sizes == size)
-                for at in range(0, len(rows), SCAN_BLOCK):
-                    part = rows[at : at + SCAN_BLOCK]
-                    _search_block(ids[part], _matrix(vectors, part, size), queries, found, k, cell)
-        queries = [q for q, (own, _) in found.items() for _ in own]
-        yield pa.RecordBatch.from_pydict(
-            {"query_id": pa.array(queries, pa.int64()), "vec_id": pa.array([int(x) for own, _ in found.values() for x in own], pa.int64()), "score": pa.array([int(x) for _, own in found.values() for x in own], pa.int64())}
-        )
+            ids, rows, exponents, cells = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
+            sizes = np.array([len(c) for c in cells.to_pylist()])
+            for size, own in found.items():
+                held = np.flatnonzero(sizes == size)
+                for at in range(0, len(held), SCAN_BLOCK):
+                    part = held[at : at + SCAN_BLOCK]
+                    raw = np.frombuffer(b"".join(cells.take(pa.array(part)).to_pylist()), np.int8).reshape(len(part), size)
+                    own.add(ids[part], rows[part], raw, exponents[part])
+                    if own.held > HELD_CANDIDATES:
+                        yield own.take()
+        for own in found.values():
+            yield own.take()
 
     return scan
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, cell: int = CELL, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _exact_scores(batches):
+    """Exact inner products; whole numbers beyond 2**62 in Python's, and an error if a score is no long."""
+    for batch in batches:
+        q, v = batch.column(3), batch.column(4)
+        sizes, scores = v.value_lengths().to_numpy(), np.zeros(batch.num_rows, np.int64)
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            a, b = _matrix(q, rows, size), _matrix(v, rows, size)
+            bound = np.abs(a).max(axis=1, initial=0.0) * np.abs(b).max(axis=1, initial=0.0) * size
+            small = bound < 2.0**62
+            scores[rows[small]] = (a[small].astype(np.int64) * b[small].astype(np.int64)).sum(axis=1)
+            for k in np.flatnonzero(~small):
+                score = sum(int(x) * int(y) for x, y in zip(a[k], b[k], strict=True))
+                if not -(2**63) <= score < 2**63:
+                    raise OverflowError(f"the inner product {score} is beyond 64 bits; scale the vectors down")
+                scores[rows[k]] = score
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(scores)], ["query_id", "row", "vec_id", "score"])
+
+
+def _scored(candidates: DataFrame, asked: DataFrame, exact: DataFrame) -> DataFrame:
+    queries = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    both = candidates.select("query_id", "row").join(queries, "query_id").join(exact, "row")
+    return both.select("query_id", "row", "vec_id", "q", "v").mapInArrow(_exact_scores, "query_id long, row long, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """The k vectors of greatest inner product for each query, but for its own id.
 
-    vectors, queries: (vec_id long, v array<long>), as of integer_vectors().
-    Queries pass in blocks of at most `query_block` over all vectors; with
-    several blocks each pass is written to the shared folder before the next.
-    A task keeps k rows for each query of the block; only those are shuffled.
-    Ties go to the smaller vec_id; vectors of another length than the query's
-    don't compete; with fewer than k candidates all are returned; of repeated
-    ids each row competes, but no row of the query's own id, and one row asks; without vectors or
-    queries the result is empty.
+    vectors, queries: (vec_id long, v array<double>), as of integer_vectors().
+    Queries pass over the cells in blocks of about query_bytes; a task holds the
+    k best lower bounds of each query of the block and its candidates. Ties go to
+    the smaller vec_id; vectors of another length than the query's don't compete;
+    with fewer than k candidates all are returned; of repeated ids each row
+    competes, but no row of the query's own id, and the row of the least vector
+    asks; without vectors or queries the result is empty. A score read that is
+    beyond 64 bits is an error.
     """
     spark = vectors.sparkSession
-    blocks = max(1, -(-queries.count() // query_block))
-    parts = []
+    exact = materialize(vectors.select("vec_id", "v", F.monotonically_increasing_id().alias("row")), "topk-exact")
+    cells = materialize(exact.select("vec_id", "v", "row").mapInArrow(_quantise, "vec_id long, row long, exponent int, cells binary"), "topk-cells")
+    asked = materialize(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "topk-queries")
+    whole = asked.agg(F.sum(8 * F.size("v").cast("long") + 8).alias("bytes")).first()["bytes"] or 0
+    blocks, candidates = max(1, -(-whole // query_bytes)), []
     for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block) if blocks > 1 else queries
-        by_size: dict = {}
-        for row in own.dropDuplicates(["vec_id"]).toLocalIterator():
-            by_size.setdefault(len(row["v"]), []).append((row["vec_id"], row["v"]))
-        packed = {n: {"id": np.array([i for i, _ in own]), "v": np.array([v for _, v in own], np.int64).reshape(len(own), n)} for n, own in by_size.items()}
-        scanned = vectors.mapInArrow(_scanner(spark.sparkContext.broadcast(packed), k, cell), "query_id long, vec_id long, score long")
-        parts.append(materialize(scanned, "topk") if blocks > 1 else scanned)
-    merged = parts[0]
-    for part in parts[1:]:
+        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow()
+        ids, v = own.column("vec_id").to_numpy(), own.column("v").combine_chunks()
+        sizes = v.value_lengths().to_numpy() if len(v) else np.empty(0, np.int64)
+        by_size = {int(n): (ids[sizes == n], _matrix(v, np.flatnonzero(sizes == n), n)) for n in np.unique(sizes)}
+        shared = Shared(spark, "topk-queries", by_size)
+        candidates.append(materialize(cells.mapInArrow(_scanner(shared, k), "query_id long, row long, upper double"), "topk-candidates"))
+        shared.data.unpersist()
+    merged = candidates[0]
+    for part in candidates[1:]:
         merged = merged.unionAll(part)
+    by_bound = W.partitionBy("query_id").orderBy(F.col("upper").desc(), "row")
+    first = merged.withColumn("place", F.row_number().over(by_bound)).where(F.col("place") <= k)
+    read = materialize(_scored(first, asked, exact), "topk-first")
+    # The k-th exact score so far; with fewer than k there are no more candidates.
+    least = read.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
+    rest = merged.join(least, "query_id").where(F.col("upper") >= F.col("least")).join(read.select("query_id", "row"), ["query_id", "row"], "left_anti")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = read.unionByName(_scored(rest, asked, exact)).withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
