@@ -25,8 +25,10 @@ from lumenframe.llm.common import small_batches
 from lumenframe.session import table
 
 ROUNDS = 10
-#: Stands in where no key is given; a secret of the caller's own belongs here.
-DEFAULT_KEY = b"lumenframe demonstration key"
+#: The setting that names the secret key of the registered queries.
+KEY_SETTING = "spark.lumenframe.pii.key"
+#: The registered queries' key where the setting is unset, so that they run anywhere: it protects nothing.
+DEMONSTRATION_KEY = b"lumenframe demonstration key"
 
 DIGITS = "0123456789"
 SMALL = "abcdefghijklmnopqrstuvwxyz"
@@ -131,8 +133,11 @@ def _numbers(feistel: Feistel, text: str, valid: Callable[[str], bool], back: bo
     return _fill(text, str(feistel.permute(int(digits), 10**size, lambda v: valid(f"{v:0{size}d}"), back)).zfill(size))
 
 
-def _classes(feistel: Feistel, text: str, back: bool, alphabets: tuple[str, ...] = (DIGITS, SMALL, LARGE)) -> str:
-    """Each character permuted within its own alphabet, all of them at once; others stay."""
+def _classes(feistel: Feistel, text: str, back: bool, alphabets: tuple[str, ...] = (DIGITS, SMALL, LARGE), valid: Callable[[str], bool] | None = None) -> str:
+    """Each character permuted within its own alphabet, all of them at once; others stay.
+
+    With `valid`, of which text must be one, only among the texts that are valid.
+    """
     value, n = 0, 1
     held = [next((a for a in alphabets if c in a), None) for c in text]
     for c, a in zip(text, held, strict=True):
@@ -140,13 +145,17 @@ def _classes(feistel: Feistel, text: str, back: bool, alphabets: tuple[str, ...]
             value, n = value * len(a) + a.index(c), n * len(a)
     if n == 1:
         return text
-    value, out = feistel.permute(value, n, None, back), []
-    for c, a in zip(reversed(text), reversed(held), strict=True):
-        if a:
-            value, at = divmod(value, len(a))
-            c = a[at]
-        out.append(c)
-    return "".join(reversed(out))
+
+    def spelled(value: int) -> str:
+        out = []
+        for c, a in zip(reversed(text), reversed(held), strict=True):
+            if a:
+                value, at = divmod(value, len(a))
+                c = a[at]
+            out.append(c)
+        return "".join(reversed(out))
+
+    return spelled(feistel.permute(value, n, None if valid is None else lambda v: valid(spelled(v)), back))
 
 
 def _email(feistel: Feistel, text: str, back: bool) -> str:
@@ -226,7 +235,8 @@ def _iban_rest(text: str) -> int:
 
 def _iban(feistel: Feistel, text: str, back: bool) -> str | None:
     plain = text.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _iban_rest(plain) != 1:
+    # Check digits are 02 to 98: 00, 01 and 99 would fit the same bodies as 97, 98 and 02.
+    if not 15 <= len(plain) <= 34 or not 2 <= int(plain[2:4]) <= 98 or _iban_rest(plain) != 1:
         return None
     body = _classes(feistel, plain[4:], back)
     made = plain[:2] + f"{98 - _iban_rest(plain[:2] + '00' + body):02d}" + body
@@ -254,7 +264,7 @@ def _phone_abroad(feistel: Feistel, text: str, back: bool) -> str | None:
 class Pseudonyms:
     """Replaces what SCANNER finds; back=True turns pseudonyms back into values."""
 
-    key: bytes = DEFAULT_KEY
+    key: bytes
 
     def value(self, kind: str, text: str, back: bool = False) -> str | None:
         """The pseudonym of a value, or None if the value is not valid for its kind."""
@@ -266,7 +276,10 @@ class Pseudonyms:
         if kind == "hex":
             return _classes(feistel, text, back, (DIGITS + "abcdef",))
         if kind == "password":
-            return _classes(feistel, text, back, (DIGITS + "abcdef",)) if re.fullmatch(r"[0-9a-f]+", text) else _classes(feistel, text, back)
+            # Texts of hexadecimal digits alone stay such, and all others others, so no two meet in one pseudonym.
+            if re.fullmatch(r"[0-9a-f]+", text):
+                return _classes(feistel, text, back, (DIGITS + "abcdef",))
+            return _classes(feistel, text, back, valid=lambda t: not re.fullmatch(r"[0-9a-f]+", t))
         if kind == "iban":
             return _iban(feistel, text, back)
         if kind == "ip":
@@ -332,17 +345,27 @@ def _next_start(text: str, start: int) -> int:
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY, spans: str | None = "pii_spans") -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The secret of the registered queries and the pipeline: KEY_SETTING, else DEMONSTRATION_KEY."""
+    named = spark.conf.get(KEY_SETTING, "")
+    return named.encode() if named else DEMONSTRATION_KEY
+
+
+def pseudonymize(docs: DataFrame, key: bytes, spans: str | None = "pii_spans") -> DataFrame:
     """docs with pseudonyms in `text`, and a last column of spans if it is named.
 
+    Whoever has the key can invert the pseudonyms, so it has no default. An empty
+    key is an error.
     Spans are (kind, start, end) in characters of the text given. Where docs has
     n_chars, it is the length of the new text. Null texts stay null, with no
     spans; empty texts stay empty. Rows are independent: repeated rows stay
     equal. A column that already has the spans' name is an error. Dates outside
     1900 to 2099, and numbers that fail their check digits, are not touched.
     """
+    if not key:
+        raise ValueError("the key must not be empty")
     if spans in docs.columns:
-        raise ValueError(f"docs already has a column {spans}")
+        raise ValueError(f"docs already has a column {spans}; name another")
     names, at = docs.columns, docs.columns.index("text")
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + ([T.StructField(spans, SPANS)] if spans else []))
     counted = names.index("n_chars") if "n_chars" in names else None
@@ -365,6 +388,6 @@ def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY, spans: str | None =
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pseudonymize(docs)
+    found = pseudonymize(docs, key_of(spark))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("pii_spans", lambda s: s["kind"]))), ",")
     return found.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_values"), kinds.alias("kinds"))

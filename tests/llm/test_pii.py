@@ -94,10 +94,10 @@ def test_frame(spark, edge_docs, edge_rows, no_docs):
     assert rows[2]["text"] is None and rows[2]["n_chars"] is None and rows[2]["pii_spans"] == []
     assert rows[3]["n_chars"] == len(rows[3]["text"])
     assert rows[1]["key"] == "clash key"
-    assert sorted(str(r["text"]) for r in pseudonymize(edge_docs).collect()) == sorted(str(t) for _, t in edge_rows)
-    assert pseudonymize(no_docs).count() == 0
+    assert sorted(str(r["text"]) for r in pseudonymize(edge_docs, b"k").collect()) == sorted(str(t) for _, t in edge_rows)
+    assert pseudonymize(no_docs, b"k").count() == 0
     with pytest.raises(ValueError):
-        pseudonymize(docs, spans="key")
+        pseudonymize(docs, b"k", spans="key")
 
 
 RUNNING_TEXT = [
@@ -138,3 +138,97 @@ def test_dates_of_every_day_round_trip():
         for n in range(0, 73000, 397):
             text = written.format(datetime.date.fromordinal(FIRST_DAY + n))
             assert OWN.text(OWN.text(text)[0], back=True)[0] == text
+
+
+def all_images(kind, values):
+    """Pseudonyms of all valid values; every one must turn back."""
+    out = {}
+    for value in values:
+        made = OWN.value(kind, value)
+        if made is not None:
+            assert OWN.value(kind, made, back=True) == value
+            out[value] = made
+    return out
+
+
+@pytest.mark.parametrize(
+    "kind, values",
+    [
+        ("password", [a + b for a in "0123456789abcdefghijklmnopqrstuvwxyzAB" for b in "0123456789abcdefghijklmnopqrstuvwxyzAB"]),
+        ("password", [f"{n:03x}" for n in range(4096)] + [f"g{n:02}" for n in range(100)]),
+        ("hex", [f"{n:03x}" for n in range(4096)]),
+        ("aws_key", ["AKIA" + a + b for a in "ABC0189Z" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]),
+        ("email", [a + b + "@x1.de" for a in "abcxyz09_" for b in "ABXY.-5"]),
+        ("ip", [f"10.{a}.0.{b}" for a in range(0, 256, 5) for b in range(0, 256, 5)]),
+        ("ssn", [f"123-45-{n:04}" for n in range(3000)] + [f"{n:03}-45-6789" for n in range(1000)]),
+        ("phone", [f"212-555-{n:04}" for n in range(1500)] + [f"112-055-{n:04}" for n in range(1500)]),
+        ("phone_abroad", [f"+4930{n:05}" for n in range(2000)]),
+        ("card", [f"{n:014}" for n in range(41_000, 61_000)]),
+        ("iban", [f"GB{n:02}WEST1234569876543{k}" for n in range(100) for k in range(10)]),
+        ("date", [f"{d}{m}2021" for d in (f"{n:02}/" for n in range(1, 32)) for m in (f"{n:02}/" for n in range(1, 32))]),
+        ("date", [f"{d}.{m}.1999" for d in range(1, 32) for m in range(1, 13)]),
+        ("date_named", [f"{d} {m} 2021" for d in range(1, 32) for m in ("Jan", "January", "May", "Sep", "September")]),
+    ],
+)
+def test_different_values_stay_different(kind, values):
+    made = all_images(kind, values)
+    assert len(made) > 5 and len(set(made.values())) == len(made)
+
+
+def test_mixed_secrets_of_the_same_length():
+    own = Pseudonyms(b"k")
+    rng = random.Random(11)
+    values = {"gggg4131", "f46cecc7"} | {"".join(rng.choice("0123456789abcdefgh") for _ in range(8)) for _ in range(4000)}
+    made = {v: own.value("password", v) for v in values}
+    assert len(set(made.values())) == len(values)
+    assert all(own.value("password", m, back=True) == v for v, m in made.items())
+
+
+def plain_scan(text):
+    """(kind, value) of each blank-separated word, by rules of its own."""
+    found = []
+    for word in text.split():
+        word = word.strip(".,;()")
+        digits = [c for c in word if c in "0123456789"]
+        fields = word.split(".")
+        if word.count("@") == 1 and "." in word.split("@")[1]:
+            found.append(("email", word))
+        elif len(fields) == 4 and all(f.isdigit() and str(int(f)) == f and int(f) < 256 for f in fields):
+            found.append(("ip", word))
+        elif word.isdigit() and 13 <= len(word) <= 19 and sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(word))) % 10 == 0:
+            found.append(("card", word))
+        elif [len(p) for p in word.split("-")] == [3, 2, 4] and len(digits) == 9 and word[:3] not in ("000", "666") and word[0] != "9" and word[4:6] != "00" and word[7:] != "0000":
+            found.append(("ssn", word))
+        elif [len(p) for p in word.split("-")] == [4, 2, 2] and len(digits) == 8:
+            try:
+                found += [("date", word)] if 1900 <= datetime.date.fromisoformat(word).year <= 2099 else []
+            except ValueError:
+                pass
+        elif len(word) == 20 and word.startswith("AKIA") and all(c.isascii() and (c.isupper() or c.isdigit()) for c in word):
+            found.append(("aws_key", word))
+    return found
+
+
+def test_against_a_plain_scan():
+    rng = random.Random(21)
+    makers = [
+        lambda: f"u{rng.randrange(99)}.n@host{rng.randrange(9)}.example.org",
+        lambda: ".".join(str(rng.choice([0, 7, 31, 255, 256, 999])) for _ in range(4)),
+        lambda: str(rng.randrange(10**15, 10**16)),
+        lambda: f"{rng.choice([0, 123, 666, 900]):03}-{rng.choice([0, 45]):02}-{rng.choice([0, 6789]):04}",
+        lambda: f"{rng.choice([1850, 1999, 2021, 2150])}-{rng.randrange(0, 14):02}-{rng.randrange(0, 33):02}",
+        lambda: "AKIA" + "".join(rng.choice("ABCXYZ0189") for _ in range(rng.choice([15, 16, 17]))),
+        lambda: rng.choice(["word", "x1", "42", "3.14", "a-b-c", "Ünï", "12-34", "v1.2.3", "7,", "(see)"]),
+    ]
+    for _ in range(300):
+        text = " ".join(rng.choice(makers)() + rng.choice(["", "", ",", "."]) for _ in range(30))
+        spans = OWN.text(text)[1]
+        assert [(k, text[a:b]) for k, a, b in spans if k not in ("phone", "phone_abroad")] == plain_scan(text)
+
+
+def test_a_key_is_asked_for(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    with pytest.raises(TypeError):
+        pseudonymize(docs)
+    with pytest.raises(ValueError):
+        pseudonymize(docs, b"")

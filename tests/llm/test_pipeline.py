@@ -8,7 +8,7 @@ from tests.llm.test_neardup import brute as components
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from lumenframe.llm import packing, toxicity  # noqa: E402
-from lumenframe.llm.pii import Pseudonyms  # noqa: E402
+from lumenframe.llm.pii import DEMONSTRATION_KEY, Pseudonyms  # noqa: E402
 
 
 def test_against_brute_force(spark, tmp_path):
@@ -43,7 +43,7 @@ def test_against_brute_force(spark, tmp_path):
     rows = [(i, t) for i, t in rows if own[i] == i]
     leaked = {d for d, _ in leaks(rows, items)}
     assert leaked and len(rows) < len(docs) - 50
-    rows = [(i, None if t is None else Pseudonyms().text(t)[0]) for i, t in rows if i not in leaked]
+    rows = [(i, None if t is None else Pseudonyms(DEMONSTRATION_KEY).text(t)[0]) for i, t in rows if i not in leaked]
     encode, _ = packing._tokenizer(None)
     expected = {i: len(encode(t or "")) + 1 for i, t in rows}
     assert {(d, n) for d, _, _, n in found} == set(expected.items())
