@@ -14,7 +14,7 @@ from lumenframe.llm import toxicity as toxic
 from lumenframe.llm.decontamination import decontaminate
 from lumenframe.llm.neardup import without_near_duplicates
 from lumenframe.llm.packing import pack_documents, with_digest
-from lumenframe.llm.pii import pseudonymize
+from lumenframe.llm.pii import key_of, pseudonymize
 from lumenframe.session import materialize, table
 
 #: Words in a shingle of the stage that drops near copies.
@@ -22,27 +22,50 @@ SHINGLE_WORDS = 5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text the classifier accepts; it learns from the labelled ones among docs."""
+    """Rows whose text the classifier accepts; it learns from the labelled ones among docs.
+
+    Null texts count as empty and stay unless empty ones score as toxic. Without
+    labels of both kinds every row stays. Rows are independent: repeated rows go
+    or stay together. No rows give no rows; further columns are kept.
+    """
     return toxic.without_toxic(docs, toxic.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies."""
+    """The document of the smallest doc_id of each group of near copies.
+
+    Rows of a null doc_id, and null or empty texts of different ids, all stay; of
+    rows that share a doc_id one stays. Long texts count whole. No rows give no
+    rows; further columns are kept.
+    """
     return without_near_duplicates(docs, SHINGLE_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Each row is judged by its own whole text, whatever its doc_id. Null and empty
+    texts stay; without items every row does. Repeated rows go or stay together.
+    No rows give no rows; further columns are kept.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data in text."""
-    return pseudonymize(docs, spans=None)
+    """All documents, with pseudonyms for personal data in text; n_chars follows the new text.
+
+    Null and empty texts stay as they are, repeated rows stay equal, and further
+    columns are kept. No rows give no rows.
+    """
+    return pseudonymize(docs, key_of(spark), spans=None)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, as of op1_packing."""
+    """The pieces of all documents, as of op1_packing.
+
+    A null or empty text is its end alone; repeated rows are packed as often as
+    they occur; a null doc_id stays null. No rows give no pieces.
+    """
     return with_digest(pack_documents(docs))
 
 
