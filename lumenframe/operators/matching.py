@@ -48,17 +48,31 @@ def synchronized(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str,
     return matched.withColumn("drift_us", drift).where(F.abs("drift_us") <= max_drift_us)
 
 
-def surrounding(df: DataFrame, keyframes: DataFrame, by: Sequence[str], at: str, value: str) -> DataFrame:
-    """df with the keyframes around `at`: prev_at, prev_value (at or before) and next_at, next_value (after)."""
+def surrounding(df: DataFrame, keyframes: DataFrame, by: Sequence[str], at: str, value: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """df with the keyframes around `at`: prev_at, prev_value (at or before) and next_at, next_value (after).
+
+    Two running windows over a union, one forwards and one backwards, so the work
+    is linear in the rows. With `bucket`, a rising function of the place, a stream
+    is dealt over tasks bucket by bucket, as in as_of().
+    """
     columns = df.columns
     sides = df.withColumns({"__side": F.lit(1), "__value": F.lit(None).cast("double")})
     both = sides.unionByName(keyframes.select(*by, at, F.col(value).cast("double").alias("__value")).withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    keys = list(by)
+    if bucket is not None:
+        both, keys = both.withColumn("__bucket", bucket(F.col(at))), [*by, "__bucket"]
     point = F.when(F.col("__side") == 0, F.struct(F.col(at).alias("at"), F.col("__value").alias("value")))
-    order = W.partitionBy(*by).orderBy(at, "__side")
-    prev = F.last(point, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    following = F.first(point, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
-    both = both.withColumn("__prev", prev).withColumn("__next", following).where(F.col("__side") == 1)
-    return both.select(*columns, F.col("__prev.at").alias("prev_at"), F.col("__prev.value").alias("prev_value"), F.col("__next.at").alias("next_at"), F.col("__next.value").alias("next_value"))
+    order, until_now = (F.col(at), F.col("__side")), (W.unboundedPreceding, 0)
+    prev = F.last(point, ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(*until_now))
+    following = F.last(point, ignorenulls=True).over(W.partitionBy(*keys).orderBy(*[c.desc() for c in order]).rowsBetween(*until_now))
+    found = both.withColumn("__prev", prev).withColumn("__next", following).where(F.col("__side") == 1)
+    if bucket is not None:
+        ends = both.groupBy(*keys).agg(F.min(point).alias("__first"), F.max(point).alias("__last"))
+        side = lambda c: W.partitionBy(*by).orderBy(c).rowsBetween(W.unboundedPreceding, -1)
+        carried = ends.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.last("__last", ignorenulls=True).over(side(F.col("__bucket"))).alias("__before"), F.last("__first", ignorenulls=True).over(side(F.col("__bucket").desc())).alias("__after"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+        found = found.join(carried, same, "left").withColumns({"__prev": F.coalesce("__prev", "__before"), "__next": F.coalesce("__next", "__after")})
+    return found.select(*columns, F.col("__prev.at").alias("prev_at"), F.col("__prev.value").alias("prev_value"), F.col("__next.at").alias("next_at"), F.col("__next.value").alias("next_value"))
 
 
 def interpolated(df: DataFrame, at: str, mode: str = "linear") -> Column:
@@ -84,9 +98,12 @@ def paired(reference: DataFrame, distorted: DataFrame, on: Sequence[str]) -> Dat
 
 
 def mapped_streams(packets: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Packets with their destination; the first mapping (smallest `ord`) of a source wins, others are dropped."""
+    """Packets with their destination; the first mapping (smallest `ord`) of a source wins, others are dropped.
+
+    Spark broadcasts the mapping where it finds it small.
+    """
     first = mapping.groupBy("source_index").agg(F.min_by("dest_index", "ord").alias("dest_index"))
-    return packets.join(F.broadcast(first), packets["stream_index"] == first["source_index"]).drop("source_index")
+    return packets.join(first, packets["stream_index"] == first["source_index"]).drop("source_index")
 
 
 def best_worker(tasks: DataFrame, workers: DataFrame, by: Sequence[str], eligible: Column, preferred: Column, load: str, tie: str) -> DataFrame:

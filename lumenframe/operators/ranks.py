@@ -8,36 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges into which the order is dealt; their counts are so many rows.
-RANGES = 512
+from lumenframe.session import materialize
 
 
-def with_rank(df: DataFrame, order: Sequence[str], ranges: int = RANGES) -> DataFrame:
+def in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """df with __range: rows dealt to rising ranges of the whole order, as many as shuffle partitions at most.
+
+    The bounds are sampled, so the result has to be written before two readers
+    may rely on the same ranges.
+    """
+    return df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+
+
+def with_rank(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """df with rank0 (from 0) in the order of the columns, and total_rows.
 
-    Rows are dealt to ranges of the first column at approximate quantiles, each
-    range is numbered by itself and moved by the counts of those before. The
-    first column has to be a number; nulls come first.
+    Rows are dealt to ranges of the whole order, so one repeated value of its
+    first column is split as well; each range is numbered by itself and moved by
+    the counts of those before. Nulls come first.
     """
-    first = order[0]
-    bounds = sorted(set(df.where(F.col(first).isNotNull()).approxQuantile(first, [k / ranges for k in range(1, ranges)], 0.5 / ranges)))
-    place = F.when(F.col(first).isNull(), -1)
-    found = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.lit(b) for b in bounds])
-        found = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), lambda i: i), F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), lambda s, _: _halved(s, edges, F.col(first)))["lo"]
-    dealt = df.withColumn("__range", place.otherwise(found))
+    dealt = materialize(in_ranges(df, order), "ranks")
     counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
     before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(F.col("__range").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"), F.sum("__n").over(W.partitionBy()).alias("total_rows"))
-    own = W.partitionBy("__range").orderBy(*order)
-    numbered = dealt.withColumn("__row", F.row_number().over(own))
+    numbered = dealt.withColumn("__row", F.row_number().over(W.partitionBy("__range").orderBy(*order)))
     joined = numbered.join(F.broadcast(offsets), F.col("__range") == F.col("__at"))
     return joined.withColumn("rank0", F.col("__offset") + F.col("__row") - 1).drop("__range", "__at", "__offset", "__row")
-
-
-def _halved(s, edges, value):
-    """One step of a binary search for the number of edges at or below a value."""
-    open_, mid = s["lo"] < s["hi"], F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-    above = F.get(edges, mid) <= value
-    return F.struct(F.when(open_ & above, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~above, mid).otherwise(s["hi"]).alias("hi"))

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.functions.scores import bitrate_factor, predicted_ssim, predicted_vmaf, profile_class
+from lumenframe.operators.ranks import in_ranges
+from lumenframe.session import materialize
 
 #: Resolutions of a ladder and bitrate multipliers; fixed values.
 LADDER_SIZES = ((426, 240), (640, 360), (854, 480), (1280, 720), (1920, 1080), (2560, 1440), (3840, 2160))
@@ -20,14 +22,22 @@ LOW_KBPS, HIGH_KBPS, LOW_VMAF, TARGET_VMAF, FEWEST_RUNGS, MOST_RUNGS = 200, 12_0
 def skyline(df: DataFrame, cost: str, value: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows whose value is above that of every row before them by (cost, tie).
 
-    The values are first reduced to one a cost, so the running maximum over all
-    costs is on as many rows as there are costs, and rows of one cost are
-    compared in a window of their own.
+    The values are first reduced to one a cost. Without `by` the costs are dealt
+    to ranges, each range has its own running maximum, and the greatest value of
+    the ranges before is carried into it; no task sees all costs. Rows of one
+    cost are compared in a window of their own.
     """
     best = df.groupBy(*by, cost).agg(F.max(value).alias("__best"))
-    before = W.partitionBy(*by).orderBy(cost).rowsBetween(W.unboundedPreceding, -1)
-    cheaper = best.select(*by, cost, F.max("__best").over(before).alias("__cheaper"))
-    own = W.partitionBy(*by, cost).orderBy(tie).rowsBetween(W.unboundedPreceding, -1)
+    earlier = (W.unboundedPreceding, -1)
+    if by:
+        cheaper = best.select(*by, cost, F.max("__best").over(W.partitionBy(*by).orderBy(cost).rowsBetween(*earlier)).alias("__cheaper"))
+    else:
+        dealt = materialize(in_ranges(best, [cost]), "skyline")
+        ranges = dealt.groupBy("__range").agg(F.max("__best").alias("__most"))
+        carried = ranges.select(F.col("__range").alias("__at"), F.max("__most").over(W.orderBy("__range").rowsBetween(*earlier)).alias("__carried"))
+        inside = dealt.withColumn("__inside", F.max("__best").over(W.partitionBy("__range").orderBy(cost).rowsBetween(*earlier)))
+        cheaper = inside.join(F.broadcast(carried), F.col("__range") == F.col("__at")).select(cost, F.greatest("__inside", "__carried").alias("__cheaper"))
+    own = W.partitionBy(*by, cost).orderBy(tie).rowsBetween(*earlier)
     seen = df.withColumn("__own", F.max(value).over(own)).join(cheaper, [*by, cost])
     return seen.where(F.coalesce(F.col(value) > F.greatest("__own", "__cheaper"), F.lit(True))).drop("__own", "__cheaper")
 

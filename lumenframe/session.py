@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,14 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines see: spark.checkpoint.dir of the session.
 
-    Where it is unset (tests, a single machine) a new temporary folder is set,
-    so the fallback never applies on a cluster that names its folder.
+    Only on a single machine (a local master), as in tests, does a new temporary
+    folder stand in where it is unset; on a cluster that is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         current = sc._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="lumenframe-")
+        if current.isDefined():
+            found = current.get()
+        elif re.fullmatch(r"local(\[.*\])?", sc.master):
+            found = tempfile.mkdtemp(prefix="lumenframe-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines see")
     return found.rstrip("/")
 
 

@@ -102,7 +102,7 @@ def test_global_ranks(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([None, 1.0, 2.0, rng.random()])) for i in range(500)]
     df = spark.createDataFrame(rows, "i long, v double")
-    found = {r["i"]: (r["rank0"], r["total_rows"]) for r in ranks.with_rank(df, ["v", "i"], 16).collect()}
+    found = {r["i"]: (r["rank0"], r["total_rows"]) for r in ranks.with_rank(df, ["v", "i"]).collect()}
     order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
     assert found == {i: (k, 500) for k, (i, _) in enumerate(order)}
     assert ranks.with_rank(df.where(F.lit(False)), ["v", "i"]).count() == 0
