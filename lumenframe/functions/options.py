@@ -121,3 +121,31 @@ def color(text: Column) -> Column:
     long = F.when(F.length(digits) == 3, F.concat(*[F.repeat(F.substring(digits, k, 1), 2) for k in (1, 2, 3)], F.lit("FF"))).when(F.length(digits) == 6, F.concat(digits, F.lit("FF"))).when(F.length(digits) == 8, digits)
     part = lambda k: F.conv(F.substring(long, k, 2), 16, 10).cast("int")
     return F.when(digits.rlike("^[0-9a-fA-F]+$") & long.isNotNull(), F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b"), part(7).alias("a")))
+
+
+def _argument(text: Column, names: str) -> Column:
+    """The word after an option of one of the names; null if it is not given."""
+    return F.nullif(F.regexp_extract(text, rf"(?:^|\s)-(?:{names})\s+(\S+)", 1), F.lit(""))
+
+
+def option_set(text: Column) -> Column:
+    """struct of what a command line sets: inputs, output, codecs, rates, filters, times and flags.
+
+    Words are divided by blanks; the output is the last word. A codec `copy` sets
+    the copy flag and no codec. What is not given is null, false or empty.
+    """
+    video, audio = _argument(text, "c:v|vcodec|codec:v"), _argument(text, "c:a|acodec|codec:a")
+    flag = lambda name: text.rlike(rf"(?:^|\s)-{name}(?:\s|$)")
+    codec = lambda c: F.when(c != "copy", c)
+    return F.struct(
+        F.regexp_extract_all(text, F.lit(r"(?:^|\s)-i\s+(\S+)"), 1).alias("inputs"),
+        F.element_at(F.split(F.trim(text), r"\s+"), -1).alias("output"),
+        codec(video).alias("video_codec"), F.coalesce(video == "copy", F.lit(False)).alias("copy_video"), flag("vn").alias("no_video"),
+        codec(audio).alias("audio_codec"), F.coalesce(audio == "copy", F.lit(False)).alias("copy_audio"), flag("an").alias("no_audio"),
+        bitrate(_argument(text, "b:v|vb")).alias("video_bitrate"), bitrate(_argument(text, "b:a|ab")).alias("audio_bitrate"),
+        _argument(text, "crf").cast("double").alias("crf"), _argument(text, "preset").alias("preset"),
+        resolution(_argument(text, "s")).alias("resolution"), _argument(text, "r").cast("double").alias("frame_rate"), aspect_ratio(_argument(text, "aspect")).alias("aspect_ratio"),
+        _argument(text, "vf|filter:v").alias("video_filters"), _argument(text, "af|filter:a").alias("audio_filters"), _argument(text, "filter_complex").alias("filter_complex"),
+        seconds(_argument(text, "ss")).alias("start_time"), seconds(_argument(text, "t")).alias("duration"), seconds(_argument(text, "to")).alias("end_time"),
+        flag("y").alias("overwrite"),
+    )

@@ -87,6 +87,12 @@ def timecode_to_frame(text: Column, fps: int) -> Column:
     return (h * 3600 + m * 60 + s) * fps + f
 
 
+def add_frames(text: Column, frames: Column, fps: int) -> Column:
+    """A non-drop timecode moved by frames, which may be negative; null before 0."""
+    moved = timecode_to_frame(text, fps) + frames
+    return F.when(moved >= 0, timecode(moved, fps))
+
+
 def drop_frame_to_frame(text: Column, rate: str) -> Column:
     fps, dropped = DROP_FRAME[rate]
     minutes = _part(text, TIMECODE, 1) * 60 + _part(text, TIMECODE, 2)

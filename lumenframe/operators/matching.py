@@ -109,11 +109,12 @@ def mapped_streams(packets: DataFrame, mapping: DataFrame) -> DataFrame:
 def best_worker(tasks: DataFrame, workers: DataFrame, by: Sequence[str], eligible: Column, preferred: Column, load: str, tie: str) -> DataFrame:
     """For each task the eligible worker: preferred ones first, then the least load, then `tie`.
 
-    Workers are reduced before the join to the best of each profile where the
-    caller groups them; the join is on the eligibility's equalities.
+    The join is on the eligibility's equalities; a task's candidates are reduced
+    to the best before the shuffle. Nulls of load and tie come first.
     """
-    order = W.partitionBy(*by).orderBy(preferred.cast("int").desc(), F.col(load), F.col(tie))
-    return tasks.join(workers, eligible).withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") == 1).drop("__rank")
+    rows = tasks.join(workers, eligible)
+    order = F.struct((~F.coalesce(preferred, F.lit(False))).alias("p"), F.col(load), F.col(tie))
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns]), order).alias("__best")).select("__best.*")
 
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:

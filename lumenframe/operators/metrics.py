@@ -45,6 +45,17 @@ def realtime_stats(df: DataFrame, by: Sequence[str], ts: str, size: str, encode_
     )
 
 
+def mixed_report(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, size: str, encode_time: str, psnr: str, ssim: str, ring: int) -> DataFrame:
+    """A report of two scopes: frames, bytes and mean PSNR of all rows; rates, quality and mean SSIM of the last `ring`.
+
+    avg_psnr and avg_ssim are null where no row has one.
+    """
+    recent = latest(df, by, order, ring)
+    rates = realtime_stats(recent, by, ts, size, encode_time, psnr).select(*by, "fps", "kbps", "quality")
+    whole = df.groupBy(*by).agg(F.count("*").alias("total_frames"), F.sum(size).alias("total_bytes"), F.avg(psnr).alias("avg_psnr"))
+    return whole.join(rates, list(by)).join(recent.groupBy(*by).agg(F.avg(ssim).alias("avg_ssim")), list(by))
+
+
 def type_distribution(df: DataFrame, by: Sequence[str], kind: str) -> DataFrame:
     """Count and share of each kind in its group."""
     counted = df.groupBy(*by, kind).agg(F.count("*").alias("n"))

@@ -417,7 +417,8 @@ n AS (SELECT p.*, k.at_us AS na, k.value AS nv FROM p ASOF LEFT JOIN k ON p.user
 SELECT user_id, at_us, round(CASE WHEN pa IS NULL THEN nv WHEN na IS NULL THEN pv ELSE pv + (nv - pv) * ((at_us - pa) / (na - pa)) END, 6) AS value FROM n""")
 def resample_grid(spark, sf_dir):
     keys = events(spark, sf_dir).select("user_id", timebase.micros("ts").alias("at_us"), "value")
-    found = matching.surrounding(matching.regular_grid(keys, U, "at_us", 21_600_000_000), keys, U, "at_us", "value")
+    by_week = lambda at: F.floor(at / 604_800_000_000)
+    found = matching.surrounding(matching.regular_grid(keys, U, "at_us", 21_600_000_000), keys, U, "at_us", "value", by_week)
     return found.select("user_id", "at_us", r6(matching.interpolated(found, "at_us")).alias("value"))
 
 
@@ -435,11 +436,9 @@ WITH r AS (SELECT o_orderkey, s_suppkey, row_number() OVER (PARTITION BY o_order
   FROM orders JOIN supplier ON o_custkey % 25 = s_nationkey AND s_acctbal > 0)
 SELECT o_orderkey, s_suppkey FROM r WHERE k = 1""")
 def assign_worker(spark, sf_dir):
-    """Of the workers of a nation the choice is the same for each task, so one is kept before the join."""
     workers = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0)
-    best = workers.groupBy("s_nationkey").agg(F.min_by(F.struct("s_suppkey", "s_acctbal"), F.struct((F.col("s_acctbal") <= 5000).cast("int"), "s_acctbal", "s_suppkey")).alias("w")).select("s_nationkey", "w.*")
     tasks = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("codec"))
-    own = matching.best_worker(tasks, best, ["o_orderkey"], F.col("codec") == F.col("s_nationkey"), F.col("s_acctbal") > 5000, "s_acctbal", "s_suppkey")
+    own = matching.best_worker(tasks, workers, ["o_orderkey"], F.col("codec") == F.col("s_nationkey"), F.col("s_acctbal") > 5000, "s_acctbal", "s_suppkey")
     return own.select("o_orderkey", "s_suppkey")
 
 
@@ -641,11 +640,11 @@ def telecine(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT 0 AS f, event_id AS pts FROM events WHERE event_type = 'view' UNION ALL SELECT 1, event_id FROM events WHERE event_type = 'click' UNION ALL SELECT 2, event_id FROM events WHERE event_type = 'error'),
+WITH p AS (SELECT CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS f, event_id AS pts FROM events),
 l AS (SELECT f, max(pts + 1) AS len FROM p GROUP BY f), o AS (SELECT f, coalesce(sum(len) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l)
 SELECT f AS file_index, (pts + off)::BIGINT AS pts FROM p JOIN o USING (f)""")
 def concat_offset(spark, sf_dir):
-    parts = [events(spark, sf_dir).where(F.col("event_type") == k).select(F.col("event_id").alias("pts"), F.lit(1).cast("long").alias("duration")) for k in ("view", "click", "error")]
+    parts = [events(spark, sf_dir).where(F.col("event_type") == k).select(F.col("event_id").alias("pts"), F.lit(1).cast("long").alias("duration")) for k in ("view", "click", "error", "purchase", "signup")]
     return segments.concatenated(parts, "pts", "duration").select("file_index", "pts")
 
 
@@ -791,11 +790,12 @@ def timebase_rescale(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT event_id, event_id * 7 AS f, (event_id * 7) // 17982 AS tens, (event_id * 7) % 17982 AS rest FROM events),
-n AS (SELECT event_id, f, f + tens * 18 + CASE WHEN rest >= 1800 THEN (1 + (rest - 1800) // 1798) * 2 ELSE 0 END AS x FROM d)
-SELECT event_id, printf('%02d:%02d:%02d;%02d', (x // 108000) % 24, (x // 1800) % 60, (x // 30) % 60, x % 30) AS timecode, f AS back FROM n WHERE f < 2589408""")
+WITH d AS (SELECT event_id, (event_id * 12347) % 2589408 AS f, (event_id * 12347) // 17982 AS tens, (event_id * 12347) % 17982 AS rest FROM events),
+n AS (SELECT event_id, f, event_id * 12347 + tens * 18 + CASE WHEN rest >= 1800 THEN (1 + (rest - 1800) // 1798) * 2 ELSE 0 END AS x FROM d)
+SELECT event_id, printf('%02d:%02d:%02d;%02d', (x // 108000) % 24, (x // 1800) % 60, (x // 30) % 60, x % 30) AS timecode, f AS back FROM n""")
 def dropframe_roundtrip(spark, sf_dir):
-    own = events(spark, sf_dir).select("event_id", (F.col("event_id") * 7).alias("f")).where(F.col("f") < 2_589_408)
+    """Timecodes wrap after 24 hours, so the way back gives the frame of the day."""
+    own = events(spark, sf_dir).select("event_id", (F.col("event_id") * 12_347).alias("f"))
     coded = own.withColumn("timecode", timebase.drop_frame_timecode(F.col("f"), "29.97"))
     return coded.select("event_id", "timecode", timebase.drop_frame_to_frame(F.col("timecode"), "29.97").alias("back"))
 
@@ -927,22 +927,29 @@ def segment_names(spark, sf_dir):
 
 @query("""
 WITH s AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS q, (o_orderkey % 7 + 2)::DOUBLE AS d FROM orders)
-SELECT o_custkey, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:6' || chr(10) || '#EXT-X-TARGETDURATION:' || max(d)::BIGINT || chr(10) || '#EXT-X-MEDIA-SEQUENCE:0' || chr(10)
-  || string_agg(printf('#EXTINF:%.3f,', d) || chr(10) || printf('segment_%05d.ts', q), chr(10) ORDER BY q) || chr(10) || '#EXT-X-ENDLIST' || chr(10) AS playlist
+SELECT o_custkey, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || '#EXT-X-TARGETDURATION:' || max(d)::BIGINT || chr(10) || '#EXT-X-MEDIA-SEQUENCE:0' || chr(10) || '#EXT-X-PLAYLIST-TYPE:VOD' || chr(10) || '#EXT-X-MAP:URI="init.mp4"' || chr(10)
+  || string_agg(printf('#EXTINF:%.6f,', d) || chr(10) || printf('segment_%05d.ts', q), chr(10) ORDER BY q) || chr(10) || '#EXT-X-ENDLIST' AS playlist
 FROM s GROUP BY o_custkey""")
 def media_playlists(spark, sf_dir):
     own = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 7 + 2).cast("double").alias("duration"))
-    return render.media_playlist(render.segments(own, ["o_custkey"], "o_orderkey", "duration"), ["o_custkey"])
+    return render.media_playlist(render.segments(own, ["o_custkey"], "o_orderkey", "duration"), ["o_custkey"], kind="VOD", init="init.mp4")
 
 
 @query("""
 WITH b AS (SELECT * FROM (VALUES (5.0::DOUBLE, '5.0'), (50.0, '50.0'), (NULL, '+Inf')) AS t(le, t)),
 h AS (SELECT event_type, t, le, count(*) FILTER (le IS NULL OR value <= le) AS n, count(*) AS c FROM events CROSS JOIN b GROUP BY event_type, t, le)
 SELECT 'v_bucket{event_type="' || event_type || '",le="' || t || '"} ' || n AS line FROM h
-UNION ALL SELECT 'v_count{event_type="' || event_type || '"} ' || c FROM h WHERE le IS NULL""")
+UNION ALL SELECT 'v_count{event_type="' || event_type || '"} ' || c FROM h WHERE le IS NULL
+UNION ALL SELECT 'v_sum{event_type="' || event_type || '"} ' || sum(CAST(value AS DECIMAL(18, 0)))::BIGINT || '.0' FROM events GROUP BY event_type""")
 def exposition_lines(spark, sf_dir):
-    rows = metrics.histogram(events(spark, sf_dir), ["event_type"], "value", [5, 50])
-    return render.histogram_text(rows, "v", ["event_type"]).where(~F.col("line").startswith("v_sum"))
+    """Sums are of values rounded to whole numbers, so that both engines print them alike."""
+    own = events(spark, sf_dir)
+    sums = own.groupBy("event_type").agg(F.sum(F.round("value")).alias("sum"))
+    rows = metrics.histogram(own, ["event_type"], "value", [5, 50]).drop("sum").join(sums, "event_type")
+    lines = render.histogram_text(rows, "v", ["event_type"])
+    number = F.regexp_extract("line", r" (\S+)$", 1)
+    plain = F.concat(F.regexp_replace("line", r" \S+$", " "), number.cast("double").cast("decimal(20,1)").cast("string"))
+    return lines.select(F.when(F.col("line").startswith("v_sum"), plain).otherwise(F.col("line")).alias("line"))
 
 
 # Filters, models, streams in batch

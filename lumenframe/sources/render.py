@@ -52,13 +52,22 @@ def segments(df: DataFrame, by: Sequence[str], order: str, duration: str, name:
     return own.withColumn("start_time", start).withColumn("uri", F.format_string(f"{name}_%05d.{extension}", F.col("sequence")))
 
 
-def media_playlist(df: DataFrame, by: Sequence[str], ended: bool = True) -> DataFrame:
-    """M3U8 text of each rendition of segments(): its rows become one text."""
+def media_playlist(df: DataFrame, by: Sequence[str], ended: bool = True, kind: str | None = None, part_target: float | None = None, date: str | None = None, init: str | None = None) -> DataFrame:
+    """M3U8 text of each rendition of segments(): its rows become one text.
+
+    kind: VOD or EVENT; part_target: seconds of a partial segment; date: a column
+    with the rendition's start; init: the path of its initialisation segment.
+    """
     rows = F.array_sort(F.collect_list(F.struct("sequence", "duration", "uri")))
-    own = df.groupBy(*by).agg(rows.alias("__s"), F.ceil(F.max("duration")).alias("__t"), F.min("sequence").alias("__m"))
-    lines = F.transform("__s", lambda s: F.concat(F.format_string("#EXTINF:%.3f,\n", s["duration"]), s["uri"]))
-    head = F.format_string("#EXTM3U\n#EXT-X-VERSION:6\n#EXT-X-TARGETDURATION:%d\n#EXT-X-MEDIA-SEQUENCE:%d\n", F.col("__t"), F.col("__m"))
-    return own.select(*by, F.concat(head, F.array_join(lines, "\n"), F.lit("\n#EXT-X-ENDLIST\n" if ended else "\n")).alias("playlist"))
+    own = df.groupBy(*by).agg(rows.alias("__s"), F.ceil(F.max("duration")).alias("__t"), F.min("sequence").alias("__m"), *([F.min(date).alias("__d")] if date else []))
+    lines = [F.lit("#EXTM3U"), F.lit("#EXT-X-VERSION:7"), F.format_string("#EXT-X-TARGETDURATION:%d", F.col("__t")), F.format_string("#EXT-X-MEDIA-SEQUENCE:%d", F.col("__m"))]
+    lines += [F.lit(f"#EXT-X-PART-INF:PART-TARGET={part_target:.6f}")] if part_target is not None else []
+    lines += [F.lit(f"#EXT-X-PLAYLIST-TYPE:{kind}")] if kind else []
+    lines += [F.concat(F.lit("#EXT-X-PROGRAM-DATE-TIME:"), F.date_format("__d", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))] if date else []
+    lines += [F.lit(f'#EXT-X-MAP:URI="{init}"')] if init else []
+    parts = F.transform("__s", lambda s: F.concat(F.format_string("#EXTINF:%.6f,\n", s["duration"]), s["uri"]))
+    end = F.array(F.lit("#EXT-X-ENDLIST")) if ended else F.array().cast("array<string>")
+    return own.select(*by, F.array_join(F.concat(F.array(*lines), parts, end), "\n").alias("playlist"))
 
 
 def delta_playlist(df: DataFrame, by: Sequence[str], skip: int) -> DataFrame:
