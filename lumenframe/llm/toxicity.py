@@ -18,7 +18,7 @@ from lumenframe.llm.common import Shared, small_batches
 from lumenframe.llm.labelled import labelled_features, scorer_of, usable_labels, with_scores
 from lumenframe.session import table
 
-#: At most so many documents of each label are learnt from.
+#: At most so many documents of each label are learnt from; each sends the driver at most 2**BITS / 8 bytes, so all less than 100 MB.
 PER_CLASS = 1500
 #: Bytes in an n-gram of the lower-cased text with a blank at either end.
 SIZES = (3, 4, 5)
@@ -57,6 +57,21 @@ def _ngrams(raw: np.ndarray) -> np.ndarray:
     return own[np.concatenate([[True], own[1:] != own[:-1]])]
 
 
+def packed(features: np.ndarray) -> bytes:
+    """A text's features as they travel to the driver: at most 2**BITS / 8 bytes, a bit each where that is less."""
+    if 4 * len(features) < 1 << BITS - 3:
+        return b"n" + features.tobytes()
+    held = np.zeros(1 << BITS, bool)
+    held[features] = True
+    return b"b" + np.packbits(held).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    if raw[:1] == b"n":
+        return np.frombuffer(raw, np.uint32, offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=1))).astype(np.uint32)
+
+
 @dataclass
 class Model:
     """weighted: weight x ratio of each feature; squared: ratio squared; bias: log odds of an empty text."""
@@ -124,8 +139,8 @@ def fit_model(features: list[np.ndarray], y: np.ndarray, totals: dict[int, int])
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = PER_CLASS, modulus: int = MODULUS, held_out: int = HELD_OUT) -> Model:
     usable = usable_labels(labels, column, modulus, held_out)
-    raw, y, totals = labelled_features(docs, usable, per_class, lambda text: ngrams(text).tobytes())
-    return fit_model([np.frombuffer(r, np.uint32) for r in raw], y, totals)
+    raw, y, totals = labelled_features(docs, usable, per_class, lambda text: packed(ngrams(text)))
+    return fit_model([unpacked(r) for r in raw], y, totals)
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -97,3 +97,56 @@ def test_toxic_words_of_the_long_tail():
     model = toxicity.fit_model([text(int(label)) for label in y], y, {1: 300, 0: 600})
     found = {label: [1 / (1 + np.exp(-model.log_odds(text(label)))) >= toxicity.THRESHOLD for _ in range(200)] for label in (0, 1)}
     assert np.mean(found[1]) > 0.95 and np.mean(found[0]) < 0.02
+
+
+def test_features_travel_whole():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 8191, 8192, 100_000):
+        own = np.sort(rng.choice(1 << toxicity.BITS, n, replace=False)).astype(np.uint32)
+        raw = toxicity.packed(own)
+        assert np.array_equal(toxicity.unpacked(raw), own) and len(raw) <= 1 + (1 << toxicity.BITS) // 8
+
+
+def plain_ngrams(text):
+    """Hashed n-grams, one at a time."""
+    raw = b" " + text.encode().lower() + b" "
+    found = set()
+    for n in toxicity.SIZES:
+        for at in range(len(raw) - n + 1):
+            h = 0
+            for byte in raw[at : at + n]:
+                h = (h * 773 + byte + 1) % 2**32
+            found.add(((h ^ n * 77_777) * 2_654_435_761 % 2**32) >> 32 - toxicity.BITS)
+    return found
+
+
+def test_toxicity_against_a_plain_version():
+    """Ratios counted text by text, and scores summed feature by feature."""
+    texts = [f"w{i % 7} fine words {i % 5}" for i in range(40)] + [f"w{i % 7} vile words {i % 5}" for i in range(40)]
+    y = np.repeat([0.0, 1.0], 40)
+    model = toxicity.fit_model([toxicity.ngrams(t) for t in texts], y, {0: 40, 1: 40})
+    sets = [plain_ngrams(t) for t in texts]
+    held = {f: [sum(f in s for s, label in zip(sets, y, strict=True) if label == k) for k in (0, 1)] for f in set().union(*sets)}
+    for f, (clean, vile) in held.items():
+        ratio = np.log(((vile + 0.5) / 41) / ((clean + 0.5) / 41)) if clean + vile >= toxicity.LEAST_TEXTS else 0.0
+        assert model.squared[f] == pytest.approx(ratio * ratio, abs=1e-5)
+    for text in ("w1 vile words 2", "w1 fine words 2", "", "nothing known"):
+        own = plain_ngrams(text)
+        odds = model.bias + sum(float(model.weighted[f]) for f in own) / (1 + sum(float(model.squared[f]) for f in own)) ** 0.5
+        assert model.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-5)
+    assert model.scores(["w1 vile words 2"])[0] > 0.5 > model.scores(["w1 fine words 2"])[0]
+
+
+def test_quality_against_a_plain_vote():
+    """The nearest of all labelled vectors, found by sorting every cosine, vote one by one."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 30)) + "." for _ in range(40)] + [" ".join(["BUY NOW"] * int(rng.integers(3, 20))) for _ in range(40)]
+    y = np.repeat([1.0, 0.0], 40)
+    model = quality.fit_model(np.stack([quality.terms(t) for t in texts]), y, {0: 40, 1: 40})
+    for text in ("alpha beta gamma.", "BUY NOW BUY NOW", "alpha BUY NOW beta", ""):
+        latent = model.weighted(quality.terms(text)[None])[0].astype(float) @ model.axes.astype(float)
+        cosines = [float(np.dot(latent, v)) / max(float(np.linalg.norm(latent)), 1e-9) for v in model.vectors.astype(float)]
+        near = sorted(range(len(cosines)), key=lambda k: -cosines[k])[: quality.NEIGHBOURS]
+        votes = [max(cosines[k], 0.0) ** quality.POWER for k in near]
+        due = sum(v * y[k] for v, k in zip(votes, near, strict=True)) / sum(votes) if sum(votes) else model.base
+        assert model.scores([text])[0] == pytest.approx(due, abs=1e-3)
