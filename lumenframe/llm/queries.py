@@ -9,7 +9,7 @@ from lumenframe.llm.neardup import OP2_SQL, op2_neardup
 from lumenframe.llm.packing import op1_packing
 from lumenframe.llm.pii import op7_pii
 from lumenframe.llm.quality import op6_quality
-from lumenframe.llm.sharding import op8_sharding
+from lumenframe.llm.sharding import OP8_SQL, op8_sharding
 from lumenframe.llm.topk import OP5_SQL, op5_topk
 from lumenframe.llm.toxicity import op10_toxicity
 
@@ -30,5 +30,6 @@ ORACLE = {
     "op2_neardup": OP2_SQL,
     "op4_decontamination": OP4_SQL,
     "op5_topk": OP5_SQL,
+    "op8_sharding": OP8_SQL,
     "op9_licenses": OP9_SQL,
 }

@@ -101,7 +101,7 @@ def with_slots(df: DataFrame, shard: str, order: Sequence[str], name: str = "slo
     equal in `order` get their numbers in any order. The offsets are at most
     pieces x shards rows and are broadcast.
     """
-    piece = F.pmod(F.xxhash64(*order), F.lit(pieces)).cast("int")
+    piece = (F.conv(F.substring(F.md5(F.concat_ws("/", *order)), 1, 8), 16, 10).cast("long") % pieces).cast("int")
     pieced = df.withColumn("__piece", piece)
     counts = pieced.groupBy(F.col(shard).alias("__shard"), F.col("__piece").alias("__at")).agg(F.count("*").alias("__n"))
     before = W.partitionBy("__shard").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
@@ -129,3 +129,32 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def _sql_winner(level: str, weights: dict[int, float]) -> str:
+    draw = "-ln((('0x' || substr(md5(k || '/{level}/{name}'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656) / {weight}::DOUBLE"
+    draws = [f"{{'d': {draw.format(level=level, name=n, weight=weights[n])}, 'n': {n}}}" for n in sorted(weights)]
+    return str(next(iter(weights))) if len(weights) == 1 else f"list_sort([{', '.join(draws)}])[1].n"
+
+
+def _sql_shard(leaves: Sequence[Leaf], position: int = 0) -> str:
+    children = _grouped(leaves, position)
+    winner = _sql_winner(("region", "rack", "shard")[position], {n: sum(leaf[3] for leaf in own) for n, own in children.items()})
+    if position == 2:
+        return winner
+    return f"CASE {winner} " + " ".join(f"WHEN {n} THEN {_sql_shard(own, position + 1)}" for n, own in sorted(children.items())) + " END"
+
+
+def _sql_crc32(text: str) -> str:
+    """CRC-32 of a text's bytes, byte by byte over the usual table."""
+    table_of = [reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(8), i) for i in range(256)]
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, ({table_of}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_sql_crc32("coalesce(text, '')")} AS text_crc32 FROM documents),
+s AS (SELECT doc_id, size, text_crc32, ({_sql_shard(topology(8))})::INTEGER AS shard, ({_sql_shard(topology(9))})::INTEGER AS grown_shard,
+  ('0x' || substr(md5(concat_ws('/', doc_id, text_crc32, size)), 1, 8))::BIGINT % {SLOT_PIECES} AS piece FROM d)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY piece, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM s
+"""
