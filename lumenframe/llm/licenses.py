@@ -27,6 +27,8 @@ HOLDER_LINE = rf"(?m)^[ \t#*/;%-]*copyright(?:[ \t]*:[ \t]*|[ \t]+)(?!{_SPOKEN})
 #: A line of a copyright that goes on in the next: it ends in a comma or a joining word, or in a year with the holder alone below.
 WRAPPED_HOLDER = rf"(?mi)^([ \t#*/;%-]*(?:copyright|\(c\)|©)[ \t]*(?!\s*{_SPOKEN})[^\n]{{0,100}}?(?:(?:,|&|\b(?:and|the|of|by|for))(?=[ \t]*\n[^\n]{{1,80}}$)|[0-9]{{4}},?(?=[ \t]*\n[^\n]{{1,60}}\n[ \t#*/;%-]*$)))[ \t]*\n(?![^\n]*(?:licen[cs]e|permission|redistribution|provided))"
 RIGHTS_LINE = r"(?m)^[ \t#*/;%-]*all rights reserved\.?[ \t]*$"
+#: Up to so many known digests (some 100 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_DIGESTS = 200_000
 
 
 def plain(text: Column) -> Column:
@@ -74,15 +76,19 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     empty text, which is no licence. Rows of one doc_id are taken together: the
     smallest digest and licence, and the lines of all. A null doc_id is an id of
     its own. An empty table gives no rows. Other columns are not looked at.
+    known: (known_digest, license_id), one row a digest, of any size.
     """
-    known = known_digests(docs.sparkSession) if known is None else known
+    if known is None:
+        known = F.broadcast(known_digests(docs.sparkSession))
+    elif known.count() <= BROADCAST_DIGESTS:
+        known = F.broadcast(known)
     # Lines are made plain once; joined by blanks they are the plain form of the whole.
     lines = only(docs, "doc_id", "text").select("doc_id", F.transform(F.split(unwrapped(F.col("text")), "\n"), plain).alias("lines"))
     whole_text = F.array_join(F.array_remove("lines", ""), " ")
     own_lines = F.when(F.size("lines") > 1, F.col("lines")).otherwise(F.array().cast("array<string>"))
     units = lines.select("doc_id", F.posexplode(F.concat(F.array(whole_text), own_lines)).alias("unit", "text"))
     digested = units.select("doc_id", "unit", digest(F.col("text")).alias("digest"))
-    matched = digested.join(F.broadcast(known), F.col("digest") == F.col("known_digest"), "left").where((F.col("unit") == 0) | F.col("license_id").isNotNull())
+    matched = digested.join(known, F.col("digest") == F.col("known_digest"), "left").where((F.col("unit") == 0) | F.col("license_id").isNotNull())
     whole, line = F.col("unit") == 0, F.col("unit") > 0
     return matched.groupBy("doc_id").agg(
         F.min(F.when(whole, F.col("digest"))).alias("digest"),

@@ -2,6 +2,7 @@ import textwrap
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import with_clashes
 
 from lumenframe.llm import licenses
@@ -105,3 +106,12 @@ def test_full_texts_from_outside(spark):
 def test_usual_notices(spark):
     found = scan(spark, [(1, "x\nSPDX-License-Identifier: GPL-2.0\n// spdx-license-identifier: MPL-2.0"), (2, "This project is licensed under the MIT License."), (3, "x\nDistributed under the Boost Software License, Version 1.0.\n")])
     assert found[1]["notices"] == "GPL-2.0-only,MPL-2.0" and found[2]["license_id"] == "MIT" and found[3]["notices"] == "BSL-1.0"
+
+
+def test_callers_digests_of_any_size(spark, edge_docs, monkeypatch):
+    known = edge_docs.where("doc_id is not null").select(licenses.digest(licenses.plain(F.col("text"))).alias("known_digest"), F.col("doc_id").cast("string").alias("license_id")).groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
+    small = sorted(map(str, licenses.scan_licenses(edge_docs, known).collect()))
+    monkeypatch.setattr(licenses, "BROADCAST_DIGESTS", 0)
+    joined = licenses.scan_licenses(edge_docs, known)
+    assert "ResolvedHint" not in joined._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(str, joined.collect())) == small
