@@ -639,6 +639,17 @@ def telecine(spark, sf_dir):
     return segments.telecine(events(spark, sf_dir), U, ORDER).select("event_id", "field")
 
 
+@query(f"""
+WITH k AS (SELECT user_id, row_number() OVER ({W}) AS n, (event_id % 7) / 100 < 0.02 AS low FROM events), l AS (SELECT user_id, list(low ORDER BY n) AS low FROM k WHERE n <= 10 GROUP BY user_id),
+s AS (SELECT user_id, len(low) = 10 AS enough, list_filter(list_transform(range(6), lambda s: list_sum(list_transform(range(4), lambda i: CASE WHEN low[s + i + 2] = (i % 2 = 0) THEN 0.25::DOUBLE ELSE 0 END))), lambda x: x > 0.7) AS good FROM l),
+p AS (SELECT user_id, good, CASE WHEN enough THEN CASE WHEN len(good) > 0 THEN '2:2' ELSE 'none' END END AS pattern FROM s)
+SELECT user_id, pattern, CASE pattern WHEN '2:2' THEN good[1] WHEN 'none' THEN 0 END AS confidence, CASE pattern WHEN '2:2' THEN '24000/1001' WHEN 'none' THEN '24/1' END AS original_fps,
+  CASE pattern WHEN '2:2' THEN '48000/1001' WHEN 'none' THEN '24/1' END AS current_fps, CASE WHEN pattern IS NOT NULL THEN 0 END AS phase FROM p""")
+def telecine_patterns(spark, sf_dir):
+    own = events(spark, sf_dir).withColumn("difference", F.col("event_id") % 7 / 100)
+    return segments.telecine_pattern(own, U, ORDER, "difference")
+
+
 @query("""
 WITH p AS (SELECT CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS f, event_id AS pts FROM events),
 l AS (SELECT f, max(pts + 1) AS len FROM p GROUP BY f), o AS (SELECT f, coalesce(sum(len) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l)
@@ -969,7 +980,12 @@ def stream_selection(spark, sf_dir):
     return own.where(rules.stream_selector("0:a:1")).select("n_nationkey")
 
 
-@query()
+@query("""
+WITH RECURSIVE x AS (SELECT l_quantity / 50 AS q, l_discount AS d, l_extendedprice / 100000 AS y FROM lineitem),
+m AS (SELECT count(*)::DOUBLE AS n, sum(q) AS q, sum(d) AS d, sum(y) AS y, sum(q * q) AS qq, sum(q * d) AS qd, sum(d * d) AS dd, sum(q * y) AS qy, sum(d * y) AS dy FROM x),
+g AS (SELECT 0 AS i, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c UNION ALL
+  SELECT i + 1, a - (n * a + q * b + d * c - y) / n / 10, b - ((q * a + qq * b + qd * c - qy) / n + b / 1000) / 10, c - ((d * a + qd * b + dd * c - dy) / n + c / 1000) / 10 FROM g CROSS JOIN m WHERE i < 500)
+SELECT unnest([0, 1, 2]) AS place, round(unnest([a, b, c]), 6) AS weight FROM g WHERE i = 500""")
 def linreg_gd(spark, sf_dir):
     own = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("q"), F.col("l_discount").alias("d"), (F.col("l_extendedprice") / 100_000).alias("y"))
     weights = regression.fit(own, ["q", "d"], "y")
