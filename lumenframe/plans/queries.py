@@ -768,7 +768,13 @@ def cue_merge(spark, sf_dir):
     return rounded(recurrences.merged_cues(_cues(spark, sf_dir), "conv_id", "turn", 1500, 400), "confidence")
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE {_CUES},
+r AS (SELECT conv_id, turn, 0 AS part, start_ms AS s, end_ms AS e, text AS t, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM c
+  UNION ALL SELECT conv_id, turn, part + 1, s + (e - s) // 2, e, array_to_string(w[len(w) // 2 + 1:], ' '), w[len(w) // 2 + 1:] FROM r WHERE len(w) > 1 AND (e - s > 4000 OR octet_length(encode(t)) > 400)),
+h AS (SELECT *, len(w) > 1 AND (e - s > 4000 OR octet_length(encode(t)) > 400) AS long FROM r)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) - 1)::INTEGER AS idx, s AS start_ms, CASE WHEN long THEN s + (e - s) // 2 ELSE e END AS end_ms,
+  CASE WHEN long THEN array_to_string(w[:len(w) // 2], ' ') ELSE t END AS text, 1.0::DOUBLE / (turn + 1) AS confidence FROM h""")
 def cue_split(spark, sf_dir):
     return recurrences.split_cues(_cues(spark, sf_dir), "conv_id", "turn", 4000, 400)
 
@@ -871,7 +877,23 @@ def picture_flips(spark, sf_dir):
     return own.select("vec_id", arrays.flip_rows(F.col("d"), 8).alias("flipped"), arrays.transpose(F.col("d"), 8).alias("transposed"))
 
 
-@query()
+def _gradients_sql(d: str) -> str:
+    at = lambda *terms: " + ".join(f"{n} * {d}[i // 6 * 8 + i % 6 + {10 + k}]" for n, k in terms)
+    x, y = at((1, -7), (2, 1), (1, 9), (-1, -9), (-2, -1), (-1, 7)), at((1, 7), (2, 8), (1, 9), (-1, -9), (-2, -8), (-1, -7))
+    return f"list_transform(range(36), lambda i: sqrt(({x}) ** 2 + ({y}) ** 2))"
+
+
+@query(f"""
+WITH {_PAIRS}, c AS (SELECT vec_id, list_transform(a, lambda x: least(greatest(x + 128, 0), 255)) AS a, list_transform(b, lambda x: least(greatest(x + 128, 0), 255)) AS b FROM p),
+s AS (SELECT vec_id, list_sum(a) / 64 AS ma, list_sum(b) / 64 AS mb, list_sum(list_transform(a, lambda x: x * x)) / 64 AS aa, list_sum(list_transform(b, lambda x: x * x)) / 64 AS bb,
+  list_sum(list_transform(range(1, 65), lambda i: a[i] * b[i])) / 64 AS ab, {_gradients_sql("a")} AS ga, {_gradients_sql("b")} AS gb FROM c),
+m AS (SELECT *, aa - ma * ma AS va, bb - mb * mb AS vb, ab - ma * mb AS cov, aa - 2 * ab + bb AS mse, (0.01::DOUBLE * 255) ** 2 AS c1, (0.03::DOUBLE * 255) ** 2 AS c2 FROM s),
+g AS (SELECT *, CASE WHEN va > 1e-10 THEN cov / va ELSE 0 END AS gain FROM m),
+q AS (SELECT vec_id, (2 * ma * mb + c1) / (ma * ma + mb * mb + c1) * (2 * cov + c2) / (va + vb + c2) AS ssim,
+  CASE WHEN va > 0 THEN least(greatest(log2(1 + gain * gain * va / (greatest(vb - gain * cov, 0) + 2)) / log2(1 + va / 2), 0), 1) ELSE 1 END AS vif,
+  CASE WHEN list_sum(ga) > 0 THEN least(list_sum(list_transform(range(1, 37), lambda i: least(ga[i], gb[i]))) / list_sum(ga), 1) ELSE 1 END AS dlm,
+  CASE WHEN mse = 0 THEN 1 ELSE least(greatest((10 * log10(65025 / mse) - 20) / 30, 0), 1) END AS of_psnr FROM g)
+SELECT vec_id, round(ssim, 6) AS ssim, round(45 * vif + 35 * dlm + 15 * ssim + 5 * of_psnr, 6) AS vmaf FROM q""")
 def picture_quality(spark, sf_dir):
     """SSIM and the combined score of neighbouring pictures of 8 x 8."""
     own = _pairs(spark, sf_dir).withColumns({c: F.transform(c, lambda x: F.least(F.greatest(x + 128, F.lit(0)), F.lit(255)).cast("double")) for c in ("data", "data_dist")})
