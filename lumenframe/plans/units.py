@@ -376,7 +376,10 @@ def track_selection(spark, sf_dir):
     return own.where(rules.track_selector({"audio": [1, 2, 3, 18]}, "en", 800)).select("n_nationkey")
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, event_id AS arrival, event_id + event_id * 7919 % 1500 AS "at" FROM events), m AS (SELECT *, max("at") OVER (PARTITION BY user_id ORDER BY arrival) AS latest FROM e),
+t AS (SELECT user_id, latest, min(arrival) AS since FROM m GROUP BY user_id, latest), o AS (SELECT e.*, CASE WHEN t.since IS NOT NULL THEN greatest(t.since, e.arrival) END AS step FROM e ASOF LEFT JOIN t ON e.user_id = t.user_id AND e."at" + 2000 <= t.latest)
+SELECT user_id, arrival, "at", row_number() OVER (PARTITION BY user_id ORDER BY step NULLS LAST, "at", arrival) - 1 AS released FROM o""")
 def jitter_order(spark, sf_dir):
     """Events of a user by a time that is only nearly that of their arrival, out of a buffer 2,000 deep."""
     own = events(spark, sf_dir).select("user_id", F.col("event_id").alias("arrival"), (F.col("event_id") + F.pmod(F.col("event_id") * 7919, F.lit(1500))).alias("at"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenframe import session
 from lumenframe.functions import options, timebase
-from lumenframe.operators import loudness, matching, ranks, reads, recurrences, selection
+from lumenframe.operators import loudness, matching, ranks, reads, recurrences, selection, segments
 from lumenframe.sources import render
 
 
@@ -138,3 +138,15 @@ def test_reads_of_nothing(spark):
     none = spark.createDataFrame([], "k long, s long, p long")
     assert reads.last_parts(none, ["k"], "s", "p").count() == 0
     assert reads.cache_stats(none, F.col("p")).first().asDict() == {"streams": 0, "bytes": 0}
+
+
+def test_telecine_pattern(spark):
+    alternating = [0.5] + [0.0, 0.4] * 5
+    late = [0.5] * 5 + [0.0, 0.4, 0.01, 0.4, 0.5, 0.5, 0.5]
+    streams = {"film": alternating, "late": late, "three of four": [None, 0.0, 0.4, 0.4, 0.4, 0.4, 0.4, 0.4, 0.4, 0.4], "video": [0.3] * 30, "edge": [None, 0.02, 0.4, 0.02, 0.4] * 2, "short": alternating[:9]}
+    rows = [(name, i, d) for name, differences in streams.items() for i, d in enumerate(differences)]
+    found = {r["s"]: r for r in segments.telecine_pattern(spark.createDataFrame(rows, "s string, i int, d double"), ["s"], ["i"], "d").collect()}
+    assert {s: (r["pattern"], r["confidence"]) for s, r in found.items()} == {"film": ("2:2", 1.0), "late": ("2:2", 0.75), "three of four": ("2:2", 0.75), "video": ("none", 0.0), "edge": ("none", 0.0), "short": (None, None)}
+    assert (found["film"]["original_fps"], found["film"]["current_fps"], found["film"]["phase"]) == ("24000/1001", "48000/1001", 0)
+    empty = segments.telecine_pattern(spark.createDataFrame([], "s string, i int, d double"), ["s"], ["i"], "d")
+    assert empty.count() == 0
