@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import arrays
@@ -234,5 +234,12 @@ def supported_share(chain: list[Filter]) -> float:
     return sum(f.name in REGISTRY for f in chain) / len(chain) if chain else 1.0
 
 
+def supported_share_of(text: Column) -> Column:
+    """supported_share of a column of filter texts; commas in quotes or brackets don't part filters."""
+    names = F.regexp_extract_all(F.regexp_replace(text, r"\\.|'[^']*'|\[[^\]]*\]|\([^)]*\)", ""), F.lit(r"(?:^|[,;])\s*([A-Za-z_0-9]+)"), F.lit(1))
+    known = F.filter(names, lambda n: n.isin(*REGISTRY))
+    return F.when(F.size(names) > 0, F.size(known) / F.size(names)).otherwise(1.0)
+
+
 def rate_converted(df: DataFrame, source: float, target: float) -> DataFrame:
     return drop_duplicate(df, ["stream"], ["frame"], target / source)

@@ -164,6 +164,46 @@ def deinterlaced(a: np.ndarray, keep_top: bool = True) -> np.ndarray:
     return out
 
 
+def edge_directed(cur: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None, keep_top: bool = True, spatial: bool = True) -> np.ndarray:
+    """Rows of one field, the others from the frames before and after or along edges within the frame.
+
+    Samples are whole numbers. A missing neighbour frame counts as this frame. A
+    sample follows time (the rounded mean of both neighbours, held within those
+    around it) unless the mean of the rows next to it is farther from the spatial
+    guess than anything has moved. The spatial guess is the rounded mean of two
+    samples two rows up and down, on the line through the place (straight or either
+    diagonal) whose ends are nearest; straight wins ties, then the right diagonal.
+    """
+    c = np.asarray(cur, np.int64)
+    h, w = c.shape
+    p, n = (c if x is None else np.asarray(x, np.int64) for x in (before, after))
+    y, left, right = np.arange(h), np.maximum(np.arange(w) - 1, 0), np.minimum(np.arange(w) + 1, w - 1)
+    time = (p + n + 1) >> 1
+    guess = time
+    if spatial:
+        far = c[np.where(y >= 2, y - 2, 0 if keep_top else 1)], c[np.where(y + 2 < h, y + 2, h - 1 if keep_top else h - 2)]
+        lines = [(far[0], far[1]), (far[0][:, right], far[1][:, left]), (far[0][:, left], far[1][:, right])]
+        best = np.argmin([abs(a - b) for a, b in lines], axis=0)
+        inner = np.choose(best, [(a + b + 1) >> 1 for a, b in lines])
+        d, e = c[np.maximum(y - 1, 0)], c[np.minimum(y + 1, h - 1)]
+        moved = np.maximum.reduce([abs(d - p), abs(e - n), abs(c - time)])
+        held = np.clip(time, np.minimum.reduce([d, e, p, n]), np.maximum.reduce([d, e, p, n]))
+        guess = np.where(abs((d + e) // 2 - inner) > moved, inner, held)
+    kept = (y % 2 == 0) == keep_top
+    return np.where(kept[:, None], c, guess)
+
+
+def picture_kernel(kernel, kind: str = "array<double>"):
+    """A Column function (pictures..., width) -> array of a numpy function of pictures; a null picture gives null."""
+
+    @F.pandas_udf(kind)
+    def own(*columns: pd.Series) -> pd.Series:
+        rows = zip(*columns, strict=True)
+        return pd.Series([None if any(x is None for x in r[:-1]) else np.asarray(kernel(*[picture(x, r[-1]) for x in r[:-1]])).ravel().tolist() for r in rows])
+
+    return own
+
+
 def pair_metric(metric, width_places: int = 2):
     """A Column function (reference, distorted, width) -> double of a numpy metric of two pictures."""
 

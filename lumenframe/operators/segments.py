@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -99,6 +100,33 @@ def concatenated(parts: Sequence[DataFrame], pts: str, duration: str) -> DataFra
     return rows.join(F.broadcast(offsets), "file_index").withColumn(pts, F.col(pts) + F.col("offset"))
 
 
+def incompatible_streams(streams: DataFrame, strict: bool = False) -> DataFrame:
+    """(file_index, stream_index, problem, expected, found) of streams that don't fit those of file 0.
+
+    streams: file_index, stream_index, track_type, codec, width, height, sample_rate,
+    channels. A file's number of streams is compared first (stream_index null); one
+    that differs there is not compared further. Then type and codec; strict adds the
+    size of pictures and the rate and channels of sound. Nulls are compared as values
+    in type and codec; elsewhere a null on either side fits anything. Each stream has
+    its first problem alone.
+    """
+    counts = streams.groupBy("file_index").agg(F.count("*").alias("__n"))
+    expected = counts.where(F.col("file_index") == 0).select(F.col("__n").alias("__e"))
+    sized = counts.where(F.col("file_index") != 0).join(F.broadcast(expected), how="left")  # one row
+    apart = ~F.col("__n").eqNullSafe(F.col("__e"))
+    text = lambda c: c.cast("string")
+    missing = sized.where(apart).select("file_index", F.lit(None).cast(dict(streams.dtypes)["stream_index"]).alias("stream_index"), F.lit("stream count").alias("problem"), text(F.coalesce("__e", F.lit(0))).alias("expected"), text(F.col("__n")).alias("found"))
+    first, other = streams.where(F.col("file_index") == 0).alias("a"), streams.where(F.col("file_index") != 0).join(sized.where(~apart).select("file_index"), "file_index", "left_semi").alias("b")
+    both = other.join(first, "stream_index")
+    size = lambda side: F.concat_ws("x", text(F.col(f"{side}.width")), text(F.col(f"{side}.height")))
+    differ = lambda *names: reduce(lambda x, y: x | y, [F.coalesce(F.col(f"a.{n}") != F.col(f"b.{n}"), F.lit(False)) for n in names])
+    rules = [(f"{n}", ~F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")), F.col(f"a.{n}"), F.col(f"b.{n}")) for n in ("track_type", "codec")]
+    if strict:
+        rules += [("resolution", differ("width", "height"), size("a"), size("b")), *[(n, differ(n), text(F.col(f"a.{n}")), text(F.col(f"b.{n}"))) for n in ("sample_rate", "channels")]]
+    found = F.coalesce(*[F.when(wrong, F.struct(F.lit(name).alias("problem"), a.alias("expected"), b.alias("found"))) for name, wrong, a, b in rules])
+    return missing.unionAll(both.select(F.col("b.file_index"), "stream_index", found.alias("p")).where("p is not null").select("file_index", "stream_index", "p.*"))
+
+
 def train_split(df: DataFrame, order: Sequence[str], share: float) -> DataFrame:
     """is_train: the first floor(n share) rows of the order, found without a global window."""
     from lumenframe.operators.ranks import with_rank

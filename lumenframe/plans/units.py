@@ -127,13 +127,27 @@ def json_export_rows(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT o_custkey, o_orderkey, o_orderkey * 1000 AS bw FROM orders)
-SELECT o_custkey, '#EXTM3U' || chr(10) || string_agg(printf('#EXT-X-STREAM-INF:BANDWIDTH=%d,RESOLUTION=%dx%d', bw, 1280, 720) || chr(10) || 'v' || o_orderkey || '.m3u8', chr(10) ORDER BY bw DESC) || chr(10) AS playlist,
-  '<?xml version="1.0"?>' || chr(10) || '<MPD><Period><AdaptationSet>' || string_agg(printf('<Representation bandwidth="%d" width="%d" height="%d"/>', bw, 1280, 720), '' ORDER BY bw) || '</AdaptationSet></Period></MPD>' AS manifest
-FROM v GROUP BY o_custkey""")
+WITH v AS (SELECT o_custkey, o_orderkey, o_orderkey * 1000 AS bw, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders),
+p AS (SELECT o_custkey, string_agg(printf('#EXT-X-STREAM-INF:BANDWIDTH=%d,%sRESOLUTION=1280x720,FRAME-RATE=%s,CODECS="avc1.640028"%s', bw, CASE WHEN o_orderkey % 2 = 0 THEN printf('AVERAGE-BANDWIDTH=%d,', o_orderkey * 900) ELSE '' END,
+  '25.000', CASE WHEN o_orderkey % 3 = 0 THEN ',AUDIO="aac"' ELSE '' END) || chr(10) || 'v' || o_orderkey || '.m3u8', chr(10) ORDER BY bw DESC) AS variants,
+  string_agg(printf('      <Representation id="%d" bandwidth="%d" codecs="avc1.640028" width="1280" height="720" frameRate="25"/>', k, bw) || chr(10), '' ORDER BY bw) AS reps, max(o_orderkey % 100) + 0.5::DOUBLE AS s FROM v GROUP BY o_custkey)
+SELECT o_custkey, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || '#EXT-X-INDEPENDENT-SEGMENTS' || chr(10) || CASE WHEN o_custkey % 2 = 0 THEN '#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="aac",NAME="Main",LANGUAGE="en",DEFAULT=YES,URI="a' || o_custkey || '.m3u8"' || chr(10) ELSE '' END || variants AS playlist,
+  '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<MPD xmlns="urn:mpeg:dash:schema:mpd:2011"' || chr(10) || '     xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"' || chr(10)
+  || '     xsi:schemaLocation="urn:mpeg:dash:schema:mpd:2011 DASH-MPD.xsd"' || chr(10) || '     type="static"' || chr(10) || '     profiles="urn:mpeg:dash:profile:isoff-on-demand:2011"' || chr(10) || '     minBufferTime="PT2.0S"' || chr(10)
+  || printf('     mediaPresentationDuration="PT%.3fS"', s) || chr(10) || '>' || chr(10) || printf('  <Period id="0" start="PT0.000S" duration="PT%.3fS">', s) || chr(10)
+  || '    <AdaptationSet id="0" mimeType="video/mp4" codecs="avc1.640028" contentType="video" segmentAlignment="true">' || chr(10) || '      <SegmentTemplate timescale="90000" duration="540000" startNumber="1"' || chr(10)
+  || '                        initialization="init_$RepresentationID$.mp4" media="segment_$RepresentationID$_$Number$.m4s"/>' || chr(10) || reps || '    </AdaptationSet>' || chr(10) || '  </Period>' || chr(10) || '</MPD>' || chr(10) AS manifest
+FROM p""")
 def master_playlists(spark, sf_dir):
-    own = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") * 1000).alias("bandwidth"), F.lit(1280).alias("width"), F.lit(720).alias("height"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string"), F.lit(".m3u8")).alias("uri"))
-    return render.master_playlist(own, ["o_custkey"]).join(render.manifest_xml(own, ["o_custkey"]), "o_custkey")
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    own = table(spark, sf_dir, "orders").select(
+        "o_custkey", (key * 1000).alias("bandwidth"), F.when(key % 2 == 0, key * 900).alias("average_bandwidth"), F.lit(1280).alias("width"), F.lit(720).alias("height"), F.concat(F.lit("v"), key.cast("string"), F.lit(".m3u8")).alias("uri"),
+        F.lit("avc1.640028").alias("codecs"), F.when(key % 3 == 0, "aac").alias("audio_group"), (key % 100 + 0.5).alias("seconds"),
+    )
+    tracks = table(spark, sf_dir, "orders").where(customer % 2 == 0).groupBy("o_custkey").agg(F.lit("aac").alias("group_id"))
+    audio = tracks.select("o_custkey", "group_id", F.lit("Main").alias("name"), F.lit("en").alias("language"), F.lit(True).alias("is_default"), F.lit(False).alias("autoselect"), F.concat(F.lit("a"), customer.cast("string"), F.lit(".m3u8")).alias("uri"))
+    playlists = render.master_playlist(own.withColumn("frame_rate", F.lit(25.0)), ["o_custkey"], audio)
+    return playlists.join(render.manifest_xml(own.withColumn("frame_rate", F.lit("25")), ["o_custkey"], "seconds"), "o_custkey")
 
 
 @query("""

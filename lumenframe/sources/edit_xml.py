@@ -26,15 +26,17 @@ def _tag(text: Column, name: str) -> Column:
 
 
 def parse_edit_xml(df: DataFrame, key: str, text: str, default_rate: float = 30.0) -> DataFrame:
-    """(key, place, source, source_in, source_out, record_in, record_out) of each clip item, times in seconds.
+    """(key, title, place, source, source_in, source_out, record_in, record_out) of each clip item, times in seconds.
 
-    The frame rate is that of the first timebase. Missing numbers are 0.
+    The title is the name that the sequence has before its media; '' for none. The
+    frame rate is that of the first timebase. Missing numbers are 0.
     """
     rate = F.coalesce(_tag(F.col(text), "timebase").try_cast("double"), F.lit(float(default_rate)))
-    items = F.regexp_extract_all(F.col(text), F.lit(r"(?s)<clipitem>(.*?)</clipitem>"), F.lit(1))
-    rows = df.select(key, rate.alias("__rate"), F.posexplode(items).alias("place", "__item"))
+    items = F.regexp_extract_all(F.col(text), F.lit(r"(?s)<clipitem[^>]*>(.*?)</clipitem>"), F.lit(1))
+    head = F.regexp_extract(F.col(text), r"(?s)<sequence[^>]*>(.*?)(?:<media>|</sequence>)", 1)
+    rows = df.select(key, unescaped(_tag(head, "name")).alias("title"), rate.alias("__rate"), F.posexplode(items).alias("place", "__item"))
     seconds = lambda name: F.coalesce(_tag(F.col("__item"), name).try_cast("long"), F.lit(0)) / F.col("__rate")
-    return rows.select(key, "place", unescaped(_tag(F.col("__item"), "name")).alias("source"), seconds("in").alias("source_in"), seconds("out").alias("source_out"), seconds("start").alias("record_in"), seconds("end").alias("record_out"))
+    return rows.select(key, "title", "place", unescaped(_tag(F.col("__item"), "name")).alias("source"), seconds("in").alias("source_in"), seconds("out").alias("source_out"), seconds("start").alias("record_in"), seconds("end").alias("record_out"))
 
 
 def edit_xml(edits: DataFrame, key: str, order: str, rate: float) -> DataFrame:
