@@ -190,10 +190,6 @@ def may_follow(state: Column, following: Column) -> Column:
     return chain
 
 
-#: Base CRF, base kbps and the range of kbps of each resolution category; fixed values.
-RATE_TABLE = {"Low": (28.0, 500, 200, 800), "Sd480P": (26.0, 1500, 500, 2000), "Hd720P": (24.0, 3000, 1500, 5000), "Fhd1080P": (23.0, 5000, 3000, 10_000), "Uhd4K": (22.0, 15_000, 10_000, 40_000)}
-#: Efficiency of codecs against the first generation, 1 for others; fixed values.
-CODEC_FACTORS = {"av1": 1.4, "hevc": 1.3, "h265": 1.3, "vp9": 1.25, "vp8": 0.9, "mpeg2": 0.6}
 #: Weights of spatial and temporal complexity, motion, detail and grain; fixed values.
 COMPLEXITY_WEIGHTS = (0.3, 0.3, 0.15, 0.15, 0.1)
 
@@ -202,22 +198,3 @@ def content_complexity(*parts: Column) -> Column:
     """Weighted mean of spatial and temporal complexity, motion, detail and grain, within 0 to 1."""
     total = sum((p * w for p, w in zip(parts[1:], COMPLEXITY_WEIGHTS[1:], strict=True)), parts[0] * COMPLEXITY_WEIGHTS[0])
     return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
-
-
-def encoding_prediction(width: Column, height: Column, rate: Column, codec: Column, target: Column, complexity: Column) -> Column:
-    """Rule-based struct(crf, kbps, min_kbps, max_kbps, vmaf) for a title.
-
-    The CRF moves from the category's base with complexity (2 either way) and with
-    the target score (half a step a point from 93); kbps double every 6 steps of it.
-    Codecs are compared without case.
-    """
-    category = resolution_category(width, height)
-    of = lambda place: F.coalesce(*[F.when(category == name, F.lit(row[place])) for name, row in RATE_TABLE.items()])
-    factor = F.coalesce(*[F.when(F.lower(codec) == name, F.lit(f)) for name, f in CODEC_FACTORS.items()], F.lit(1.0))
-    within = lambda c, low, high: F.least(F.greatest(c, low), high)
-    crf = within(of(0) - (complexity - 0.5) * 4 - (target - 93) * 0.5, F.lit(15.0), F.lit(35.0))
-    kbps = F.greatest((of(1) * F.pow(F.lit(2.0), (of(0) - crf) / 6) * (1 / factor)).cast("long"), F.lit(100))
-    held = lambda share: within((kbps * share).cast("long"), of(2).cast("long"), of(3).cast("long"))
-    bits = kbps * 1000.0 / (width.cast("long") * height * rate)
-    vmaf = within(70 + F.least(bits * 500, F.lit(25.0)) - complexity * 5, F.lit(40.0), F.lit(100.0))
-    return F.struct(crf.alias("crf"), held(1.0).alias("kbps"), held(0.6).alias("min_kbps"), held(1.5).alias("max_kbps"), vmaf.alias("vmaf"))

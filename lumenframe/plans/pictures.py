@@ -178,8 +178,8 @@ def encoding_predictions(spark, sf_dir):
     width, height = (k % 4000).cast("int") + 1, F.call_function("div", k % 4000 * 9, F.lit(16)).cast("int") + 1
     codec = F.get(F.array(*[F.lit(c) for c in ("h264", "HEVC", "av1", "vp9", "vp8", "mpeg2", "x")]), (k % 7).cast("int"))
     complexity = scores.content_complexity(s, s, F.lit(0.5), s, F.lit(0.25))
-    made = scores.encoding_prediction(width, height, F.lit(25.0), codec, 80.0 + k % 20, complexity)
-    return rounded(events(spark, sf_dir).select("event_id", made.alias("p")).select("event_id", "p.*"), "crf", "vmaf")
+    made = regression.with_encoding_prediction(events(spark, sf_dir), width, height, F.lit(25.0), codec, 80.0 + k % 20, complexity)
+    return rounded(made.select("event_id", "crf", "kbps", "min_kbps", "max_kbps", "vmaf"), "crf", "vmaf")
 
 
 @query("""

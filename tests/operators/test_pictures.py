@@ -4,8 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.functions import scores
-from lumenframe.operators import filters, kernels, segments
+from lumenframe.operators import filters, kernels, regression, segments
 from lumenframe.sources import edit_xml, render, streams
 
 
@@ -48,7 +47,7 @@ def test_null_pictures(spark):
 
 def test_prediction_bounds(spark):
     df = spark.createDataFrame([(3840, 2160, "AV1", 100.0, 1.0), (320, 240, "none", 60.0, 0.0), (1920, 1080, None, 93.0, 0.5)], "w int, h int, codec string, target double, complexity double")
-    rows = [r["p"] for r in df.select(scores.encoding_prediction(F.col("w"), F.col("h"), F.lit(30.0), F.col("codec"), F.col("target"), F.col("complexity")).alias("p")).collect()]
+    rows = regression.with_encoding_prediction(df, F.col("w"), F.col("h"), F.lit(30.0), F.col("codec"), F.col("target"), F.col("complexity")).collect()
     assert [r["crf"] for r in rows] == [16.5, 35.0, 23.0]
     assert rows[2]["kbps"] == 5000 and rows[2]["min_kbps"] == 3000 and rows[2]["max_kbps"] == 7500
     assert all(200 <= r["min_kbps"] <= r["kbps"] <= r["max_kbps"] <= 40_000 and 40 <= r["vmaf"] <= 100 for r in rows)
