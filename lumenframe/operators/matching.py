@@ -106,15 +106,24 @@ def mapped_streams(packets: DataFrame, mapping: DataFrame) -> DataFrame:
     return packets.join(first, packets["stream_index"] == first["source_index"]).drop("source_index")
 
 
-def best_worker(tasks: DataFrame, workers: DataFrame, by: Sequence[str], eligible: Column, preferred: Column, load: str, tie: str) -> DataFrame:
+def best_worker(tasks: DataFrame, workers: DataFrame, by: Sequence[str], eligible: Column, preferred: Column, load: str, tie: str, needs: Sequence[str] | None = None) -> DataFrame:
     """For each task the eligible worker: preferred ones first, then the least load, then `tie`.
 
-    The join is on the eligibility's equalities; a task's candidates are reduced
-    to the best before the shuffle. Nulls of load and tie come first.
+    The join is on the eligibility's equalities. needs: the columns of tasks that
+    `eligible` and `preferred` read, all if not given; tasks alike in them have the
+    same worker, so the choice among all workers is made once for each different
+    one and joined to the tasks, and no task meets every worker. Nulls of load
+    and tie come first.
     """
-    rows = tasks.join(workers, eligible)
+    needed = list(tasks.columns if needs is None else needs)
+    kinds = tasks.select(*needed).distinct()
     order = F.struct((~F.coalesce(preferred, F.lit(False))).alias("p"), F.col(load), F.col(tie))
-    return rows.groupBy(*by).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns]), order).alias("__best")).select("__best.*")
+    worker = F.struct(*[F.col(c) for c in workers.columns])
+    best = kinds.join(workers, eligible).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(needed)], worker.alias("__worker"), order.alias("__order"))
+    best = best.groupBy(*[f"__k{i}" for i in range(len(needed))]).agg(F.min_by("__worker", "__order").alias("__worker"), F.min("__order").alias("__order"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(needed)])
+    rows = tasks.join(best, same).select(F.struct(*[F.col(c) for c in tasks.columns], "__worker.*").alias("__best"), "__order", *by)
+    return rows.groupBy(*by).agg(F.min_by("__best", "__order").alias("__best")).select("__best.*")
 
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:

@@ -4,7 +4,9 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from lumenframe.operators import matching
 from lumenframe.plans.queries import ORACLE, QUERIES
 
 
@@ -48,3 +50,19 @@ def test_momentary_loudness_of_silence_and_odd_values(spark, against_sql):
     """A stream that starts silent, so that its first levels are minus infinity, and one of odd values."""
     rows = [(1, "view", v) for v in (0.0, 0.0, 1.17, 0.0, 0.0, 0.0, 0.0, 0.0)] + [(2, "view", v) for v in ODD_VALUES]
     assert against_sql("momentary_loudness", events=events(spark, rows)) == ([], [])
+
+
+def test_best_worker_chooses_once_for_tasks_alike(spark):
+    """Preference is asked for (kind, worker), not (task, worker); tasks without a worker are left out, null kinds may have one."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def big(load):
+        asked.add(1)
+        return load is not None and load > 50
+
+    kinds = [None, "a", "b", "none"]
+    tasks = spark.createDataFrame([(i, kinds[i % 4]) for i in range(4000)], "task long, kind string")
+    workers = spark.createDataFrame([(1, "a", 60.0), (2, "a", 10.0), (3, "b", 10.0), (4, "b", 10.0), (5, None, 99.0)], "worker long, skill string, load double")
+    found = matching.best_worker(tasks, workers, ["task"], F.col("kind").eqNullSafe(F.col("skill")), F.udf(big, "boolean")("load"), "load", "worker", ["kind"])
+    assert {(r["task"], r["worker"]) for r in found.collect()} == {(i, {None: 5, "a": 1, "b": 3}[kinds[i % 4]]) for i in range(4000) if i % 4 < 3}
+    assert 5 <= asked.value <= 20
