@@ -25,20 +25,21 @@ def skyline(df: DataFrame, cost: str, value: str, tie: str, by: Sequence[str] =
     The values are first reduced to one a cost. Without `by` the costs are dealt
     to ranges, each range has its own running maximum, and the greatest value of
     the ranges before is carried into it; no task sees all costs. Rows of one
-    cost are compared in a window of their own.
+    cost are compared in a window of their own. With `by`, each group has its own
+    skyline, from one window over its rows and no join.
     """
-    best = df.groupBy(*by, cost).agg(F.max(value).alias("__best"))
     earlier = (W.unboundedPreceding, -1)
     if by:
-        cheaper = best.select(*by, cost, F.max("__best").over(W.partitionBy(*by).orderBy(cost).rowsBetween(*earlier)).alias("__cheaper"))
-    else:
-        dealt = materialize(in_ranges(best, [cost]), "skyline")
-        ranges = dealt.groupBy("__range").agg(F.max("__best").alias("__most"))
-        carried = ranges.select(F.col("__range").alias("__at"), F.max("__most").over(W.orderBy("__range").rowsBetween(*earlier)).alias("__carried"))
-        inside = dealt.withColumn("__inside", F.max("__best").over(W.partitionBy("__range").orderBy(cost).rowsBetween(*earlier)))
-        cheaper = inside.join(F.broadcast(carried), F.col("__range") == F.col("__at")).select(cost, F.greatest("__inside", "__carried").alias("__cheaper"))
-    own = W.partitionBy(*by, cost).orderBy(tie).rowsBetween(*earlier)
-    seen = df.withColumn("__own", F.max(value).over(own)).join(cheaper, [*by, cost])
+        before = F.max(value).over(W.partitionBy(*by).orderBy(cost, tie).rowsBetween(*earlier))
+        return df.withColumn("__before", before).where(F.coalesce(F.col(value) > F.col("__before"), F.lit(True))).drop("__before")
+    best = df.groupBy(cost).agg(F.max(value).alias("__best"))
+    dealt = materialize(in_ranges(best, [cost]), "skyline")
+    ranges = dealt.groupBy("__range").agg(F.max("__best").alias("__most"))
+    carried = ranges.select(F.col("__range").alias("__at"), F.max("__most").over(W.orderBy("__range").rowsBetween(*earlier)).alias("__carried"))
+    inside = dealt.withColumn("__inside", F.max("__best").over(W.partitionBy("__range").orderBy(cost).rowsBetween(*earlier)))
+    cheaper = inside.join(F.broadcast(carried), F.col("__range") == F.col("__at")).select(cost, F.greatest("__inside", "__carried").alias("__cheaper"))
+    own = W.partitionBy(cost).orderBy(tie).rowsBetween(*earlier)
+    seen = df.withColumn("__own", F.max(value).over(own)).join(cheaper, [cost])
     return seen.where(F.coalesce(F.col(value) > F.greatest("__own", "__cheaper"), F.lit(True))).drop("__own", "__cheaper")
 
 
@@ -112,7 +113,8 @@ def ladder(profiles: DataFrame, key: str) -> DataFrame:
     wanted = F.least(F.greatest(F.col("__n"), F.lit(FEWEST_RUNGS)), F.lit(MOST_RUNGS), F.col("__n"))
     rungs = front.where(F.floor(F.ceil(F.col("__at") * wanted / F.col("__n")) * F.col("__n") / wanted) == F.col("__at"))
     static = _ladder_sizes(profiles, key, "fps", "source_pixels").groupBy(key).agg(F.sum(_base_kbps(F.col("pixels"), F.col("fps"))).alias("__static"))
-    rungs = rungs.withColumn("__sum", F.sum("kbps").over(whole)).join(static, key)
+    # Both sides grow with the profiles, however small Spark estimates them, so neither is broadcast.
+    rungs = rungs.withColumn("__sum", F.sum("kbps").over(whole)).join(static.hint("merge"), key)
     savings = F.greatest(F.when(F.col("__static") > 0, (F.col("__static") - F.col("__sum")) / F.col("__static") * 100).otherwise(0.0), F.lit(0.0))
     return rungs.select(key, "width", "height", "kbps", "vmaf", "ssim", savings.alias("savings"))
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import matching
+from lumenframe.operators import matching, selection
 from lumenframe.plans.queries import ORACLE, QUERIES
 
 
@@ -66,3 +66,11 @@ def test_best_worker_chooses_once_for_tasks_alike(spark):
     found = matching.best_worker(tasks, workers, ["task"], F.col("kind").eqNullSafe(F.col("skill")), F.udf(big, "boolean")("load"), "load", "worker", ["kind"])
     assert {(r["task"], r["worker"]) for r in found.collect()} == {(i, {None: 5, "a": 1, "b": 3}[kinds[i % 4]]) for i in range(4000) if i % 4 < 3}
     assert 5 <= asked.value <= 20
+
+
+def test_ladder_broadcasts_nothing_that_grows(spark, against_sql):
+    """Spark takes the sides for small, as they come from a small file; in the driver they are not."""
+    parts = spark.range(60).selectExpr("id as p_partkey", "cast(id % 50 + 1 as int) as p_size")
+    assert against_sql("ladder", part=parts) == ([], [])
+    profiles = parts.selectExpr("p_partkey", "p_size / 50 as complexity", "24.0D as fps", "2073600 as source_pixels")
+    assert "Broadcast" not in selection.ladder(profiles, "p_partkey")._jdf.queryExecution().executedPlan().toString()
