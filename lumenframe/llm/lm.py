@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import Shared, collect_bounded, only, rest_crc32
+from lumenframe.llm.common import Shared, collect_bounded, only, rest_crc32, worker_cache
 from lumenframe.session import materialize, table
 
 ORDER = 5
@@ -41,6 +41,8 @@ FREQUENT_GRAMS, FREQUENT_WORDS = 3_000_000, 1 << 18
 PRIOR_CASES = 2.0
 #: Bytes scored at once.
 SEGMENT = 1 << 20
+#: Most counts that a task merges in memory (16 bytes each, some 60 while they are merged); further ones are further rows.
+HELD_COUNTS = 2_000_000
 MODULUS, HELD_OUT = 10, 0
 
 
@@ -166,25 +168,33 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 class _Counts:
-    """Sums of counts by 64-bit key, merged now and then."""
+    """Sums of counts by 64-bit key, merged now and then; add() returns what has become too much to hold."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         own, n = np.unique(keys, return_counts=True)
         self.parts.append((own, n))
         self.held += len(own)
-        if self.held > 4_000_000:
+        if self.held > HELD_COUNTS:
             self.parts = [self.total()]
             self.held = len(self.parts[0][0])
+            if self.held > HELD_COUNTS * 3 // 4:
+                out, self.parts, self.held = self.parts[0], [], 0
+                return out
+        return None
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
-        keys, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        return keys, np.bincount(at, weights=np.concatenate([n for _, n in self.parts]), minlength=len(keys)).astype(np.int64)
+        keys, n = np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts])
+        self.parts = []
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[first], np.add.reduceat(n, first)
 
 
 def _texts_in_groups(column, size: int = SEGMENT):
@@ -202,17 +212,23 @@ def _texts_in_groups(column, size: int = SEGMENT):
 
 
 def _count_partition(batches):
+    """(kind, key, n) of a partition's words and grams; a key comes again where the counts were too many to hold."""
+    worker_cache().pop("shared", None)  # a worker may still hold the tables of an earlier model
+
+    def rows(kind: int, counts: tuple[np.ndarray, np.ndarray] | None):
+        keys, n = counts or ((), ())
+        for at in range(0, len(keys), 1 << 16):
+            own = keys[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own.view(np.int64)), pa.array(n[at : at + (1 << 16)])], ["kind", "key", "n"])
+
     words, grams = _Counts(), _Counts()
     for batch in batches:
         for group in _texts_in_groups(batch.column(0)):
-            words.add(np.concatenate([_word_hashes(w) for w in group]))
+            yield from rows(0, words.add(np.concatenate([_word_hashes(w) for w in group])))
             for part in _segments([message(w) for w in group]):
-                grams.add(_grams(part))
-    for kind, counts in ((0, words), (1, grams)):
-        keys, n = counts.total()
-        for at in range(0, len(keys), 1 << 16):
-            own = keys[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own.view(np.int64)), pa.array(n[at : at + (1 << 16)])], ["kind", "key", "n"])
+                yield from rows(1, grams.add(_grams(part)))
+    yield from rows(0, words.total())
+    yield from rows(1, grams.total())
 
 
 #: Columns of the trie's tables by the length of a context in bytes (size) and the bytes as a number.

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm.conftest import prose, with_clashes
 
@@ -139,3 +140,34 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
     untrained = lm.train(no_docs)
     rows = {r["doc_id"]: r for r in lm.score_documents(edge_docs, untrained).collect()}
     assert rows[5]["score"] == pytest.approx(-math.log10(256)) and rows[5]["n_known"] == 0
+
+
+def test_counts_of_a_partition_are_let_go_in_parts(monkeypatch):
+    """A task holds a bounded number of counts, and no tables of an earlier model."""
+    rng = random.Random(3)
+    texts = [prose(rng, 200, 300) for _ in range(40)]
+    monkeypatch.setattr(lm, "SEGMENT", 500)
+    monkeypatch.setattr(lm, "HELD_COUNTS", 1000)
+    lm.worker_cache()["shared"] = {"lm-grams": ("old", None)}
+    most, found = 0, Counter()
+    held = lm._Counts.add
+
+    def add(self, keys):
+        nonlocal most
+        out = held(self, keys)
+        most = max(most, self.held)
+        return out
+
+    monkeypatch.setattr(lm._Counts, "add", add)
+    rows = list(lm._count_partition([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    assert "shared" not in lm.worker_cache()
+    for batch in rows:
+        for kind, key, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            found[kind, key] += n
+    expected = Counter()
+    for text in texts:
+        data = lm.END * lm.ORDER + lm.message(lm.tokens(text))
+        expected.update((1, int.from_bytes(data[at - lm.ORDER : at + 1])) for at in range(lm.ORDER, len(data)))
+        expected.update((0, int(h)) for h in lm._word_hashes(lm.tokens(text)).view(np.int64))
+    assert found == expected
+    assert most <= 1000 < len(expected)
