@@ -41,8 +41,12 @@ def labelled_features(docs: DataFrame, usable: DataFrame, per_class: int, featur
 
     rows = only(docs, "doc_id", "text").join(sample, "doc_id").select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, feature binary")
     one_each = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("feature").alias("feature"))
-    found = one_each.toArrow().sort_by("doc_id")  # at most 2 * per_class rows, as many as the sample
-    return found.column("feature").to_pylist(), found.column("label").to_numpy().astype(np.float64), totals
+    found = one_each.toArrow()  # at most 2 * per_class rows, as many as the sample
+    order = np.argsort(found.column("doc_id").to_numpy())
+    labels, raw = found.column("label").to_numpy()[order].astype(np.float64), found.column("feature").to_pylist()
+    del found
+    pa.default_memory_pool().release_unused()
+    return [raw[at] for at in order], labels, totals
 
 
 def with_scores(docs: DataFrame, scorer, modulus: int, held_out: int, threshold: float) -> DataFrame:

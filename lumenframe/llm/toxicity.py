@@ -94,7 +94,7 @@ def _block(features: list[np.ndarray], column: np.ndarray, times: np.ndarray, ra
     at = np.concatenate(kept)
     row = np.repeat(np.arange(len(kept)), [len(own) for own in kept])
     value = ratio[at]
-    return at, row, (value / np.sqrt(1 + np.bincount(row, weights=times[at] * value * value, minlength=len(kept)))[row]).astype(np.float32)
+    return at.astype(np.int32), row.astype(np.int32), (value / np.sqrt(1 + np.bincount(row, weights=times[at] * value * value, minlength=len(kept)))[row]).astype(np.float32)
 
 
 def fit_model(features: list[np.ndarray], y: np.ndarray, totals: dict[int, int]) -> Model:
@@ -140,7 +140,8 @@ def fit_model(features: list[np.ndarray], y: np.ndarray, totals: dict[int, int])
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = PER_CLASS, modulus: int = MODULUS, held_out: int = HELD_OUT) -> Model:
     usable = usable_labels(labels, column, modulus, held_out)
     raw, y, totals = labelled_features(docs, usable, per_class, lambda text: packed(ngrams(text)))
-    return fit_model([unpacked(r) for r in raw], y, totals)
+    raw.reverse()
+    return fit_model([unpacked(raw.pop()) for _ in range(len(raw))], y, totals)  # a text's bytes go as its features come
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

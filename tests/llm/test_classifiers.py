@@ -150,3 +150,14 @@ def test_quality_against_a_plain_vote():
         votes = [max(cosines[k], 0.0) ** quality.POWER for k in near]
         due = sum(v * y[k] for v, k in zip(votes, near, strict=True)) / sum(votes) if sum(votes) else model.base
         assert model.scores([text])[0] == pytest.approx(due, abs=1e-3)
+
+
+def test_fit_holds_features_once(monkeypatch):
+    """The bytes that came to the driver go as they are unpacked; a feature takes 12 bytes in the rounds."""
+    raw = [toxicity.packed(np.arange(i, i + 50, dtype=np.uint32)) for i in range(40)]
+    monkeypatch.setattr(toxicity, "usable_labels", lambda *a: None)
+    monkeypatch.setattr(toxicity, "labelled_features", lambda *a: (raw, np.arange(40) % 2 * 1.0, {0: 20, 1: 20}))
+    toxicity.fit(None, None)
+    assert raw == []
+    block = toxicity._block([np.arange(5)], np.arange(5), np.ones(5, np.int64), np.ones(5, np.float32))
+    assert sum(part.itemsize for part in block) == 12
